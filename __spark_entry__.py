@@ -89,7 +89,8 @@ def _trend_lines(cohort: Cohort) -> DataFrame:
 
 def _bandwidths(cohort: Cohort) -> DataFrame:
     rows = shapes.density_rows(cohort, STATUS, SCORE, DENSITY_YEAR)
-    return round_measures(shapes.density_bandwidth(cohort, rows, STATUS, SCORE), 4)
+    widths = shapes.density_bandwidth(cohort, rows, STATUS, SCORE)
+    return round_measures(widths.select(STATUS, "n", "sd", "q25", "q75", "h"), 4)
 
 
 def _curve(cohort: Cohort, group: str, measure: str, method: str = "auto") -> DataFrame:

@@ -13,9 +13,10 @@ the same answers here.
     For everything else. Values are cut into bins by a monotone function of
     the value, so bins are in rank order. Counts and sums per bin combine
     before the shuffle, and tell which few bins hold a wanted rank. Only
-    those are cut again, and only the values of the bins that remain are
-    listed one by one. Every other bin enters the result as one row (count,
-    sum). Rows are never shuffled unless they lie next to a wanted rank.
+    those are cut again, until each is small enough for one task to list its
+    values. Every other bin enters the result as one row (count, sum). Rows
+    are never shuffled unless they lie next to a wanted rank, and no group has
+    to fit anywhere.
 
 Both build one *rank table* per group, a row per value or whole bin:
 ``c`` rows, their sum ``s``, the value ``v`` when there is only one, and
@@ -32,10 +33,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from levelwise.functions.rounding import settle
-from levelwise.plans.bounds import attach
+from levelwise.plans.bounds import attach, fits_one_task
+from levelwise.sources.scratch import checkpointed
 
-# Bins per cut. Two cuts leave about one value in a million of a smooth
-# distribution to be listed individually.
+# Bins per e-fold of the first, logarithmic cut, and per interval of later ones.
+LOG_BINS = 32
 BINS = 1024
 
 
@@ -129,103 +131,100 @@ def _direct_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _bin_number(stretch) -> Column:
-    """Bin of ``v`` in [lo, hi]; monotone in ``v`` whatever ``stretch`` rounds to."""
-    lo, hi = stretch(F.col("lo")), stretch(F.col("hi"))
-    share = F.try_divide(stretch(F.col("v")) - lo, hi - lo)
-    cell = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * BINS)
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), cell)).cast("int")
-
-
 def _log_scale(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 
 
-def _linear(x: Column) -> Column:
-    return x
+def _running(path: list[str], order: str):
+    return W.partitionBy(*path).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
 
 
-def _cut(
-    rows: DataFrame, edges: DataFrame, path: list[str], keys: list[str], name: str, stretch, bound
-) -> DataFrame:
-    """Count and sum the rows of each open interval by bin.
+def _coarse_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per non-empty bin of a fixed logarithmic scale, lowest first.
 
-    ``edges`` has one row per open interval: its path, ``lo``, ``hi``, the rows
-    ``base`` below it, and the group's ``n`` and ``nn``.
+    Bin numbers need nothing but the value, so one scan yields the group totals
+    and the first histogram. A group without any value keeps its null bin.
     """
-    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    placed = attach(rows, edges, keys, bound, extra=inside)
     bins = (
-        placed.withColumn(name, _bin_number(stretch))
-        .groupBy(*path, name)
+        rows.withColumn("_bin", F.floor(_log_scale(F.col("v")) * LOG_BINS))
+        .groupBy(*keys, "_bin")
+        .agg(
+            F.count(F.lit(1)).alias("c"),
+            F.sum("v").alias("s"),
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+        )
+    )
+    group = W.partitionBy(*keys)
+    valid = F.when(F.col("_bin").isNotNull(), F.col("c")).otherwise(0)
+    return (
+        bins.withColumn("n", F.sum("c").over(group))
+        .withColumn("c", valid)
+        .withColumn("nn", F.sum("c").over(group))
+        .withColumn("cum", F.sum("c").over(_running(keys, "_bin")))
+    )
+
+
+def _finer_bins(rows: DataFrame, opened: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Cut each open interval into equal bins and count the rows of each.
+
+    The bin is a monotone function of the value however it rounds, so ranks
+    stay exact; the smallest and largest value never share a bin.
+    """
+    span = F.col("hi") - F.col("lo")
+    share = F.try_divide(F.col("v") - F.col("lo"), span)
+    cell = F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int")
+    bins = (
+        _rows_inside(rows, opened, keys, size)
+        .groupBy(*keys, F.col("lo").alias("_from"), cell.alias("_bin"))
         .agg(
             F.count(F.lit(1)).alias("c"),
             F.sum("v").alias("s"),
             F.min("v").alias("lo"),
             F.max("v").alias("hi"),
-            F.max("base").alias("base"),
-            F.max("n").alias("n"),
-            F.max("nn").alias("nn"),
+            *[F.max(c).alias(c) for c in ("base", "n", "nn")],
         )
     )
-    upto = W.partitionBy(*path).orderBy(name).rowsBetween(W.unboundedPreceding, 0)
+    upto = _running([*keys, "_from"], "_bin")
     return bins.withColumn("cum", F.col("base") + F.sum("c").over(upto))
 
 
-def _ranked_ranks(
-    rows: DataFrame, keys: list[str], stats: list[Stat], groups: int | None
-) -> DataFrame:
-    ranks = [r for s in stats for r in s.ranks()]
+def _rows_inside(rows: DataFrame, opened: DataFrame, keys: list[str], size: int) -> DataFrame:
+    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+    return attach(rows, opened.select(*keys, "lo", "hi", "base", "n", "nn"), keys, size, extra=inside)
+
+
+def _ranked_ranks(rows: DataFrame, keys: list[str], stats: list[Stat]) -> DataFrame:
     below = F.col("cum") - F.col("c")
-    holds = reduce(
-        Column.__or__, [(r > below) & (r <= F.col("cum")) for r in ranks], F.lit(False)
-    )
-    opened = holds & (F.col("lo") < F.col("hi"))
-    open_bound = None if groups is None else groups * max(1, len(ranks))
+    wanted = [(r > below) & (r <= F.col("cum")) for s in stats for r in s.ranks()]
+    is_open = reduce(Column.__or__, wanted, F.lit(False)) & (F.col("lo") < F.col("hi"))
+    is_open = F.coalesce(is_open, F.lit(False))
     out = [*keys, "v", "c", "s", "cum", "n", "nn"]
 
-    totals = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("v").alias("nn"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
-    # Keeps groups without a single value, and every group's totals.
-    parts = [
-        totals.select(
-            *keys,
-            F.lit(None).cast("double").alias("v"),
-            F.lit(0).cast("bigint").alias("c"),
-            F.lit(None).cast("double").alias("s"),
-            F.lit(0).cast("bigint").alias("cum"),
-            "n",
-            "nn",
+    parts, bins = [], _coarse_bins(rows, keys)
+    while True:
+        # A few bins per group: written once, so later passes start from them
+        # and a lost executor cannot make two passes see different bins.
+        bins = checkpointed(bins.withColumn("_open", is_open))
+        single = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+        parts.append(bins.where(~F.col("_open")).withColumn("v", single).select(*out))
+        opened = bins.where("_open").withColumn("base", below)
+        intervals, largest = opened.agg(F.count(F.lit(1)), F.max("c")).first()
+        if not intervals or fits_one_task(largest):
+            break
+        bins = _finer_bins(rows, opened, keys, intervals)
+    if intervals:
+        listed = (
+            _rows_inside(rows, opened, keys, intervals)
+            .groupBy(*keys, F.col("lo").alias("_from"), "v", "base", "n", "nn")
+            .agg(F.count(F.lit(1)).alias("c"))
         )
-    ]
-    edges = totals.select(*keys, "lo", "hi", F.lit(0).cast("bigint").alias("base"), "n", "nn")
-    path, bound = list(keys), groups
-    for depth, stretch in enumerate((_log_scale, _linear), start=1):
-        name = f"_bin{depth}"
-        bins = _cut(rows, edges, path, keys, name, stretch, bound)
-        path, bound = [*path, name], open_bound
-        whole = bins.where(~opened)
+        upto = _running([*keys, "_from"], "v")
         parts.append(
-            whole.withColumn("v", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).select(*out)
+            listed.withColumn("cum", F.col("base") + F.sum("c").over(upto))
+            .withColumn("s", F.col("v") * F.col("c"))
+            .select(*out)
         )
-        edges = bins.where(opened).select(*path, "lo", "hi", below.alias("base"), "n", "nn")
-
-    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    listed = (
-        attach(rows, edges, keys, open_bound, extra=inside)
-        .groupBy(*path, "v", "base", "n", "nn")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    upto = W.partitionBy(*path).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    parts.append(
-        listed.withColumn("cum", F.col("base") + F.sum("c").over(upto))
-        .withColumn("s", F.col("v") * F.col("c"))
-        .select(*out)
-    )
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -236,17 +235,16 @@ def describe(
     stats: list[Stat],
     *,
     direct: bool,
-    groups: int | None = None,
 ) -> DataFrame:
     """``stats`` of ``measure`` per ``keys``; a null key is a group of its own.
 
-    ``direct`` says that a group is proven to fit one task; ``groups`` is a
-    proven bound on the number of groups, or None.
+    ``direct`` says that every group is proven to fit one task. Without it the
+    first passes over the data run at once, to find where the ranks lie.
     """
     rows = _measure_rows(df, keys, measure)
     if not any(s.ranks() for s in stats):
         return _algebraic(rows, keys, stats)
-    table = _direct_ranks(rows, keys) if direct else _ranked_ranks(rows, keys, stats, groups)
+    table = _direct_ranks(rows, keys) if direct else _ranked_ranks(rows, keys, stats)
     return table.groupBy(*keys).agg(*[s.aggregate().alias(s.name) for s in stats])
 
 

@@ -32,9 +32,8 @@ def imputation_compare(
     keys = [] if group is None else [raw.roles.require(group, "group")]
     both = _long(raw, "raw", measures, keys).unionByName(_long(imputed, "imputed", measures, keys))
     direct = raw.direct(keys, method) and imputed.direct(keys, method)
-    groups = 2 * len(measures) * raw.book.group_bound(keys)
     stats = describe(
-        both, ["measure", *keys, "variant"], "value", _STATS, direct=direct, groups=groups
+        both, ["measure", *keys, "variant"], "value", _STATS, direct=direct
     )
 
     def of(variant: str, column: str):

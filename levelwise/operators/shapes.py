@@ -12,6 +12,7 @@ from levelwise.functions.predicates import apply_measure_rule, complete_cases
 from levelwise.functions.ranks import Stat, describe
 from levelwise.operators.tables import _zero_rule
 from levelwise.plans.bounds import attach
+from levelwise.sources.scratch import checkpointed
 
 # Sample size, trimming quantiles and density grid.
 SAMPLE_ROWS = 1000
@@ -85,9 +86,8 @@ def quantile_band(
     keys = ["Financial_Year"]
     rows = _year_rows(cohort, group, measure, year, signed)
     direct = cohort.direct(keys, method)
-    groups = None if direct else cohort.book.group_bound(keys)
     stats = [Stat("quantile", "p05", BAND[0]), Stat("quantile", "p95", BAND[1])]
-    return describe(rows, keys, measure, stats, direct=direct, groups=groups)
+    return describe(rows, keys, measure, stats, direct=direct)
 
 
 def density_rows(
@@ -102,35 +102,35 @@ def density_rows(
     cohort.roles.require(group, "group")
     cohort.roles.require(measure, "measure")
     rows = _year_rows(cohort, group, measure, year, signed)
-    band = quantile_band(cohort, group, measure, year, signed, method)
-    limits = band.select(F.struct("p05", "p95")).scalar()
-    return rows.where(F.col(measure).between(limits["p05"], limits["p95"]))
+    band = quantile_band(cohort, group, measure, year, signed, method).first()
+    if band is None:
+        return rows.where(F.lit(False))
+    return rows.where(F.col(measure).between(band["p05"], band["p95"]))
 
 
 def density_bandwidth(
     cohort: Cohort, rows: DataFrame, group: str, measure: str, method: str = "auto"
 ) -> DataFrame:
-    """Rule-of-thumb bandwidth per group; groups of a single row are left out."""
-    direct = cohort.direct([group], method)
-    groups = cohort.book.group_bound([group])
+    """Rule-of-thumb bandwidth per group; null for a group of a single row."""
     quartiles = [Stat("quantile", "q25", 0.25), Stat("quantile", "q75", 0.75)]
     spread = rows.groupBy(group).agg(
         F.count(measure).alias("n"),
         F.stddev_samp(measure).alias("sd"),
-        F.min(measure).alias("_first"),
+        F.min(measure).alias("lo"),
+        F.max(measure).alias("hi"),
     )
-    middle = describe(rows, [group], measure, quartiles, direct=direct, groups=groups)
-    both = attach(spread.where(F.col("n") >= 2), middle, [group], groups)
+    middle = describe(rows, [group], measure, quartiles, direct=cohort.direct([group], method))
+    both = attach(spread, middle, [group], cohort.book.group_bound([group]))
     narrow = F.least(F.col("sd"), (F.col("q75") - F.col("q25")) / 1.34)
     # A group without spread falls back to its value, then to one.
     scale = F.coalesce(
         F.nullif(narrow, F.lit(0.0)),
         F.nullif(F.col("sd"), F.lit(0.0)),
-        F.nullif(F.abs("_first"), F.lit(0.0)),
+        F.nullif(F.abs("lo"), F.lit(0.0)),
         F.lit(1.0),
     )
     h = 0.9 * scale * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    return both.select(group, "n", "sd", "q25", "q75", h.alias("h"))
+    return both.withColumn("h", F.when(F.col("n") >= 2, h))
 
 
 def density_curve(
@@ -143,50 +143,42 @@ def density_curve(
 ) -> DataFrame:
     """Gaussian kernel density of the measure per group, on 512 points.
 
-    Points span the overall range of the trimmed values. Each value is shared
-    between its two neighbouring mesh points, which aggregates the data to at
-    most 512 weights per group; kernel sums and the final interpolation work
-    on those weights only.
+    Points span the overall range of the trimmed values; a group of one row has
+    no curve. Each value is shared between its two neighbouring mesh points,
+    which aggregates the data to at most 512 weights per group; kernel sums and
+    the final interpolation work on those weights only.
     """
     rows = density_rows(cohort, group, measure, year, signed, method)
-    groups = cohort.book.group_bound([group])
-    widths = density_bandwidth(cohort, rows, group, measure, method).select(group, "n", "h")
-    span = rows.agg(F.struct(F.min(measure).alias("lo"), F.max(measure).alias("hi"))).scalar()
-    last = F.lit(MESH - 1)
-    mesh = widths.withColumn("lo", span["lo"]).withColumn("hi", span["hi"])
-    mesh = mesh.withColumn("start", F.col("lo") - REACH * F.col("h")).withColumn(
-        "step", (F.col("hi") - F.col("lo") + 2 * REACH * F.col("h")) / last
+    widths = checkpointed(density_bandwidth(cohort, rows, group, measure, method))
+    lo, hi, groups = widths.agg(F.min("lo"), F.max("hi"), F.count(F.lit(1))).first()
+    lo, hi, last = F.lit(lo), F.lit(hi), F.lit(MESH - 1)
+    reach = REACH * F.col("h")
+    mesh = widths.where(F.col("h").isNotNull()).select(
+        group, "n", "h", (lo - reach).alias("start"), ((hi - lo + 2 * reach) / last).alias("step")
     )
-    placed = attach(rows, mesh, [group], groups).select(
-        group, "n", "h", "lo", "hi", "start", "step",
-        ((F.col(measure) - F.col("start")) / F.col("step")).alias("_at"),
-    )
-    cell = F.floor("_at")
+    placed = attach(rows, mesh, [group], groups)
+    at = (F.col(measure) - F.col("start")) / F.col("step")
     weights = (
-        placed.withColumn("i", cell.cast("int"))
-        .groupBy(group, "i")
+        placed.withColumn("_at", at)
+        .groupBy(group, F.floor("_at").cast("int").alias("i"), "n", "h", "start", "step")
         .agg(
-            F.sum(1 - (F.col("_at") - cell)).alias("left"),
-            F.sum(F.col("_at") - cell).alias("right"),
-            *[F.max(c).alias(c) for c in ("n", "h", "lo", "hi", "start", "step")],
+            F.sum(1 - (F.col("_at") - F.floor("_at"))).alias("left"),
+            F.sum(F.col("_at") - F.floor("_at")).alias("right"),
         )
     )
     # At most MESH weights per group, whatever the number of rows.
-    curves = weights.groupBy(group).agg(
-        F.sort_array(F.collect_list(F.struct("i", "left", "right"))).alias("w"),
-        *[F.max(c).alias(c) for c in ("n", "h", "lo", "hi", "start", "step")],
+    curves = weights.groupBy(group, "n", "h", "start", "step").agg(
+        F.sort_array(F.collect_list(F.struct("i", "left", "right"))).alias("w")
     )
-    curves = curves.withColumn(
-        "mesh", F.transform(F.sequence(F.lit(0), last), lambda j: _kernel_sum(j))
+    # Summed before the points are listed, so once per group and mesh point.
+    summed = curves.select(
+        group, "start", "step", F.transform(F.sequence(F.lit(0), last), _kernel_sum).alias("mesh")
     )
-    points = curves.select(
-        group, "lo", "hi", "start", "step", "mesh",
-        F.explode(F.sequence(F.lit(0), last)).alias("point"),
-    )
-    x = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / last
+    points = summed.withColumn("point", F.explode(F.sequence(F.lit(0), last)))
+    x = lo + F.col("point") * (hi - lo) / last
     at = (F.col("x") - F.col("start")) / F.col("step")
-    j = F.floor("_at").cast("int")
-    below, above = F.get("mesh", j), F.coalesce(F.get("mesh", j + 1), F.lit(0.0))
+    below = F.get("mesh", F.floor("_at").cast("int"))
+    above = F.coalesce(F.get("mesh", F.floor("_at").cast("int") + 1), F.lit(0.0))
     density = below + (F.col("_at") - F.floor("_at")) * (above - below)
     return (
         points.withColumn("x", x)

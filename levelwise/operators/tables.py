@@ -145,9 +145,8 @@ def measure_stats(
         cohort.roles.require(k, "categorical")
     kept = apply_measure_rule(cohort.df, measure, rule)
     direct = not any(s.ranks() for s in stats) or cohort.direct(keys, method)
-    groups = None if direct else cohort.book.group_bound(keys)
     return round_measures(
-        describe(kept, keys, measure, stats, direct=direct, groups=groups)
+        describe(kept, keys, measure, stats, direct=direct)
     )
 
 

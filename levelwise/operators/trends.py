@@ -50,9 +50,8 @@ def trend(
         _series(baseline, time, measure, rule, ALL_SUFFIX), allowMissingColumns=True
     )
     direct = cohort.direct([time], method) and baseline.direct([time], method)
-    groups = None if direct else 2 * baseline.book.group_bound([time])
     return round_measures(
-        describe(both, ["category", time], measure, LINE_STATS, direct=direct, groups=groups)
+        describe(both, ["category", time], measure, LINE_STATS, direct=direct)
     )
 
 
@@ -90,9 +89,8 @@ def trend_by_group(
     )
     # The overall group of a time holds all of that time's rows.
     direct = cohort.direct([time], method)
-    groups = None if direct else cohort.book.group_bound([time, group]) * 2
     keys = [time, group, "_overall"]
-    stats = describe(rows, keys, measure, LINE_STATS, direct=direct, groups=groups)
+    stats = describe(rows, keys, measure, LINE_STATS, direct=direct)
     return round_measures(stats.drop("_overall"))
 
 
@@ -112,10 +110,9 @@ def grouping_medians(
     )
     rows = kept.select(time, measure, series)
     direct = cohort.direct([time], method)
-    groups = None if direct else cohort.book.group_bound([time, group]) * 2
     return round_measures(
         describe(
-            rows, [time, group, "level"], measure, [MEDIAN, ROWS], direct=direct, groups=groups
+            rows, [time, group, "level"], measure, [MEDIAN, ROWS], direct=direct
         )
     )
 

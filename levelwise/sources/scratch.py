@@ -5,19 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the folder the cluster names for checkpoints.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints.
 
-    A machine-local folder is used only where the cluster names none, which is
+    A machine-local folder is made only where the cluster names none, which is
     the case in tests.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="levelwise-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return root
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for files of one job."""
+    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the shared folder, without its lineage."""
+    scratch_root(df.sparkSession)
+    return df.checkpoint(eager=True)
