@@ -6,8 +6,8 @@ each may hold a third of all rows, so both stop working at size. Two plans give
 the same answers here.
 
 ``direct``
-    For groups proven small: count per distinct value, then one running count
-    per group.
+    For groups proven to have at most ``ONE_TASK_ROWS`` rows: a group's values
+    are gathered, sorted, and read at the ranks wanted. One shuffle.
 
 ``ranked``
     For everything else. Values are cut into bins by a monotone function of
@@ -18,9 +18,10 @@ the same answers here.
     are never shuffled unless they lie next to a wanted rank, and no group has
     to fit anywhere.
 
-Both build one *rank table* per group, a row per value or whole bin:
-``c`` rows, their sum ``s``, the value ``v`` when there is only one, and
-``cum``, the group's row count up to and including this row.
+    The passes build one *rank table*, a row per value or whole bin: ``c``
+    rows, their sum ``s``, the value ``v`` when there is only one, ``cum``, the
+    group's row count up to and including this row, and the group's ``n`` rows
+    and ``nn`` values.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from levelwise.functions.rounding import settle
@@ -40,6 +40,8 @@ from levelwise.sources.scratch import checkpointed
 LOG_BINS = 32
 BINS = 1024
 
+_MEDIAN_RANKS = ("floor((nn + 1) / 2)", "floor((nn + 2) / 2)")
+
 
 @dataclass(frozen=True)
 class Stat:
@@ -53,53 +55,68 @@ class Stat:
 
     kind: str
     name: str
-    p: float | None = None
+    p: float = 0.0
+
+    @property
+    def _is_median(self) -> bool:
+        return "median" in self.kind or (self.kind == "trimmed" and self.p >= 0.5)
+
+    @property
+    def _cut(self) -> str:
+        """Values dropped at each end; a double, as decimals would floor apart."""
+        return f"floor(nn * {float(self.p)!r}D)"
+
+    @property
+    def _position(self) -> str:
+        return f"((nn - 1) * {float(self.p)!r}D)"
 
-    def ranks(self) -> list[Column]:
+    def ranks(self) -> tuple[str, ...]:
         """One-based ranks whose neighbourhood must be known value by value."""
-        nn = F.col("nn")
-        if self.kind in ("median", "strict_median") or self.trims_to_median:
-            return [F.floor((nn + 1) / 2), F.floor((nn + 2) / 2)]
+        if self._is_median:
+            return _MEDIAN_RANKS
         if self.kind == "trimmed":
-            k = self._trim_count()
-            return [k + 1, nn - k]
+            return (f"{self._cut} + 1", f"nn - {self._cut}")
         if self.kind == "quantile":
-            h = (nn - 1) * F.lit(float(self.p))
-            return [F.floor(h) + 1, F.ceil(h) + 1]
-        return []
+            return (f"floor({self._position}) + 1", f"ceil({self._position}) + 1")
+        return ()
 
-    @property
-    def trims_to_median(self) -> bool:
-        return self.kind == "trimmed" and self.p >= 0.5
-
-    def _trim_count(self) -> Column:
-        return F.floor(F.col("nn") * F.lit(float(self.p)))
-
-    def aggregate(self) -> Column:
-        """The statistic as an aggregate over a group's rank table."""
-        nn = F.max("nn")
-        if self.kind == "rows":
-            return F.max("n")
-        if self.kind == "valid":
-            return nn
-        if self.kind == "mean":
-            return F.try_divide(F.sum("s"), nn)
-        if self.kind == "trimmed" and not self.trims_to_median:
-            k = self._trim_count()
-            kept = F.greatest(
-                F.lit(0),
-                F.least(F.col("cum"), F.col("nn") - k) - F.greatest(F.col("cum") - F.col("c"), k),
-            )
-            total = F.when(kept == F.col("c"), F.col("s")).otherwise(kept * F.col("v"))
-            return F.try_divide(F.sum(F.when(kept > 0, total)), F.sum(kept))
-        low, high = (F.min(F.when(F.col("cum") >= r, F.col("v"))) for r in self.ranks())
+    def _between_ranks(self, low: str, high: str, n: str, nn: str) -> str:
+        """The statistic from the values at its two ranks."""
         if self.kind == "quantile":
-            h = (nn - 1) * F.lit(float(self.p))
-            return low + (h - F.floor(h)) * (high - low)
-        middle = (low + high) / 2
-        if self.kind == "strict_median":
-            return F.when(F.max("n") == nn, middle)
-        return middle
+            h = self._position.replace("nn", nn)
+            return f"{low} + ({h} - floor({h})) * ({high} - {low})"
+        middle = f"({low} + {high}) / 2"
+        return f"if({n} = {nn}, {middle}, null)" if self.kind == "strict_median" else middle
+
+    def of_sorted(self) -> str:
+        """SQL over a group's ``n``, ``nn``, ``total`` and sorted ``a``."""
+        if self.kind in ("rows", "valid"):
+            return "n" if self.kind == "rows" else "nn"
+        if self.kind == "mean":
+            return "try_divide(total, nn)"
+        if self.kind == "trimmed" and not self._is_median:
+            k = f"cast({self._cut} as int)"
+            kept = f"slice(a, {k} + 1, greatest(0, cast(nn as int) - 2 * {k}))"
+            return f"try_divide(aggregate({kept}, 0D, (x, y) -> x + y), nn - 2 * {k})"
+        low, high = (f"get(a, cast({r} - 1 as int))" for r in self.ranks())
+        return self._between_ranks(low, high, "n", "nn")
+
+    def of_ranks(self) -> str:
+        """SQL aggregate over a group's rank table."""
+        if self.kind in ("rows", "valid"):
+            return "max(n)" if self.kind == "rows" else "max(nn)"
+        if self.kind == "mean":
+            return "try_divide(sum(s), max(nn))"
+        if self.kind == "trimmed" and not self._is_median:
+            kept = f"greatest(0, least(cum, nn - {self._cut}) - greatest(cum - c, {self._cut}))"
+            value = f"case when {kept} = c then s else {kept} * v end"
+            return f"try_divide(sum(if({kept} > 0, {value}, null)), sum({kept}))"
+        low, high = (f"min(if(cum >= {r}, v, null))" for r in self.ranks())
+        return self._between_ranks(low, high, "max(n)", "max(nn)")
+
+    def plain(self) -> str:
+        """SQL aggregate over the rows themselves, where no rank is needed."""
+        return {"rows": "count(*)", "valid": "count(v)", "mean": "avg(v)"}[self.kind]
 
 
 ROWS = Stat("rows", "n")
@@ -110,33 +127,26 @@ TRIMMED = Stat("trimmed", "trimmed_mean_20", 0.2)
 
 def _measure_rows(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     # Not-a-number counts as missing, as everywhere else.
-    x = F.col(measure).cast("double")
-    return df.select(*keys, F.nanvl(x, F.lit(None).cast("double")).alias("v"))
-
-
-def _direct_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    group = W.partitionBy(*keys)
-    upto = group.orderBy(F.col("v").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    return counted.select(
-        *keys,
-        "v",
-        F.when(F.col("v").isNull(), 0).otherwise(F.col("c")).alias("c"),
-        (F.col("v") * F.col("c")).alias("s"),
-        F.sum("c").over(upto).alias("cum"),
-        F.sum("c").over(group).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).over(group), F.lit(0)).alias(
-            "nn"
-        ),
+    value = f"nanvl(cast(`{measure}` as double), cast(null as double)) as v"
+    return df.selectExpr(*[f"`{k}`" for k in keys], value)
+
+
+def _gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A group's values in one sorted array; only for groups proven small."""
+    return rows.groupBy(*keys).agg(
+        F.expr("count(*) as n"),
+        F.expr("count(v) as nn"),
+        F.expr("sum(v) as total"),
+        F.expr("sort_array(collect_list(v)) as a"),
     )
 
 
-def _log_scale(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
+_BIN_SUMS = ("count(*) as c", "sum(v) as s", "min(v) as lo", "max(v) as hi")
 
 
-def _running(path: list[str], order: str):
-    return W.partitionBy(*path).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+def _running(path: list[str], order: str) -> str:
+    by = ", ".join(f"`{k}`" for k in path)
+    return f"sum(c) over (partition by {by} order by {order} rows unbounded preceding)"
 
 
 def _coarse_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,86 +155,66 @@ def _coarse_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
     Bin numbers need nothing but the value, so one scan yields the group totals
     and the first histogram. A group without any value keeps its null bin.
     """
-    bins = (
-        rows.withColumn("_bin", F.floor(_log_scale(F.col("v")) * LOG_BINS))
-        .groupBy(*keys, "_bin")
-        .agg(
-            F.count(F.lit(1)).alias("c"),
-            F.sum("v").alias("s"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-        )
-    )
-    group = W.partitionBy(*keys)
-    valid = F.when(F.col("_bin").isNotNull(), F.col("c")).otherwise(0)
+    by = ", ".join(f"`{k}`" for k in keys)
+    scale = f"floor(signum(v) * log1p(abs(v)) * {LOG_BINS})"
+    bins = rows.groupBy(*keys, F.expr(f"{scale} as _bin")).agg(*map(F.expr, _BIN_SUMS))
     return (
-        bins.withColumn("n", F.sum("c").over(group))
-        .withColumn("c", valid)
-        .withColumn("nn", F.sum("c").over(group))
-        .withColumn("cum", F.sum("c").over(_running(keys, "_bin")))
+        bins.selectExpr("*", f"sum(c) over (partition by {by}) as n")
+        .withColumn("c", F.expr("if(_bin is null, 0L, c)"))
+        .selectExpr(
+            "*",
+            f"sum(c) over (partition by {by}) as nn",
+            f"{_running(keys, '_bin')} as cum",
+        )
     )
 
 
+def _rows_inside(rows: DataFrame, opened: DataFrame, keys: list[str], size: int) -> DataFrame:
+    edges = opened.select(*keys, "lo", "hi", "base", "n", "nn")
+    return attach(rows, edges, keys, size, extra=F.expr("v >= lo and v <= hi"))
+
+
 def _finer_bins(rows: DataFrame, opened: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Cut each open interval into equal bins and count the rows of each.
 
     The bin is a monotone function of the value however it rounds, so ranks
     stay exact; the smallest and largest value never share a bin.
     """
-    span = F.col("hi") - F.col("lo")
-    share = F.try_divide(F.col("v") - F.col("lo"), span)
-    cell = F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int")
+    cell = f"cast(least({BINS - 1}, floor(try_divide(v - lo, hi - lo) * {BINS})) as int) as _bin"
     bins = (
         _rows_inside(rows, opened, keys, size)
-        .groupBy(*keys, F.col("lo").alias("_from"), cell.alias("_bin"))
-        .agg(
-            F.count(F.lit(1)).alias("c"),
-            F.sum("v").alias("s"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-            *[F.max(c).alias(c) for c in ("base", "n", "nn")],
-        )
+        .groupBy(*keys, F.expr("lo as _from"), F.expr(cell))
+        .agg(*map(F.expr, _BIN_SUMS), *[F.max(c).alias(c) for c in ("base", "n", "nn")])
     )
-    upto = _running([*keys, "_from"], "_bin")
-    return bins.withColumn("cum", F.col("base") + F.sum("c").over(upto))
-
-
-def _rows_inside(rows: DataFrame, opened: DataFrame, keys: list[str], size: int) -> DataFrame:
-    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    return attach(rows, opened.select(*keys, "lo", "hi", "base", "n", "nn"), keys, size, extra=inside)
+    return bins.selectExpr("*", f"base + {_running([*keys, '_from'], '_bin')} as cum")
 
 
-def _ranked_ranks(rows: DataFrame, keys: list[str], stats: list[Stat]) -> DataFrame:
-    below = F.col("cum") - F.col("c")
-    wanted = [(r > below) & (r <= F.col("cum")) for s in stats for r in s.ranks()]
-    is_open = reduce(Column.__or__, wanted, F.lit(False)) & (F.col("lo") < F.col("hi"))
-    is_open = F.coalesce(is_open, F.lit(False))
+def _rank_table(rows: DataFrame, keys: list[str], stats: list[Stat]) -> DataFrame:
+    ranks = dict.fromkeys(r for s in stats for r in s.ranks())
+    holds = " or ".join(f"(cum - c < {r} and {r} <= cum)" for r in ranks)
+    is_open = F.expr(f"coalesce(lo < hi and ({holds}), false) as _open")
     out = [*keys, "v", "c", "s", "cum", "n", "nn"]
 
     parts, bins = [], _coarse_bins(rows, keys)
     while True:
         # A few bins per group: written once, so later passes start from them
         # and a lost executor cannot make two passes see different bins.
-        bins = checkpointed(bins.withColumn("_open", is_open))
-        single = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-        parts.append(bins.where(~F.col("_open")).withColumn("v", single).select(*out))
-        opened = bins.where("_open").withColumn("base", below)
-        intervals, largest = opened.agg(F.count(F.lit(1)), F.max("c")).first()
+        bins = checkpointed(bins.select("*", is_open))
+        closed = bins.where("not _open").withColumn("v", F.expr("if(lo = hi, lo, null)"))
+        parts.append(closed.select(*out))
+        opened = bins.where("_open").withColumn("base", F.expr("cum - c"))
+        intervals, largest = opened.agg(F.expr("count(*)"), F.expr("max(c)")).first()
         if not intervals or fits_one_task(largest):
             break
         bins = _finer_bins(rows, opened, keys, intervals)
     if intervals:
         listed = (
             _rows_inside(rows, opened, keys, intervals)
-            .groupBy(*keys, F.col("lo").alias("_from"), "v", "base", "n", "nn")
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
-        upto = _running([*keys, "_from"], "v")
-        parts.append(
-            listed.withColumn("cum", F.col("base") + F.sum("c").over(upto))
-            .withColumn("s", F.col("v") * F.col("c"))
-            .select(*out)
+            .groupBy(*keys, F.expr("lo as _from"), "v", "base", "n", "nn")
+            .agg(F.expr("count(*) as c"))
         )
+        upto = f"base + {_running([*keys, '_from'], 'v')} as cum"
+        parts.append(listed.selectExpr("*", upto, "v * c as s").select(*out))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -243,18 +233,12 @@ def describe(
     """
     rows = _measure_rows(df, keys, measure)
     if not any(s.ranks() for s in stats):
-        return _algebraic(rows, keys, stats)
-    table = _direct_ranks(rows, keys) if direct else _ranked_ranks(rows, keys, stats)
-    return table.groupBy(*keys).agg(*[s.aggregate().alias(s.name) for s in stats])
-
-
-def _algebraic(rows: DataFrame, keys: list[str], stats: list[Stat]) -> DataFrame:
-    simple = {
-        "rows": F.count(F.lit(1)),
-        "valid": F.count("v"),
-        "mean": F.avg("v"),
-    }
-    return rows.groupBy(*keys).agg(*[simple[s.kind].alias(s.name) for s in stats])
+        return rows.groupBy(*keys).agg(*[F.expr(f"{s.plain()} as {s.name}") for s in stats])
+    if direct:
+        wanted = [f"{s.of_sorted()} as {s.name}" for s in stats]
+        return _gathered(rows, keys).selectExpr(*[f"`{k}`" for k in keys], *wanted)
+    table = _rank_table(rows, keys, stats)
+    return table.groupBy(*keys).agg(*[F.expr(f"{s.of_ranks()} as {s.name}") for s in stats])
 
 
 def settled_average(column: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType, FloatType
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, StructField
 
 # Digits at which a double is settled before it is rounded for display.
 SETTLE_DIGITS = 8
@@ -26,11 +26,10 @@ def round_half_even(value: Column, digits: int = 2) -> Column:
 def round_measures(df: DataFrame, digits: int = 2) -> DataFrame:
     """Round every fractional column; counts and labels stay as they are."""
     fractional = (DoubleType, FloatType, DecimalType)
-    return df.select(
-        *[
-            round_half_even(F.col(f"`{f.name}`"), digits).alias(f.name)
-            if isinstance(f.dataType, fractional)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+
+    def rounded(f: StructField) -> str:
+        if not isinstance(f.dataType, fractional):
+            return f"`{f.name}`"
+        return f"bround(bround(`{f.name}`, {SETTLE_DIGITS}), {digits}) as `{f.name}`"
+
+    return df.selectExpr(*map(rounded, df.schema.fields))

@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one group that a single sorting task may be given.
-ONE_TASK_ROWS = 2_000_000
+# Rows of one group that a single task may be given to sort.
+ONE_TASK_ROWS = 1_000_000
 # Rows of a side table that may be sent to every executor.
 BROADCAST_ROWS = 100_000
 

@@ -15,6 +15,7 @@ def spark():
         SparkSession.builder.master("local[*]")
         .appName("levelwise-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
