@@ -18,7 +18,7 @@ from levelwise.functions.ranks import MEDIAN, ROWS, TRIMMED  # noqa: E402
 from levelwise.functions.rounding import round_half_even, round_measures  # noqa: E402
 from levelwise.levels import level_values  # noqa: E402
 from levelwise.operators import compare, grid, shapes, tables, trends  # noqa: E402
-from levelwise.sources.catalog import DatasetCatalog  # noqa: E402
+from levelwise.sources.catalog import DatasetCatalog, write_dataset  # noqa: E402
 from levelwise.sources.scratch import scratch_path  # noqa: E402
 from levelwise.sources.star import line_catalog, order_catalog  # noqa: E402
 from oracle import ORACLE_SQL  # noqa: E402
@@ -73,6 +73,15 @@ def _export_round_trip(cohort: Cohort) -> DataFrame:
     return grid.read_export(table, path)
 
 
+def _stored_year(cohort: Cohort) -> DataFrame:
+    """Store the dataset by year, reopen it by path, and summarise one year."""
+    spark = cohort.df.sparkSession
+    path = scratch_path(spark, "dataset")
+    write_dataset(cohort.df, path)
+    stored = DatasetCatalog(spark, {"Raw": path}, rows=cohort.book.rows)
+    return tables.summary(stored.cohort("Raw", FY, [DENSITY_YEAR]), MONTH, SCORE, PRIORITY)
+
+
 def _scatter(cohort: Cohort) -> DataFrame:
     return shapes.scatter_sample(cohort, SEGMENT, BALANCE, SCORE, key="Row_ID")
 
@@ -133,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_dataset_raw": _on(_raw, lambda c: c.df),
         "cohort_filter": _on(_kept, lambda c: c.df),
         "export_csv": _on(_raw, _export_round_trip),
+        "dataset_by_year": _on(_raw, _stored_year),
         "catalog_roles": _on(_raw, compare.catalog_roles),
         "level_values": _on(_raw, _levels),
         "year_recode": _on(_raw, _years),
@@ -254,6 +264,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stacked_layout": _on(
             _raw, lambda c: trends.stack(trends.area_mean(c, SEGMENT, PRICE), c, YQ, SEGMENT)
         ),
+        "stacked_bars": _on(
+            _raw,
+            lambda c: trends.stack(
+                trends.latest_bar(c, QUARTER, [SEGMENT, STATUS], SCORE), c, SEGMENT, STATUS
+            ),
+        ),
         # Scatter and density
         "scatter_sample": _on(_raw, _scatter),
         "linear_trend": _on(_raw, _trend_lines),

@@ -26,13 +26,14 @@ the same answers here.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelwise.functions.rounding import settle
+from levelwise.functions.rounding import quoted, settle
 from levelwise.plans.bounds import attach, fits_one_task
 from levelwise.sources.scratch import checkpointed
 
@@ -127,17 +128,18 @@ TRIMMED = Stat("trimmed", "trimmed_mean_20", 0.2)
 
 def _measure_rows(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     # Not-a-number counts as missing, as everywhere else.
-    value = f"nanvl(cast(`{measure}` as double), cast(null as double)) as v"
-    return df.selectExpr(*[f"`{k}`" for k in keys], value)
+    value = f"nanvl(cast({quoted(measure)} as double), cast(null as double)) as v"
+    return df.selectExpr(*map(quoted, keys), value)
 
 
-def _gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _gathered(rows: DataFrame, keys: list[str], extra: Sequence[str]) -> DataFrame:
     """A group's values in one sorted array; only for groups proven small."""
     return rows.groupBy(*keys).agg(
         F.expr("count(*) as n"),
         F.expr("count(v) as nn"),
         F.expr("sum(v) as total"),
         F.expr("sort_array(collect_list(v)) as a"),
+        *map(F.expr, extra),
     )
 
 
@@ -145,7 +147,7 @@ _BIN_SUMS = ("count(*) as c", "sum(v) as s", "min(v) as lo", "max(v) as hi")
 
 
 def _running(path: list[str], order: str) -> str:
-    by = ", ".join(f"`{k}`" for k in path)
+    by = ", ".join(map(quoted, path))
     return f"sum(c) over (partition by {by} order by {order} rows unbounded preceding)"
 
 
@@ -155,7 +157,7 @@ def _coarse_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
     Bin numbers need nothing but the value, so one scan yields the group totals
     and the first histogram. A group without any value keeps its null bin.
     """
-    by = ", ".join(f"`{k}`" for k in keys)
+    by = ", ".join(map(quoted, keys))
     scale = f"floor(signum(v) * log1p(abs(v)) * {LOG_BINS})"
     bins = rows.groupBy(*keys, F.expr(f"{scale} as _bin")).agg(*map(F.expr, _BIN_SUMS))
     return (
@@ -225,20 +227,28 @@ def describe(
     stats: list[Stat],
     *,
     direct: bool,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """``stats`` of ``measure`` per ``keys``; a null key is a group of its own.
 
+    ``extra`` adds named SQL aggregates over the value ``v``.
+
     ``direct`` says that every group is proven to fit one task. Without it the
     first passes over the data run at once, to find where the ranks lie.
     """
     rows = _measure_rows(df, keys, measure)
     if not any(s.ranks() for s in stats):
-        return rows.groupBy(*keys).agg(*[F.expr(f"{s.plain()} as {s.name}") for s in stats])
+        plain = [f"{s.plain()} as {s.name}" for s in stats]
+        return rows.groupBy(*keys).agg(*map(F.expr, [*plain, *extra]))
     if direct:
         wanted = [f"{s.of_sorted()} as {s.name}" for s in stats]
-        return _gathered(rows, keys).selectExpr(*[f"`{k}`" for k in keys], *wanted)
+        wanted += [e.rsplit(" as ", 1)[1] for e in extra]
+        return _gathered(rows, keys, extra).selectExpr(*map(quoted, keys), *wanted)
     table = _rank_table(rows, keys, stats)
-    return table.groupBy(*keys).agg(*[F.expr(f"{s.of_ranks()} as {s.name}") for s in stats])
+    ranked = table.groupBy(*keys).agg(*[F.expr(f"{s.of_ranks()} as {s.name}") for s in stats])
+    if not extra:
+        return ranked
+    return attach(ranked, rows.groupBy(*keys).agg(*map(F.expr, extra)), keys, None)
 
 
 def settled_average(column: str) -> Column:

@@ -23,13 +23,22 @@ def round_half_even(value: Column, digits: int = 2) -> Column:
     return F.bround(settle(value), digits)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def rounded_sql(value: str, digits: int = 2) -> str:
+    """``round_half_even`` as SQL text."""
+    return f"bround(bround({value}, {SETTLE_DIGITS}), {digits})"
+
+
 def round_measures(df: DataFrame, digits: int = 2) -> DataFrame:
     """Round every fractional column; counts and labels stay as they are."""
     fractional = (DoubleType, FloatType, DecimalType)
 
     def rounded(f: StructField) -> str:
-        if not isinstance(f.dataType, fractional):
-            return f"`{f.name}`"
-        return f"bround(bround(`{f.name}`, {SETTLE_DIGITS}), {digits}) as `{f.name}`"
+        name = quoted(f.name)
+        return f"{rounded_sql(name, digits)} as {name}" if isinstance(f.dataType, fractional) else name
 
     return df.selectExpr(*map(rounded, df.schema.fields))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelwise.cohort import Cohort
@@ -112,15 +112,10 @@ def density_bandwidth(
     cohort: Cohort, rows: DataFrame, group: str, measure: str, method: str = "auto"
 ) -> DataFrame:
     """Rule-of-thumb bandwidth per group; null for a group of a single row."""
-    quartiles = [Stat("quantile", "q25", 0.25), Stat("quantile", "q75", 0.75)]
-    spread = rows.groupBy(group).agg(
-        F.count(measure).alias("n"),
-        F.stddev_samp(measure).alias("sd"),
-        F.min(measure).alias("lo"),
-        F.max(measure).alias("hi"),
-    )
-    middle = describe(rows, [group], measure, quartiles, direct=cohort.direct([group], method))
-    both = attach(spread, middle, [group], cohort.book.group_bound([group]))
+    stats = [Stat("valid", "n"), Stat("quantile", "q25", 0.25), Stat("quantile", "q75", 0.75)]
+    extra = ["stddev_samp(v) as sd", "min(v) as lo", "max(v) as hi"]
+    direct = cohort.direct([group], method)
+    both = describe(rows, [group], measure, stats, direct=direct, extra=extra)
     narrow = F.least(F.col("sd"), (F.col("q75") - F.col("q25")) / 1.34)
     # A group without spread falls back to its value, then to one.
     scale = F.coalesce(
@@ -168,11 +163,22 @@ def density_curve(
     )
     # At most MESH weights per group, whatever the number of rows.
     curves = weights.groupBy(group, "n", "h", "start", "step").agg(
-        F.sort_array(F.collect_list(F.struct("i", "left", "right"))).alias("w")
+        F.sort_array(F.collect_list(F.struct("i", "left", "right"))).alias("weights")
     )
     # Summed before the points are listed, so once per group and mesh point.
-    summed = curves.select(
-        group, "start", "step", F.transform(F.sequence(F.lit(0), last), _kernel_sum).alias("mesh")
+    kernel = (
+        f"transform(sequence(0, {MESH}), d -> exp(-0.5D * (d * step / h) * (d * step / h))"
+        f" / (n * h * {math.sqrt(2 * math.pi)!r}D)) as kernel"
+    )
+    near = "w.left * get(kernel, abs(j - w.i)) + w.right * get(kernel, abs(j - w.i - 1))"
+    summed = curves.selectExpr("*", kernel).select(
+        group,
+        "start",
+        "step",
+        F.expr(
+            f"transform(sequence(0, {MESH - 1}), j ->"
+            f" aggregate(weights, 0D, (acc, w) -> acc + {near})) as mesh"
+        ),
     )
     points = summed.withColumn("point", F.explode(F.sequence(F.lit(0), last)))
     x = lo + F.col("point") * (hi - lo) / last
@@ -185,19 +191,3 @@ def density_curve(
         .withColumn("_at", at)
         .select(group, "point", "x", density.alias("density"))
     )
-
-
-def _kernel_sum(j: Column) -> Column:
-    """Density at mesh point ``j`` from the weights around every point."""
-    step, h = F.col("step"), F.col("h")
-
-    def kernel(distance: Column) -> Column:
-        z = distance * step / h
-        return F.exp(-0.5 * z * z)
-
-    total = F.aggregate(
-        "w",
-        F.lit(0.0),
-        lambda acc, w: acc + w["left"] * kernel(j - w["i"]) + w["right"] * kernel(j - w["i"] - 1),
-    )
-    return total / (F.col("n") * h * math.sqrt(2 * math.pi))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from levelwise.cohort import Cohort
 from levelwise.functions.predicates import apply_measure_rule
 from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, TRIMMED, Stat, describe
-from levelwise.functions.rounding import round_half_even, round_measures
+from levelwise.functions.rounding import quoted, round_half_even, round_measures, rounded_sql
 from levelwise.levels import level_grid, level_index
 from levelwise.roles import is_signed
 
@@ -80,10 +80,8 @@ def pivot_counts(cohort: Cohort, rows: list[str], column: str) -> DataFrame:
     cells = _counts_on_grid(cohort.df, grid)
     wide = cells.groupBy(*rows).pivot(column, labels).agg(F.sum("n"))
     names = [NULL_LEVEL if v is None else v for v in labels]
-    wide = wide.toDF(*rows, *names)
-    return wide.select(
-        *rows, *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names]
-    )
+    cells = [f"coalesce({quoted(n)}, 0L) as {quoted(n)}" for n in names]
+    return wide.toDF(*rows, *names).selectExpr(*map(quoted, rows), *cells)
 
 
 def r_name(label: str | None) -> str:
@@ -113,18 +111,15 @@ def crosstab(
         cohort.roles.require(c, "group")
     wide = pivot_counts(cohort, rows, column)
     levels = wide.columns[len(rows) :]
-    cells = [F.col(f"`{v}`") for v in levels]
-    total = sum(cells[1:], cells[0])
+    total = " + ".join(map(quoted, levels))
     rename = r_name if r_names else str
     suffix = ".Percent" if r_names else "_percent"
-    return wide.select(
-        *rows,
-        *[
-            round_half_even(100 * F.try_divide(c, total)).alias(rename(v) + suffix)
-            for c, v in zip(cells, levels)
-        ],
-        *[c.alias(rename(v)) for c, v in zip(cells, levels)],
-    )
+    percents = [
+        f"{rounded_sql(f'100 * try_divide({quoted(v)}, {total})')} as {quoted(rename(v) + suffix)}"
+        for v in levels
+    ]
+    counts = [f"{quoted(v)} as {quoted(rename(v))}" for v in levels]
+    return wide.selectExpr(*map(quoted, rows), *percents, *counts)
 
 
 def _zero_rule(measure: str, signed: bool | None, rule: str) -> str:
@@ -145,9 +140,7 @@ def measure_stats(
         cohort.roles.require(k, "categorical")
     kept = apply_measure_rule(cohort.df, measure, rule)
     direct = not any(s.ranks() for s in stats) or cohort.direct(keys, method)
-    return round_measures(
-        describe(kept, keys, measure, stats, direct=direct)
-    )
+    return round_measures(describe(kept, keys, measure, stats, direct=direct))
 
 
 def summary(

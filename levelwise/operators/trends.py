@@ -215,9 +215,7 @@ def melt(
     return df.unpivot(ids, [f"`{v}`" for v in values], name, value)
 
 
-def stack(
-    result: DataFrame, cohort: Cohort, x: str, series: str, y: str = "mean"
-) -> DataFrame:
+def stack(result: DataFrame, cohort: Cohort, x: str, series: str, y: str = "mean") -> DataFrame:
     """Where each bar or area segment starts and ends when stacked.
 
     The first level of ``series`` ends on top.

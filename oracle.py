@@ -327,6 +327,14 @@ def stacked() -> str:
         {rnd(f"{run} - mean")} AS ymin FROM ({area})"""
 
 
+def stacked_bars() -> str:
+    where = f"Num_Score > 0 AND {Q} = 'Q4' AND {shown(SEG)} AND {shown(STATUS)}"
+    bars = stats("raw", [Q, SEG, STATUS], "Num_Score", PLAIN, where)
+    run = f"sum(mean) OVER (PARTITION BY {SEG} ORDER BY {STATUS} DESC ROWS UNBOUNDED PRECEDING)"
+    return f"""SELECT {Q}, {SEG}, {STATUS}, mean, median, n, {rnd(run)} AS ymax,
+        {rnd(f"{run} - mean")} AS ymin FROM ({bars})"""
+
+
 ROLE_COLUMNS = f"Row_ID, {SEG}, {STATUS}, Num_Balance, Num_Score"
 
 ORACLE_SQL = {
@@ -338,6 +346,9 @@ ORACLE_SQL = {
     "load_dataset_raw": with_("SELECT * FROM raw"),
     "cohort_filter": with_("SELECT * FROM kept", RAW, KEPT),
     "export_csv": with_(SUMMARY_2),
+    "dataset_by_year": with_(
+        stats("raw", [M, PRIO], "Num_Score", SUMMARY, f"Num_Score <> 0 AND {FY} = '1998-99'")
+    ),
     "catalog_roles": with_(roles()),
     "level_values": with_(level_rows()),
     "year_recode": with_(
@@ -444,6 +455,7 @@ dated AS (SELECT *, CAST(dense_rank() OVER (ORDER BY {FY}) + 2018 AS INTEGER) AS
     ),
     "unpivot_share": with_(long_percent()),
     "stacked_layout": with_(stacked()),
+    "stacked_bars": with_(stacked_bars()),
     "scatter_sample": with_(sample()),
     "linear_trend": with_(
         f"""SELECT {SEG}, {rnd("slope", 6)} AS slope, {rnd("icept", 6)} AS intercept, n,
