@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from levelwise.cohort import Cohort
 from levelwise.functions.predicates import apply_measure_rule, visible_label
 from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, Stat, describe
-from levelwise.functions.rounding import round_half_even, round_measures
+from levelwise.functions.rounding import round_measures, rounded_sql
 from levelwise.levels import level_index
 from levelwise.operators.tables import _zero_rule, measure_stats
+from levelwise.sources.scratch import checkpointed
 
 # Line charts show the trimmed mean under the plain name.
 LINE_MEAN = Stat("trimmed", "mean", 0.2)
@@ -180,28 +181,28 @@ def share_area(
     all its percentages and its total are null; with ``fill`` a missing cell is
     a zero instead.
     """
-    cells = (
+    counted = (
         cohort.df.where(visible_label(group, strict_labels))
         .groupBy(F.col(time).alias("Time"), F.col(group).alias("Condition"))
         .agg(F.count(F.lit(1)).alias("cell"))
     )
-    # From here on the data are one row per cell of the result.
-    present = cells.agg(F.sort_array(F.collect_set("Condition"))).scalar()
+    # One row per cell of the result; kept, so that the data are read once.
+    cells = checkpointed(counted)
+    present = cells.agg(F.sort_array(F.collect_set("Condition"))).first()[0]
     times = cells.groupBy("Time").agg(
-        F.map_from_entries(F.collect_list(F.struct("Condition", "cell"))).alias("_cells"),
-        F.sum("cell").alias("_total"),
-        F.count(F.lit(1)).alias("_groups"),
+        F.map_from_entries(F.collect_list(F.struct("Condition", "cell"))).alias("cells"),
+        F.sum("cell").alias("total"),
     )
-    total = F.col("_total")
-    if not fill:
-        total = F.when(F.col("_groups") == F.size(present), total)
-    cell = F.element_at("_cells", F.col("Condition"))
+    total, cell = "total", "element_at(cells, Condition)"
     if fill:
-        cell = F.coalesce(cell, F.lit(0))
-    long = times.select("Time", "_cells", total.alias("n"), F.explode(present).alias("Condition"))
-    label = _r_condition(F.col("Condition")) if r_names else F.col("Condition")
-    percent = round_half_even(100 * F.try_divide(cell, F.col("n")))
-    return long.select("Time", label.alias("Condition"), percent.alias("Percentage"), "n")
+        cell = f"coalesce({cell}, 0L)"
+    else:
+        total = f"if(size(cells) = {len(present)}, total, null)"
+    groups = F.array(*map(F.lit, present)).cast("array<string>")
+    long = times.select("Time", "cells", F.expr(f"{total} as n"), F.explode(groups).alias("Condition"))
+    percent = rounded_sql(f"100 * try_divide({cell}, n)")
+    shares = long.selectExpr("Time", "Condition", f"{percent} as Percentage", "n")
+    return shares.withColumn("Condition", _r_condition(F.col("Condition"))) if r_names else shares
 
 
 def melt(

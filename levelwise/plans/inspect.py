@@ -15,8 +15,13 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return out.getvalue()
 
 
-def final_plan_text(df: DataFrame) -> str:
-    """The adaptive plan after running the query once into the noop sink."""
-    df.write.format("noop").mode("overwrite").save()
-    df.count()
-    return plan_text(df)
+def operators(df: DataFrame) -> list[str]:
+    """Names of the initial plan's operators, root first, repeats included."""
+    names = []
+    for line in plan_text(df).splitlines():
+        if line.startswith("("):
+            break
+        name = line.lstrip(" :+-*").split(" (")[0].strip()
+        if name and not name.startswith("=="):
+            names.append(name)
+    return names
