@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levelwise.cohort import Cohort
 from levelwise.functions.ranks import MEAN, ROWS, Stat, describe
-from levelwise.functions.rounding import round_measures
+from levelwise.functions.rounding import quoted, round_measures
 
 _STATS = [ROWS, Stat("valid", "valid"), MEAN, Stat("median", "median")]
 
@@ -68,17 +68,11 @@ def catalog_roles(cohort: Cohort) -> DataFrame:
         )
         for i, c in enumerate(columns, start=1)
     ]
-    filled = cohort.df.agg(*[F.count(c).alias(c) for c, *_ in listed])
+    filled = cohort.df.selectExpr(*[f"count({quoted(c)}) as {quoted(c)}" for c, *_ in listed])
     rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(role).alias("role"),
-            F.lit(i).alias("ordinal"),
-            F.lit(back).alias("reverse_ordinal"),
-            F.lit(role == "group" and c in roles.area_groups).alias("in_area"),
-            F.lit(c in roles.filterable).alias("filterable"),
-            F.col(c).alias("filled_rows"),
-        )
+        f"struct('{c}' as column_name, '{role}' as role, {i} as ordinal,"
+        f" {back} as reverse_ordinal, {role == 'group' and c in roles.area_groups} as in_area,"
+        f" {c in roles.filterable} as filterable, {quoted(c)} as filled_rows)"
         for c, role, i, back in listed
     ]
-    return filled.select(F.inline(F.array(*rows)))
+    return filled.selectExpr(f"inline(array({', '.join(rows)}))")

@@ -11,7 +11,7 @@ from levelwise.cohort import Cohort
 from levelwise.functions.predicates import apply_measure_rule, complete_cases
 from levelwise.functions.ranks import Stat, describe
 from levelwise.operators.tables import _zero_rule
-from levelwise.plans.bounds import attach
+from levelwise.plans.bounds import attach, fits_one_task
 from levelwise.sources.scratch import checkpointed
 
 # Sample size, trimming quantiles and density grid.
@@ -35,18 +35,37 @@ def scatter_sample(
     seed: int = 42,
     size: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """At most ``size`` random rows with group, x and y present.
+    """Exactly ``size`` random rows with group, x and y present, or all if fewer.
 
-    With a unique ``key`` the sample is a function of the seed and the rows, and
-    the same however the data are laid out. Each task keeps its own first
-    ``size`` rows, so no more than that leave it.
+    The rows with the smallest draws are taken. With a unique ``key`` the draw is
+    a hash of seed and key, so the sample depends on the rows alone and not on
+    how they are laid out.
     """
     cohort.roles.require(group, "group")
-    if key is None:
-        return scatter_rows(cohort, group, x, y).orderBy(F.rand(seed)).limit(size)
-    rows = scatter_rows(cohort, group, x, y, key)
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return rows.orderBy(draw, key).limit(size)
+    keys = [key] if key is not None else []
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))) if key else F.rand(seed)
+    rows = scatter_rows(cohort, group, x, y, *keys).withColumn("_draw", draw)
+    if not fits_one_task(cohort.book.rows):
+        rows = _low_draws(rows, size, hashed=key is not None)
+    return rows.orderBy("_draw", *keys).limit(size).drop("_draw")
+
+
+def _low_draws(rows: DataFrame, size: int, hashed: bool) -> DataFrame:
+    """Rows that certainly include those with the ``size`` smallest draws.
+
+    Taking the smallest of many tasks would send ``size`` rows from each to one
+    place. Draws are uniform, so a limit ten standard deviations above the
+    wanted share leaves little more than ``size`` rows over all tasks. Should it
+    ever leave fewer, every row stays a candidate.
+    """
+    count = rows.count()
+    share = (size + 10 * math.sqrt(size) + 10) / max(count, 1)
+    if share >= 1:
+        return rows
+    # The first 13 hexadecimal digits of a hash are a number below 2**52.
+    limit = f"{int(share * 16**13):013x}" if hashed else share
+    low = checkpointed(rows.where(F.col("_draw") < F.lit(limit)))
+    return low if low.count() >= size else rows
 
 
 def linear_trend(points: DataFrame, group: str, x: str, y: str) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 # Rows of one group that a single task may be given to sort.
 ONE_TASK_ROWS = 1_000_000
-# Rows of a side table that may be sent to every executor.
-BROADCAST_ROWS = 100_000
+# Rows of a side table that may be sent to every executor: a few labels and
+# numbers each, so some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 
 def fits_one_task(rows: int | None) -> bool:

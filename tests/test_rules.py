@@ -278,6 +278,23 @@ def test_sample_is_complete_cases_and_reproducible(spark):
     assert every.count() == sum(1 for r in rows if r[1] and r[3] is not None)
 
 
+def test_sample_over_many_tasks_is_the_same(spark, monkeypatch):
+    from levelwise.plans import bounds
+
+    rows = [(i, "A", float(i), float(-i)) for i in range(3000)]
+    columns = ("Row_ID", GROUP, "Num_A", "Num_B")
+    c = cohort(spark, rows, columns, ["bigint", "string", "double", "double"])
+    whole = rows_of(shapes.scatter_sample(c, GROUP, "Num_A", "Num_B", key="Row_ID", size=50))
+    monkeypatch.setattr(bounds, "ONE_TASK_ROWS", 10)
+    cut = shapes.scatter_sample(c, GROUP, "Num_A", "Num_B", key="Row_ID", size=50)
+    assert rows_of(cut) == whole and len(whole) == 50
+    assert shapes.scatter_sample(c, GROUP, "Num_A", "Num_B", size=50).distinct().count() == 50
+    # Too few rows below the limit: nothing is lost.
+    monkeypatch.setattr(shapes.math, "sqrt", lambda _: -4.9)
+    few = shapes.scatter_sample(c, GROUP, "Num_A", "Num_B", key="Row_ID", size=50)
+    assert rows_of(few) == whole
+
+
 def test_linear_trend_of_a_known_line(spark):
     points = spark.createDataFrame(
         [("a", float(x), 2.0 * x + 1) for x in range(5)] + [("b", 1.0, 1.0)],
