@@ -9,6 +9,7 @@ from levelwise.functions.fiscal import fiscal_columns
 from levelwise.functions.ranks import settled_average
 from levelwise.plans.bounds import attach
 from levelwise.sources.catalog import IMPUTED, RAW, DatasetCatalog
+from levelwise.sources.scratch import checkpointed
 
 
 def _segment() -> Column:
@@ -58,8 +59,10 @@ def imputed_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Raw orders with a missing score replaced by its priority's mean score."""
     raw = raw_orders(spark, folder)
     means = raw.groupBy("Demographic_Priority").agg(settled_average("Num_Score").alias("_mean"))
-    # Priority is a closed code list of five.
-    filled = attach(raw, means, ["Demographic_Priority"], small_rows=6, how="left")
+    # Stored, so that every later pass fills in the same values; counted, so
+    # that it is broadcast only while it is small.
+    means = checkpointed(means)
+    filled = attach(raw, means, ["Demographic_Priority"], means.count(), how="left")
     return filled.withColumn("Num_Score", F.coalesce("Num_Score", "_mean")).select(*raw.columns)
 
 
