@@ -38,8 +38,10 @@ from levelwise.plans.bounds import attach, fits_one_task
 from levelwise.sources.scratch import checkpointed
 
 # Bins per e-fold of the first, logarithmic cut, and per interval of later ones.
-LOG_BINS = 32
+LOG_BINS = 128
 BINS = 1024
+# Bins that a filter on the rows may list.
+LISTED_BINS = 1000
 
 _MEDIAN_RANKS = ("floor((nn + 1) / 2)", "floor((nn + 2) / 2)")
 
@@ -151,6 +153,10 @@ def _running(path: list[str], order: str) -> str:
     return f"sum(c) over (partition by {by} order by {order} rows unbounded preceding)"
 
 
+def _log_bin(value: str) -> str:
+    return f"floor(signum({value}) * log1p(abs({value})) * {LOG_BINS})"
+
+
 def _coarse_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per non-empty bin of a fixed logarithmic scale, lowest first.
 
@@ -158,8 +164,7 @@ def _coarse_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
     and the first histogram. A group without any value keeps its null bin.
     """
     by = ", ".join(map(quoted, keys))
-    scale = f"floor(signum(v) * log1p(abs(v)) * {LOG_BINS})"
-    bins = rows.groupBy(*keys, F.expr(f"{scale} as _bin")).agg(*map(F.expr, _BIN_SUMS))
+    bins = rows.groupBy(*keys, F.expr(f"{_log_bin('v')} as _bin")).agg(*map(F.expr, _BIN_SUMS))
     return (
         bins.selectExpr("*", f"sum(c) over (partition by {by}) as n")
         .withColumn("c", F.expr("if(_bin is null, 0L, c)"))
@@ -205,13 +210,22 @@ def _rank_table(rows: DataFrame, keys: list[str], stats: list[Stat]) -> DataFram
         closed = bins.where("not _open").withColumn("v", F.expr("if(lo = hi, lo, null)"))
         parts.append(closed.select(*out))
         opened = bins.where("_open").withColumn("base", F.expr("cum - c"))
-        intervals, largest = opened.agg(F.expr("count(*)"), F.expr("max(c)")).first()
-        if not intervals or fits_one_task(largest):
+        intervals, largest, log_bins = opened.agg(
+            F.expr("count(*)"), F.expr("max(c)"), F.expr(f"collect_set({_log_bin('lo')})")
+        ).first()
+        if not intervals:
+            break
+        # An interval lies within one coarse bin; most rows are in none of
+        # these and are passed over before the join.
+        near = rows
+        if len(log_bins) <= LISTED_BINS:
+            near = rows.where(f"{_log_bin('v')} in ({', '.join(map(str, log_bins))})")
+        if fits_one_task(largest):
             break
-        bins = _finer_bins(rows, opened, keys, intervals)
+        bins = _finer_bins(near, opened, keys, intervals)
     if intervals:
         listed = (
-            _rows_inside(rows, opened, keys, intervals)
+            _rows_inside(near, opened, keys, intervals)
             .groupBy(*keys, F.expr("lo as _from"), "v", "base", "n", "nn")
             .agg(F.expr("count(*) as c"))
         )
