@@ -18,7 +18,7 @@ from levelwise.functions.ranks import MEDIAN, ROWS, TRIMMED  # noqa: E402
 from levelwise.functions.rounding import round_half_even, round_measures  # noqa: E402
 from levelwise.levels import level_values  # noqa: E402
 from levelwise.operators import compare, grid, shapes, tables, trends  # noqa: E402
-from levelwise.sources.catalog import DatasetCatalog, write_dataset  # noqa: E402
+from levelwise.sources.catalog import DatasetCatalog, write_dataset, write_levels  # noqa: E402
 from levelwise.sources.scratch import scratch_path  # noqa: E402
 from levelwise.sources.star import line_catalog, order_catalog  # noqa: E402
 from oracle import ORACLE_SQL  # noqa: E402
@@ -76,9 +76,10 @@ def _export_round_trip(cohort: Cohort) -> DataFrame:
 def _stored_year(cohort: Cohort) -> DataFrame:
     """Store the dataset by year, reopen it by path, and summarise one year."""
     spark = cohort.df.sparkSession
-    path = scratch_path(spark, "dataset")
+    path, levels = scratch_path(spark, "dataset"), scratch_path(spark, "levels")
     write_dataset(cohort.df, path)
-    stored = DatasetCatalog(spark, {"Raw": path}, rows=cohort.book.rows)
+    write_levels(cohort, levels)
+    stored = DatasetCatalog(spark, {"Raw": path}, stored_levels={"Raw": levels})
     return tables.summary(stored.cohort("Raw", FY, [DENSITY_YEAR]), MONTH, SCORE, PRIORITY)
 
 

@@ -41,7 +41,8 @@ class LevelBook:
     """Levels and their row counts, found once per dataset and kept.
 
     Labels with a natural order are declared; the rest are found by a counting
-    job over the columns asked for and ordered as text.
+    job over the columns asked for, or read from ``stored``, the result of an
+    earlier ``level_counts``, and ordered as text.
     """
 
     def __init__(
@@ -50,20 +51,26 @@ class LevelBook:
         declared: Mapping[str, Iterable[str]] | None = None,
         rows: int | None = None,
         max_levels: int = MAX_LEVELS,
+        stored: DataFrame | None = None,
     ):
         self._base = base
         self._declared = {k: tuple(v) for k, v in (declared or {}).items()}
         self._counts: dict[str, dict[str | None, int]] = {}
         self._rows = rows
         self._max = max_levels
+        self._stored = stored
 
     def load(self, *columns: str) -> None:
         """Count the labels of ``columns`` that are not known yet, in one job."""
         missing = [c for c in columns if c not in self._counts]
         if not missing:
             return
+        if self._stored is None:
+            labels = level_counts(self._base, missing)
+        else:
+            labels = self._stored.where(F.col("dimension").isin(*missing))
         # One label past the limit per column is enough to see the limit broken.
-        found = level_counts(self._base, missing).limit(len(missing) * (self._max + 2)).collect()
+        found = labels.limit(len(missing) * (self._max + 2)).collect()
         counts: dict[str, dict[str | None, int]] = {c: {} for c in missing}
         for row in found:
             counts[row.dimension][row.level] = row.n

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from levelwise.cohort import Cohort
 from levelwise.functions.fiscal import CALENDAR_LEVELS
-from levelwise.levels import LevelBook
+from levelwise.levels import LevelBook, level_counts
 from levelwise.roles import RoleSchema
 
 # The names of the two dataset variants.
@@ -20,7 +20,8 @@ class DatasetCatalog:
     """Variant name to DataFrame, with one level dictionary per variant.
 
     A variant is a parquet path, or a function that builds the DataFrame. Any
-    name but ``Raw`` means the imputed data.
+    name but ``Raw`` means the imputed data. ``stored_levels`` names what
+    ``write_levels`` wrote for a variant, which saves counting its labels again.
     """
 
     def __init__(
@@ -29,11 +30,13 @@ class DatasetCatalog:
         variants: Mapping[str, str | Callable[[], DataFrame]],
         declared_levels: Mapping[str, tuple[str, ...]] = CALENDAR_LEVELS,
         rows: int | None = None,
+        stored_levels: Mapping[str, str] | None = None,
     ):
         self._spark = spark
         self._variants = dict(variants)
         self._declared = declared_levels
         self._rows = rows
+        self._stored = dict(stored_levels or {})
         self._cohorts: dict[str, Cohort] = {}
 
     def dataset(self, name: str = IMPUTED) -> Cohort:
@@ -44,7 +47,10 @@ class DatasetCatalog:
             df = source() if callable(source) else self._spark.read.parquet(source)
             roles = RoleSchema.infer(df)
             declared = {k: v for k, v in self._declared.items() if k in df.columns}
-            self._cohorts[name] = Cohort(df, roles, LevelBook(df, declared, self._rows))
+            stored = self._stored.get(name)
+            labels = self._spark.read.parquet(stored) if stored else None
+            book = LevelBook(df, declared, self._rows, stored=labels)
+            self._cohorts[name] = Cohort(df, roles, book)
         return self._cohorts[name]
 
     def cohort(
@@ -68,3 +74,10 @@ def write_dataset(df: DataFrame, path: str, partition_by: str = "Financial_Year"
     and splitting one that holds most rows over many tasks.
     """
     df.hint("rebalance", partition_by).write.partitionBy(partition_by).mode("error").parquet(path)
+
+
+def write_levels(cohort: Cohort, path: str) -> None:
+    """Store the level counts of an unfiltered cohort's categorical columns."""
+    if cohort.filtered:
+        raise ValueError("levels belong to the whole dataset, not to a filtered cohort")
+    level_counts(cohort.df, cohort.roles.categorical).write.mode("error").parquet(path)

@@ -113,6 +113,23 @@ def test_filter_keeps_levels_and_never_stacks(spark, tmp_path):
     ]
 
 
+def test_stored_levels_replace_the_counting_job(spark, tmp_path):
+    from levelwise.sources.catalog import write_levels
+
+    data, levels = str(tmp_path / "d"), str(tmp_path / "l")
+    c = cohort(spark, [("Q1", "A", 1.0), ("Q1", "B", 2.0), ("Q2", None, 3.0)])
+    c.df.write.parquet(data)
+    write_levels(c, levels)
+    stored = DatasetCatalog(spark, {"Raw": data}, stored_levels={"Raw": levels}).dataset("Raw")
+    assert stored.book.levels(GROUP) == ("A", "B") and stored.book.has_null(GROUP)
+    assert stored.book.largest_group([TIME, GROUP]) == 1
+    assert rows_of(tables.crosstab(stored, TIME, GROUP))[0] == (
+        "Q1", 50.0, 50.0, 0.0, 1, 1, 0,
+    )
+    with pytest.raises(ValueError):
+        write_levels(c.keep(GROUP, ["A"]), levels)
+
+
 def test_crosstab_zero_row_and_null_column(spark):
     c = cohort(
         spark, [("Q1", "A", 1.0), ("Q1", None, 1.0), ("Q1", None, 1.0)], declared={TIME: ["Q1", "Q2"]}
