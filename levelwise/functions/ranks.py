@@ -26,7 +26,6 @@ the same answers here.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -134,17 +133,18 @@ def _measure_rows(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return df.selectExpr(*map(quoted, keys), value)
 
 
-def _gathered(rows: DataFrame, keys: list[str], extra: Sequence[str]) -> DataFrame:
+def _gathered(rows: DataFrame, keys: list[str], spread: bool) -> DataFrame:
     """A group's values in one sorted array; only for groups proven small."""
     return rows.groupBy(*keys).agg(
         F.expr("count(*) as n"),
         F.expr("count(v) as nn"),
         F.expr("sum(v) as total"),
         F.expr("sort_array(collect_list(v)) as a"),
-        *map(F.expr, extra),
+        *map(F.expr, _SPREAD if spread else ()),
     )
 
 
+_SPREAD = ("stddev_samp(v) as sd", "min(v) as lo", "max(v) as hi")
 _BIN_SUMS = ("count(*) as c", "sum(v) as s", "min(v) as lo", "max(v) as hi")
 
 
@@ -157,14 +157,16 @@ def _log_bin(value: str) -> str:
     return f"floor(signum({value}) * log1p(abs({value})) * {LOG_BINS})"
 
 
-def _coarse_bins(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _coarse_bins(rows: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
     """One row per non-empty bin of a fixed logarithmic scale, lowest first.
 
     Bin numbers need nothing but the value, so one scan yields the group totals
     and the first histogram. A group without any value keeps its null bin.
+    With ``spread`` a bin also has its variance.
     """
     by = ", ".join(map(quoted, keys))
-    bins = rows.groupBy(*keys, F.expr(f"{_log_bin('v')} as _bin")).agg(*map(F.expr, _BIN_SUMS))
+    sums = [*_BIN_SUMS, *(["var_pop(v) as within"] if spread else [])]
+    bins = rows.groupBy(*keys, F.expr(f"{_log_bin('v')} as _bin")).agg(*map(F.expr, sums))
     return (
         bins.selectExpr("*", f"sum(c) over (partition by {by}) as n")
         .withColumn("c", F.expr("if(_bin is null, 0L, c)"))
@@ -196,17 +198,38 @@ def _finer_bins(rows: DataFrame, opened: DataFrame, keys: list[str], size: int)
     return bins.selectExpr("*", f"base + {_running([*keys, '_from'], '_bin')} as cum")
 
 
-def _rank_table(rows: DataFrame, keys: list[str], stats: list[Stat]) -> DataFrame:
+def _spread_rows(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """A weightless rank table row per group with its sd, smallest and largest value."""
+    by = ", ".join(map(quoted, keys))
+    moved = bins.selectExpr("*", f"s / c - sum(s) over (partition by {by}) / nn as moved")
+    square = "sum(c * (within + moved * moved))"
+    return (
+        moved.where("c > 0")
+        .groupBy(*keys, "n", "nn")
+        .agg(
+            F.expr(f"sqrt(try_divide({square}, nn - 1)) as sd"),
+            F.expr("min(lo) as lo"),
+            F.expr("max(hi) as hi"),
+        )
+        .selectExpr("*", "0L as c", "0L as cum")
+    )
+
+
+def _rank_table(
+    rows: DataFrame, keys: list[str], stats: list[Stat], spread: bool
+) -> DataFrame:
     ranks = dict.fromkeys(r for s in stats for r in s.ranks())
     holds = " or ".join(f"(cum - c < {r} and {r} <= cum)" for r in ranks)
     is_open = F.expr(f"coalesce(lo < hi and ({holds}), false) as _open")
     out = [*keys, "v", "c", "s", "cum", "n", "nn"]
 
-    parts, bins = [], _coarse_bins(rows, keys)
+    parts, bins = [], _coarse_bins(rows, keys, spread)
     while True:
         # A few bins per group: written once, so later passes start from them
         # and a lost executor cannot make two passes see different bins.
         bins = checkpointed(bins.select("*", is_open))
+        if spread and not parts:
+            spread_rows = _spread_rows(bins, keys)
         closed = bins.where("not _open").withColumn("v", F.expr("if(lo = hi, lo, null)"))
         parts.append(closed.select(*out))
         opened = bins.where("_open").withColumn("base", F.expr("cum - c"))
@@ -231,7 +254,8 @@ def _rank_table(rows: DataFrame, keys: list[str], stats: list[Stat]) -> DataFram
         )
         upto = f"base + {_running([*keys, '_from'], 'v')} as cum"
         parts.append(listed.selectExpr("*", upto, "v * c as s").select(*out))
-    return reduce(DataFrame.unionByName, parts)
+    table = reduce(DataFrame.unionByName, parts)
+    return table.unionByName(spread_rows, allowMissingColumns=True) if spread else table
 
 
 def describe(
@@ -241,28 +265,25 @@ def describe(
     stats: list[Stat],
     *,
     direct: bool,
-    extra: Sequence[str] = (),
+    spread: bool = False,
 ) -> DataFrame:
     """``stats`` of ``measure`` per ``keys``; a null key is a group of its own.
 
-    ``extra`` adds named SQL aggregates over the value ``v``.
-
     ``direct`` says that every group is proven to fit one task. Without it the
     first passes over the data run at once, to find where the ranks lie.
+    ``spread`` adds the columns ``sd``, ``lo`` and ``hi``.
     """
     rows = _measure_rows(df, keys, measure)
     if not any(s.ranks() for s in stats):
         plain = [f"{s.plain()} as {s.name}" for s in stats]
-        return rows.groupBy(*keys).agg(*map(F.expr, [*plain, *extra]))
+        return rows.groupBy(*keys).agg(*map(F.expr, [*plain, *(_SPREAD if spread else ())]))
     if direct:
         wanted = [f"{s.of_sorted()} as {s.name}" for s in stats]
-        wanted += [e.rsplit(" as ", 1)[1] for e in extra]
-        return _gathered(rows, keys, extra).selectExpr(*map(quoted, keys), *wanted)
-    table = _rank_table(rows, keys, stats)
-    ranked = table.groupBy(*keys).agg(*[F.expr(f"{s.of_ranks()} as {s.name}") for s in stats])
-    if not extra:
-        return ranked
-    return attach(ranked, rows.groupBy(*keys).agg(*map(F.expr, extra)), keys, None)
+        wanted += ["sd", "lo", "hi"] if spread else []
+        return _gathered(rows, keys, spread).selectExpr(*map(quoted, keys), *wanted)
+    wanted = [f"{s.of_ranks()} as {s.name}" for s in stats]
+    wanted += ["max(sd) as sd", "min(lo) as lo", "max(hi) as hi"] if spread else []
+    return _rank_table(rows, keys, stats, spread).groupBy(*keys).agg(*map(F.expr, wanted))
 
 
 def settled_average(column: str) -> Column:

@@ -132,9 +132,8 @@ def density_bandwidth(
 ) -> DataFrame:
     """Rule-of-thumb bandwidth per group; null for a group of a single row."""
     stats = [Stat("valid", "n"), Stat("quantile", "q25", 0.25), Stat("quantile", "q75", 0.75)]
-    extra = ["stddev_samp(v) as sd", "min(v) as lo", "max(v) as hi"]
     direct = cohort.direct([group], method)
-    both = describe(rows, [group], measure, stats, direct=direct, extra=extra)
+    both = describe(rows, [group], measure, stats, direct=direct, spread=True)
     narrow = F.least(F.col("sd"), (F.col("q75") - F.col("q25")) / 1.34)
     # A group without spread falls back to its value, then to one.
     scale = F.coalesce(

@@ -94,6 +94,30 @@ def test_ranked_plan_without_broadcast(spark, monkeypatch, broadcast_rows):
     check(spark, shapes_of_data(), direct=False)
 
 
+def test_spread_is_the_same_in_both_plans(spark, monkeypatch):
+    monkeypatch.setattr(bounds, "ONE_TASK_ROWS", 20)
+    groups = {k: v for k, v in shapes_of_data().items() if k is None or "outlier" not in k}
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    for direct in (True, False):
+        got = describe(df, ["k"], "x", [Stat("median", "m"), ROWS], direct=direct, spread=True)
+        found = {r["k"]: r for r in got.collect()}
+        assert set(found) == set(groups)
+        for k, values in groups.items():
+            known = np.array([v for v in values if v is not None])
+            if not len(known):
+                assert (found[k].sd, found[k].lo, found[k].hi) == (None, None, None)
+                continue
+            assert (found[k].lo, found[k].hi) == (known.min(), known.max())
+            if len(known) == 1:
+                assert found[k].sd is None
+            else:
+                want = np.std(known - known.mean(), ddof=1)
+                # A mean is known no better than the rounding of the values.
+                ulps = 4 * np.spacing(np.abs(known).max())
+                assert found[k].sd == pytest.approx(want, rel=1e-9, abs=ulps), k
+
+
 def test_infinite_and_not_a_number(spark):
     inf = float("inf")
     rows = [("k", v) for v in (inf, -inf, 1.0, 2.0, 3.0, float("nan"))]
