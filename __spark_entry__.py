@@ -23,6 +23,12 @@ from levelwise.sources.scratch import scratch_path  # noqa: E402
 from levelwise.sources.star import line_catalog, order_catalog  # noqa: E402
 from oracle import ORACLE_SQL  # noqa: E402
 
+try:  # the training-data operators can be taken out as a whole
+    import corpus_pipeline
+    from levelwise.llm import queries as training
+except ImportError:
+    corpus_pipeline = training = None
+
 QUARTER, MONTH, YQ, FY = "Financial_Quarter", "Month", "Year_Quarter", "Financial_Year"
 SEGMENT, STATUS, NATION = "Demographic_Segment", "Demographic_Status", "Demographic_Nation"
 PRIORITY, REGION = "Demographic_Priority", "Demographic_Region"
@@ -137,6 +143,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    more = {"pipeline": corpus_pipeline.run, **training.queries()} if training else {}
+    return _cohort_queries() | more
+
+
+def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # Datasets and roles
         "load_dataset": _on(_imputed, lambda c: round_measures(c.df)),
@@ -317,4 +328,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return dict(ORACLE_SQL) | (training.oracle_sql() if training else {})
