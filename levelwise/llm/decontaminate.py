@@ -114,7 +114,8 @@ def _hits(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     theirs = stored(_placed(items, "class", k, window, reach, "theirs"), "item-fingerprints")
     known = stored(theirs.select(F.col("h").alias("known")).distinct(), "item-hashes")
 
-    own = docs.select("row", _least(_grams(F.col("words"), k), window).alias("least"))
+    own = docs.select("row", _grams(F.col("words"), k).alias("grams"))
+    own = own.select("row", _least(F.col("grams"), window).alias("least"))
     winnowed = own.select("row", F.explode(F.array_distinct("least")).alias("h"))
     met = winnowed.join(known, F.col("h") == F.col("known"), "left_semi")
     suspects = stored(met.select(F.col("row").alias("suspect")).distinct(), "suspects")

@@ -11,6 +11,8 @@ kind of token.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +113,26 @@ def _kept(kind: str, found: Column) -> Column:
     return F.when(n.between(14, 19), _luhn(_digits(found))).otherwise(F.lit(False))
 
 
+def _passes(kind: str, match: Column) -> Column:
+    return _kept(kind, match["found"])
+
+
+def _tagged(kind: int, spans: Column) -> Column:
+    return F.transform(
+        spans,
+        lambda m: F.struct(
+            m["start"].alias("start"),
+            F.lit(kind).alias("kind"),
+            m["end"].alias("end"),
+            m["found"].alias("found"),
+        ),
+    )
+
+
+def _number_of(kind: int) -> Column:
+    return F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long")
+
+
 def entity_spans(text: Column) -> dict[str, Column]:
     """For each kind an array of (start, end, found): the base matches of a text."""
     patterns = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
@@ -118,7 +140,7 @@ def entity_spans(text: Column) -> dict[str, Column]:
     marks = {"email": "@", "ip": ".", "card": None, "phone": "+"}
     out = {}
     for kind, pattern in patterns.items():
-        found = F.filter(matches(text, F.lit(pattern)), lambda m, kind=kind: _kept(kind, m["found"]))
+        found = F.filter(matches(text, F.lit(pattern)), partial(_passes, kind))
         mark = marks[kind]
         if mark:
             none = F.array().cast("array<struct<start:int,end:int,found:string>>")
@@ -134,18 +156,7 @@ def with_entities(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     """
     # The kind columns are plain expressions over ``whole``; each is used once below.
     slim = docs.select(*keep, text_of(text).alias("whole"))
-    tagged = [
-        F.transform(
-            spans,
-            lambda m, k=k: F.struct(
-                m["start"].alias("start"),
-                F.lit(k).alias("kind"),
-                m["end"].alias("end"),
-                m["found"].alias("found"),
-            ),
-        )
-        for k, spans in enumerate(entity_spans(F.col("whole")).values())
-    ]
+    tagged = [_tagged(k, spans) for k, spans in enumerate(entity_spans(F.col("whole")).values())]
     return slim.select("*", F.array_sort(F.concat(*tagged)).alias("base"))
 
 
@@ -326,10 +337,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     )
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{kind}")
-            for k, kind in enumerate(KINDS)
-        ],
+        *[_number_of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(text(F.col("base")), 256).alias("base_sha256"),
         text(merged).alias("spans"),
     )
