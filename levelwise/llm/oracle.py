@@ -12,19 +12,5 @@ SELECT page_id, payload_bytes, p.payload_digest,
   CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN keeper IS NULL OR page_id = keeper THEN NULL ELSE keeper END AS refers_to
 FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND payload_bytes >= 1000
-""",
-    "op6_sharding": """
-WITH d AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, md5(coalesce(text, '')) AS h, coalesce(text, '') AS t
-  FROM documents
-), o AS (
-  SELECT *, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS ahead, sum(size) OVER () AS total
-  FROM d
-), s AS (
-  SELECT *, CAST(least((2 * ahead + size) * 40 // (2 * total), 39) AS INTEGER) AS shard FROM o
-), u AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS BIGINT) AS slot FROM s
-)
-SELECT doc_id, size, CRC AS text_crc32, 'bytes' AS law, shard, slot, CAST(NULL AS INTEGER) AS grown_shard FROM u
 """,
 }
