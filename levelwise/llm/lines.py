@@ -14,10 +14,10 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelwise.llm.common import identity, slices, stored, text_of
+from levelwise.llm.common import bind, identity, slices, stored, text_of
 from levelwise.llm.components import components
 from levelwise.llm.simhash import majority_bits, near_edges
 
@@ -28,12 +28,17 @@ BLOCKS, AGREEING = 5, 2
 #: Lines verified together; a larger candidate group is verified in pairs of blocks.
 VERIFY_ROWS = 4096
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_TOKEN, _NUMBER = re.compile(r"[^\W_]+"), re.compile(r"\d+")
+
+
+def plain(text: str) -> str:
+    """``text`` lower-cased, every number being the same word of its own."""
+    return _NUMBER.sub(" 0 ", text.lower())
 
 
 def normalised(line: str) -> list[str]:
-    """Lower-cased words of a line; every number is one and the same word."""
-    return ["0" if w[0].isdigit() else w for w in _TOKEN.findall(line.lower())]
+    """Words of a line, without case, marks and the values of numbers."""
+    return _TOKEN.findall(plain(line))
 
 
 class _WordHashes(dict):
@@ -54,19 +59,19 @@ _LINES = "row long, doc_id long, line_no int, line long, fp long"
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh64_intdigest
 
-    hashes = _WordHashes()
+    find, known = _TOKEN.findall, _WordHashes().__getitem__
     for whole in batches:
         for batch in slices(whole):
             own: list[tuple[int, int]] = []
             lines, counts, values = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for n, line in enumerate(text.split("\n")):
-                    words = normalised(line)
+                for n, line in enumerate(plain(text).split("\n")):
+                    words = find(line)
                     if len(words) >= MIN_WORDS:
                         own.append((i, n))
                         lines.append(xxh64_intdigest(" ".join(words), 42))
                         counts.append(len(words))
-                        values.extend([hashes[w] for w in words])
+                        values.extend(map(known, words))
             at = np.array([i for i, _ in own], dtype=np.int64)
             prints = majority_bits(np.array(values, dtype=np.uint64), np.array(counts, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +220,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with columns ``row``, ``doc_id``, ``whole`` and others, and ``kept``, the text left over, and ``n_gone``."""
     gone = repeated_lines(docs)
     lines = F.split("whole", "\n", -1)
-    left = bind_lines(lines)
+    left = _left_over(lines)
     joined = docs.join(gone, F.col("row") == F.col("gone_row"), "left")
     return joined.select(
         *docs.columns,
@@ -224,10 +229,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-def bind_lines(lines):
+def _left_over(lines):
     """The lines whose numbers are not in ``gone``, joined again."""
-    from levelwise.llm.common import bind
-
     return bind(
         lines,
         lambda a: F.array_join(
