@@ -58,11 +58,19 @@ class LevelBook:
         self._counts: dict[str, dict[str | None, int]] = {}
         self._rows = rows
         self._max = max_levels
+        self._wide: set[str] = set()
         self._stored = stored
 
     def load(self, *columns: str) -> None:
         """Count the labels of ``columns`` that are not known yet, in one job."""
-        missing = [c for c in columns if c not in self._counts]
+        self._find(columns)
+        for column in columns:
+            if column in self._wide:
+                raise ValueError(f"{column} has more than {self._max} levels")
+
+    def _find(self, columns: Iterable[str]) -> None:
+        """Like ``load``, but a column past the limit is only marked as such."""
+        missing = [c for c in columns if c not in self._counts and c not in self._wide]
         if not missing:
             return
         if self._stored is None:
@@ -74,10 +82,16 @@ class LevelBook:
         counts: dict[str, dict[str | None, int]] = {c: {} for c in missing}
         for row in found:
             counts[row.dimension][row.level] = row.n
-        for column, seen in counts.items():
-            if len(seen) > self._max + 1:
-                raise ValueError(f"{column} has more than {self._max} levels")
-        self._counts.update(counts)
+        wide = {c for c, seen in counts.items() if len(seen) > self._max + 1}
+        self._wide |= wide
+        if len(found) < len(missing) * (self._max + 2):
+            self._counts.update({c: seen for c, seen in counts.items() if c not in wide})
+        else:
+            # What was fetched may be all of one column, so the others are counted anew.
+            for column in missing if wide else ():
+                self._find([column])
+            if not wide:
+                self._counts.update(counts)
 
     def levels(self, column: str) -> tuple[str, ...]:
         if column in self._declared:
@@ -100,9 +114,14 @@ class LevelBook:
         return self._rows
 
     def largest_group(self, keys: Iterable[str]) -> int:
-        """Bound on the rows of one ``keys`` group, for any cohort cut from here."""
-        self.load(*keys)
-        return min([self.rows, *(max(self._counts[k].values(), default=0) for k in keys)])
+        """Bound on the rows of one ``keys`` group, for any cohort cut from here.
+
+        A column with too many labels for the dictionary proves nothing.
+        """
+        keys = list(keys)
+        self._find(keys)
+        known = [self._counts[k] for k in keys if k not in self._wide]
+        return min([self.rows, *(max(c.values(), default=0) for c in known)])
 
     def group_bound(self, keys: Iterable[str]) -> int:
         """Bound on the number of ``keys`` groups, null groups included."""

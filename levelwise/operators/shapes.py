@@ -39,11 +39,14 @@ def scatter_sample(
 
     The rows with the smallest draws are taken. With a unique ``key`` the draw is
     a hash of seed and key, so the sample depends on the rows alone and not on
-    how they are laid out.
+    how they are laid out. A null key draws as an empty one.
     """
     cohort.roles.require(group, "group")
     keys = [key] if key is not None else []
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))) if key else F.rand(seed)
+    draw = F.rand(seed)
+    if key:
+        text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+        draw = F.md5(F.concat(F.lit(f"{seed}:"), text))
     rows = scatter_rows(cohort, group, x, y, *keys).withColumn("_draw", draw)
     if not fits_one_task(cohort.book.rows):
         rows = _low_draws(rows, size, hashed=key is not None)

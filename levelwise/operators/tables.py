@@ -67,25 +67,65 @@ def row_percent(cohort: Cohort, time: str, group: str) -> DataFrame:
     return complete_counts(cohort, [time, group]).withColumn("percent", round_half_even(share))
 
 
+def _missing_name(labels: list[str | None]) -> str:
+    """The column name of the missing label: one that no label has."""
+    name = NULL_LEVEL
+    while name in labels:
+        name += "_"
+    return name
+
+
 def pivot_counts(cohort: Cohort, rows: list[str], column: str) -> DataFrame:
     """Counts with a column per label of ``column``; absent cells are zero.
 
     Rows are counted before they are pivoted, so the pivot only sees one row
-    per cell, and labels are given, so finding them costs no job.
+    per cell, and labels are given, so finding them costs no job. A label that the
+    dictionary lacks fails the query.
+    """
+    wide, labels = _pivoted(cohort, rows, column)
+    return wide.toDF(*rows, *[_missing_name(labels) if v is None else v for v in labels])
+
+
+def _pivoted(
+    cohort: Cohort, rows: list[str], column: str
+) -> tuple[DataFrame, list[str | None]]:
+    """Row keys ``_r0``.. and counts ``_c0``.., one for each of the labels returned.
+
+    Columns go by position, as labels may differ in case only or be any text.
     """
     cohort.book.load(*rows, column)
     labels = cohort.labels(column)
     # Column labels are all named by the pivot; the grid only supplies rows.
     grid = {**{r: cohort.labels(r) for r in rows}, column: labels[:1]}
-    cells = _counts_on_grid(cohort.df, grid)
+    label = F.col(column)
+    listed = label.isin(*[v for v in labels if v is not None])
+    known = F.coalesce(listed, F.lit(None in labels))
+    lost = F.concat(F.lit(f"{column} has a label its dictionary lacks: "), F.coalesce(label, F.lit("null")))
+    checked = F.when(known, label).otherwise(F.raise_error(lost).cast("string"))
+    cells = _counts_on_grid(cohort.df.withColumn(column, checked), grid)
     wide = cells.groupBy(*rows).pivot(column, labels).agg(F.sum("n"))
-    names = [NULL_LEVEL if v is None else v for v in labels]
-    cells = [f"coalesce({quoted(n)}, 0L) as {quoted(n)}" for n in names]
-    return wide.toDF(*rows, *names).selectExpr(*map(quoted, rows), *cells)
+    keys = [f"_r{i}" for i in range(len(rows))]
+    counts = [f"_c{i}" for i in range(len(labels))]
+    filled = [f"coalesce({c}, 0L) as {c}" for c in counts]
+    return wide.toDF(*keys, *counts).selectExpr(*keys, *filled), labels
+
+
+def _unique_r_names(labels: list[str | None]) -> list[str]:
+    """R's column names for labels: a name that has come before gets ``.1``, ``.2`` and so on."""
+    taken: set[str] = set()
+    out = []
+    for base in map(r_name, labels):
+        name, n = base, 0
+        while name in taken:
+            n += 1
+            name = f"{base}.{n}"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def r_name(label: str | None) -> str:
-    """The column name R's data frames give to a label."""
+    """The column name R's data frames give to a single label."""
     if label is None or label == NULL_LEVEL:
         return "X.NA."
     name = re.sub(r"[^\w.]", ".", label)
@@ -109,17 +149,17 @@ def crosstab(
     rows, column = ([time], group) if second is None else ([time, group], second)
     for c in (*rows[1:], column):
         cohort.roles.require(c, "group")
-    wide = pivot_counts(cohort, rows, column)
-    levels = wide.columns[len(rows) :]
-    total = " + ".join(map(quoted, levels))
-    rename = r_name if r_names else str
+    wide, labels = _pivoted(cohort, rows, column)
+    keys, counts = wide.columns[: len(rows)], wide.columns[len(rows) :]
+    total = " + ".join(counts)
+    if r_names:
+        names = _unique_r_names(labels)
+    else:
+        names = [_missing_name(labels) if v is None else v for v in labels]
     suffix = ".Percent" if r_names else "_percent"
-    percents = [
-        f"{rounded_sql(f'100 * try_divide({quoted(v)}, {total})')} as {quoted(rename(v) + suffix)}"
-        for v in levels
-    ]
-    counts = [f"{quoted(v)} as {quoted(rename(v))}" for v in levels]
-    return wide.selectExpr(*map(quoted, rows), *percents, *counts)
+    percents = [rounded_sql(f"100 * try_divide({c}, {total})") for c in counts]
+    shown = wide.selectExpr(*keys, *[f"{p} as _p{i}" for i, p in enumerate(percents)], *counts)
+    return shown.toDF(*rows, *[n + suffix for n in names], *names)
 
 
 def _zero_rule(measure: str, signed: bool | None, rule: str) -> str:

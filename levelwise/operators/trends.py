@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from levelwise.functions.predicates import apply_measure_rule, visible_label
 from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, Stat, describe
 from levelwise.functions.rounding import round_measures, rounded_sql
 from levelwise.levels import level_index
-from levelwise.operators.tables import _zero_rule, measure_stats
+from levelwise.operators.tables import _unique_r_names, _zero_rule, measure_stats
 from levelwise.sources.scratch import checkpointed
 
 # Line charts show the trimmed mean under the plain name.
@@ -161,12 +161,6 @@ def area_mean(
     return measure_stats(shown, [time, group], measure, PLAIN_STATS, measure_rule, method)
 
 
-def _r_condition(label: Column) -> Column:
-    """R's column name for a label, as an expression over its text."""
-    name = F.regexp_replace(label, r"[^\p{L}\p{N}_.]", ".")
-    return F.when(name.rlike(r"^(\p{L}|\.(?!\p{N}))"), name).otherwise(F.concat(F.lit("X"), name))
-
-
 def share_area(
     cohort: Cohort,
     group: str,
@@ -193,16 +187,18 @@ def share_area(
         F.map_from_entries(F.collect_list(F.struct("Condition", "cell"))).alias("cells"),
         F.sum("cell").alias("total"),
     )
-    total, cell = "total", "element_at(cells, Condition)"
+    total, cell = "total", "element_at(cells, shown.label)"
     if fill:
         cell = f"coalesce({cell}, 0L)"
     else:
         total = f"if(size(cells) = {len(present)}, total, null)"
-    groups = F.array(*map(F.lit, present)).cast("array<string>")
-    long = times.select("Time", "cells", F.expr(f"{total} as n"), F.explode(groups).alias("Condition"))
+    names = _unique_r_names(present) if r_names else present
+    groups = F.array(
+        *[F.struct(F.lit(p).alias("label"), F.lit(n).alias("name")) for p, n in zip(present, names)]
+    ).cast("array<struct<label:string,name:string>>")
+    long = times.select("Time", "cells", F.expr(f"{total} as n"), F.explode(groups).alias("shown"))
     percent = rounded_sql(f"100 * try_divide({cell}, n)")
-    shares = long.selectExpr("Time", "Condition", f"{percent} as Percentage", "n")
-    return shares.withColumn("Condition", _r_condition(F.col("Condition"))) if r_names else shares
+    return long.selectExpr("Time", "shown.name as Condition", f"{percent} as Percentage", "n")
 
 
 def melt(
@@ -216,13 +212,21 @@ def melt(
     return df.unpivot(ids, [f"`{v}`" for v in values], name, value)
 
 
-def stack(result: DataFrame, cohort: Cohort, x: str, series: str, y: str = "mean") -> DataFrame:
+def stack(
+    result: DataFrame,
+    cohort: Cohort,
+    x: str,
+    series: str,
+    y: str = "mean",
+    group: str | None = None,
+) -> DataFrame:
     """Where each bar or area segment starts and ends when stacked.
 
-    The first level of ``series`` ends on top.
+    The first level of ``series`` ends on top. ``group`` names the column whose levels
+    ``series`` holds where the result gives it another name, as a share area does.
     """
     # A result has at most one row per (x, series) label, so this is small.
-    order = level_index(series, cohort.book.levels(series))
+    order = level_index(series, cohort.book.levels(group or series))
     upto = (
         W.partitionBy(x)
         .orderBy(order.desc_nulls_first(), F.col(series).desc())

@@ -16,11 +16,17 @@ SETTINGS = {
 }
 
 
-def configured(builder: SparkSession.Builder, cores: int) -> SparkSession.Builder:
+def configured(
+    builder: SparkSession.Builder, cores: int, waves: int = 16
+) -> SparkSession.Builder:
     """``builder`` with the settings, sized for ``cores`` executor cores in all.
 
-    A cluster should also set ``spark.checkpoint.dir`` to a shared folder.
+    A shuffle starts with ``waves`` partitions for each core and adaptive execution merges
+    small ones; one wave is enough for tables of megabytes. A cluster must also set
+    ``spark.checkpoint.dir`` to a shared folder.
     """
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    builder = builder.config(initial, str(max(1, cores * waves)))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.config("spark.sql.shuffle.partitions", str(max(1, cores)))

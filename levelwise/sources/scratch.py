@@ -13,11 +13,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    A machine-local folder is made only where the cluster names none, which is
-    the case in tests.
+    A machine-local folder is made only where Spark runs in one process; elsewhere the
+    cluster has to name a folder that all executors share.
     """
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if not root and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="levelwise-")
     if not context.getCheckpointDir():

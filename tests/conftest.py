@@ -20,7 +20,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
     )
-    session = configured(builder, 8).getOrCreate()
+    session = configured(builder, 8, waves=1).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
