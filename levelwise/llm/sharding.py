@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from levelwise.llm.common import stored, text_of
 
-#: Ranges for each shard, and sampled keys for each range, on average.
+#: Ranges for each shard at least, and sampled keys for each range, on average.
 RANGES_PER_SHARD = 8
 SAMPLES_PER_RANGE = 24
+#: Records of a range, on average, at most: one task sorts their keys, without texts.
+ROWS_PER_RANGE = 1_000_000
 #: A range is cut again when it holds this many times its share.
 OVERFULL = 2.0
 
@@ -66,7 +68,7 @@ def _range_of(key: Column, cuts: list[str]) -> Column:
 def _cuts(rows: DataFrame, ranges: int) -> list[str]:
     """Boundaries for about ``ranges`` ranges, overfull ranges subdivided.
 
-    What comes to the driver is bounded by ``ranges``, not by the data.
+    What comes to the driver is a row for each range: a key for each ``ROWS_PER_RANGE`` records.
     """
     cuts = sorted(r.cut for r in _splitters(rows, ranges, 1).collect())
     sized = rows.groupBy(_range_of(F.col("order_key"), cuts).alias("r")).agg(
@@ -102,7 +104,7 @@ def assign_shards(
         docs.select(_order_key(key, tie).alias("order_key"), size.alias("size"), *columns),
         "shard-rows",
     )
-    cuts = _cuts(rows, shards * RANGES_PER_SHARD)
+    cuts = _cuts(rows, max(shards * RANGES_PER_SHARD, rows.count() // ROWS_PER_RANGE))
     spread = rows.withColumn("r", _range_of(F.col("order_key"), cuts))
     sizes = spread.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     # One row for each range: a bounded table, so a plain dictionary and literals do.
