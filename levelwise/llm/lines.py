@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations, groupby
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from levelwise.llm.common import bind, identity, slices, stored, text_of
 from levelwise.llm.components import components
@@ -29,6 +31,8 @@ BLOCKS, AGREEING = 5, 2
 VERIFY_ROWS = 4096
 
 _TOKEN, _NUMBER = re.compile(r"[^\W_]+"), re.compile(r"\d+")
+#: For ASCII lines: every mark becomes a blank, which parts the same words as ``_TOKEN`` in less time.
+_MARKS = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 
 
 def plain(text: str) -> str:
@@ -36,17 +40,20 @@ def plain(text: str) -> str:
     return _NUMBER.sub(" 0 ", text.lower())
 
 
+def tokens(line: str) -> list[str]:
+    """Runs of letters and digits of a line."""
+    return line.translate(_MARKS).split() if line.isascii() else _TOKEN.findall(line)
+
+
 def normalised(line: str) -> list[str]:
     """Words of a line, without case, marks and the values of numbers."""
-    return _TOKEN.findall(plain(line))
+    return tokens(plain(line))
 
 
 class _WordHashes(dict):
     """Hashes of words seen, for reuse; emptied when it grows large."""
 
     def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
         if len(self) > 500_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word)
@@ -57,16 +64,14 @@ _LINES = "row long, doc_id long, line_no int, line long, fp long"
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh64_intdigest
-
-    find, known = _TOKEN.findall, _WordHashes().__getitem__
+    known = _WordHashes().__getitem__
     for whole in batches:
         for batch in slices(whole):
             own: list[tuple[int, int]] = []
             lines, counts, values = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for n, line in enumerate(plain(text).split("\n")):
-                    words = find(line)
+                    words = tokens(line)
                     if len(words) >= MIN_WORDS:
                         own.append((i, n))
                         lines.append(xxh64_intdigest(" ".join(words), 42))
@@ -116,6 +121,8 @@ def similar(a: list, b: list) -> bool:
     longest = max(len(a), len(b))
     least = abs(len(a) - len(b))  # the distance is no less
     allowed = (1 - SIMILARITY) * longest + 1e-9
+    if least == 0 and sum(map(ne, a, b)) <= allowed:
+        return True  # the distance is no more than the words changed in place
     return least <= allowed and edit_distance(a, b) <= allowed
 
 
