@@ -36,6 +36,7 @@ SCORE, BALANCE, PRICE = "Num_Score", "Num_Balance", "Num_Price"
 FLAG, LINE_PRICE, QUANTITY, TAX = (
     "Demographic_ReturnFlag", "Num_ExtPrice", "Num_Quantity", "Num_Tax",
 )
+LINE, ORDER = "Demographic_Line", "Demographic_Order"
 KEPT_REGIONS = ["ASIA", "EUROPE"]
 DENSITY_YEAR = "1998-99"
 ROLE_COLUMNS = ["Row_ID", SEGMENT, STATUS, BALANCE, SCORE]
@@ -68,6 +69,21 @@ def _lines(spark: SparkSession, folder: str) -> Cohort:
     return _catalog(spark, folder, "lines").dataset()
 
 
+def _numbered_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with numbers for labels: few of one kind, many of the other."""
+    return spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        *[c.alias(name) for name, c in fiscal_columns("l_shipdate").items()],
+        F.col("l_linenumber").alias(LINE),
+        F.col("l_orderkey").alias(ORDER),
+        F.col("l_quantity").alias(QUANTITY),
+        F.col("l_tax").alias(TAX),
+    )
+
+
+def _numbered(spark: SparkSession, folder: str) -> Cohort:
+    return Cohort.of(_numbered_rows(spark, folder), CALENDAR_LEVELS)
+
+
 def _on(source, build) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: build(source(spark, folder))
 
@@ -79,6 +95,21 @@ def _export_round_trip(cohort: Cohort) -> DataFrame:
     return grid.read_export(table, path)
 
 
+def _export_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels with quotes, line breaks, blanks and the text NA, numbered, written and read."""
+    name, kind = F.col("n_name"), F.col("n_nationkey") % 5
+    label = (
+        F.when(kind == 0, F.concat(F.lit('say "'), name, F.lit('", twice')))
+        .when(kind == 1, F.concat(name, F.lit("\nsecond line")))
+        .when(kind == 3, F.lit("NA"))
+        .when(kind == 4, F.concat(F.lit("  "), name))
+    )
+    table = spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", label.alias("label"))
+    path = scratch_path(spark, grid.export_name("label"))
+    grid.export_csv(table, path, ["n_nationkey"], missing="(missing)")
+    return grid.read_export(table.select(F.lit(0).alias("row"), "*"), path, missing="(missing)")
+
+
 def _stored_year(cohort: Cohort) -> DataFrame:
     """Store the dataset by year, reopen it by path, and summarise one year."""
     spark = cohort.df.sparkSession
@@ -157,6 +188,11 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dataset_by_year": _on(_raw, _stored_year),
         "catalog_roles": _on(_raw, compare.catalog_roles),
         "level_values": _on(_raw, _levels),
+        "level_values_numeric": _on(_numbered_rows, lambda df: level_values(df, [LINE, ORDER])),
+        "export_csv_rows": _export_rows,
+        "summary_many_labels": _on(
+            _numbered, lambda c: tables.summary(c, FY, QUANTITY, ORDER)
+        ),
         "year_recode": _on(_raw, _years),
         "fiscal_dims": _fiscal,
         # Filters
@@ -249,6 +285,15 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trend_groups_overall": _on(
             _raw, lambda c: trends.trend_by_group(c, QUARTER, SEGMENT, SCORE)
         ),
+        "trend_groups_overall_numeric": _on(
+            _numbered, lambda c: trends.trend_by_group(c, MONTH, LINE, TAX)
+        ),
+        "stacked_share": _on(
+            _raw,
+            lambda c: trends.stack(
+                trends.share_area(c, SEGMENT, fill=True), c, "Time", "Condition", "Percentage", SEGMENT
+            ),
+        ),
         "trend_groups_overall_ranked": _on(
             _lines, lambda c: trends.trend_by_group(c, MONTH, FLAG, TAX, method="ranked")
         ),

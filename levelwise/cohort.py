@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelwise.levels import LevelBook
+from levelwise.levels import LevelBook, as_labels, numeric_columns
 from levelwise.plans.bounds import fits_one_task
 from levelwise.roles import RoleSchema
 
@@ -21,15 +21,27 @@ class Cohort:
 
     @classmethod
     def of(cls, df: DataFrame, declared=None, rows: int | None = None) -> Cohort:
-        """A cohort over any wide table whose columns follow the naming rule."""
-        return cls(df, RoleSchema.infer(df), LevelBook(df, declared, rows))
+        """A cohort over any wide table whose columns follow the naming rule.
+
+        Labels of any type are text from here on; numbers keep their order.
+        """
+        return cls.over(df, declared, rows)
+
+    @classmethod
+    def over(cls, df: DataFrame, declared=None, rows: int | None = None, stored=None) -> Cohort:
+        """Like ``of``, with the levels that ``write_levels`` stored."""
+        roles = RoleSchema.infer(df)
+        numeric = numeric_columns(df, roles.categorical)
+        df = as_labels(df, roles.categorical)
+        return cls(df, roles, LevelBook(df, declared, rows, stored=stored, numeric=numeric))
 
     def keep(self, column: str | None, levels: list[str] | None) -> Cohort:
         """Rows whose label is one of ``levels``; no levels means no filter."""
         if not column or not levels:
             return self
         self.roles.require(column, "categorical")
-        return replace(self, df=self.df.where(F.col(column).isin(*levels)), filtered=True)
+        wanted = [v if isinstance(v, str) else F.lit(v).cast("string") for v in levels]
+        return replace(self, df=self.df.where(F.col(column).isin(*wanted)), filtered=True)
 
     def has_null(self, column: str) -> bool:
         """Whether a missing label occurs in these rows."""

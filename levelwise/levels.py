@@ -12,9 +12,30 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 # A column with more labels than this is an id, not a category.
 MAX_LEVELS = 10_000
+# A grid of more cells is a mistake in the choice of columns.
+MAX_CELLS = 10_000_000
+
+
+def numeric_columns(df: DataFrame, columns: Iterable[str]) -> frozenset[str]:
+    """Those of ``columns`` whose labels are numbers and go in the order of numbers."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return frozenset(c for c in columns if isinstance(kinds.get(c), NumericType))
+
+
+def as_labels(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``df`` with ``columns`` as text; those that are text already are left alone."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    other = [c for c in columns if not isinstance(kinds[c], StringType)]
+    return df.withColumns({c: F.col(c).cast("string") for c in other}) if other else df
+
+
+def _number_key(label: str) -> tuple[float, int, str]:
+    """Order of a number's text; whole numbers past a double's precision go by their digits."""
+    return float(label), len(label), label
 
 
 def level_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -42,7 +63,8 @@ class LevelBook:
 
     Labels with a natural order are declared; the rest are found by a counting
     job over the columns asked for, or read from ``stored``, the result of an
-    earlier ``level_counts``, and ordered as text.
+    earlier ``level_counts``, and ordered as text, or as numbers in ``numeric`` columns. An
+    order that was stored with them goes before both.
     """
 
     def __init__(
@@ -52,6 +74,7 @@ class LevelBook:
         rows: int | None = None,
         max_levels: int = MAX_LEVELS,
         stored: DataFrame | None = None,
+        numeric: Iterable[str] = (),
     ):
         self._base = base
         self._declared = {k: tuple(v) for k, v in (declared or {}).items()}
@@ -60,6 +83,8 @@ class LevelBook:
         self._max = max_levels
         self._wide: set[str] = set()
         self._stored = stored
+        self._numeric = frozenset(numeric)
+        self._places: dict[str, dict[str, int]] = {}
 
     def load(self, *columns: str) -> None:
         """Count the labels of ``columns`` that are not known yet, in one job."""
@@ -82,6 +107,8 @@ class LevelBook:
         counts: dict[str, dict[str | None, int]] = {c: {} for c in missing}
         for row in found:
             counts[row.dimension][row.level] = row.n
+            if "level_idx" in found[0] and row.level_idx is not None:
+                self._places.setdefault(row.dimension, {})[row.level] = row.level_idx
         wide = {c for c, seen in counts.items() if len(seen) > self._max + 1}
         self._wide |= wide
         if len(found) < len(missing) * (self._max + 2):
@@ -97,7 +124,16 @@ class LevelBook:
         if column in self._declared:
             return self._declared[column]
         self.load(column)
-        return tuple(sorted(v for v in self._counts[column] if v is not None))
+        labels = [v for v in self._counts[column] if v is not None]
+        if column in self._places:
+            return tuple(sorted(labels, key=lambda v: self._places[column].get(v, len(labels) + 1)))
+        return tuple(sorted(labels, key=_number_key if column in self._numeric else None))
+
+    def ordered(self) -> dict[str, tuple[str, ...]]:
+        """Levels whose order is not that of their text, of columns within the limit."""
+        self._find(self._numeric)
+        counted = self._numeric - self._wide
+        return {c: self.levels(c) for c in (*self._declared, *sorted(counted - set(self._declared)))}
 
     def last(self, column: str) -> str:
         return self.levels(column)[-1]
@@ -135,12 +171,14 @@ def level_grid(spark: SparkSession, levels: Mapping[str, Iterable[str | None]])
     """Every combination of the given labels, one row each.
 
     Row numbers are split into label positions, so the grid is generated in
-    parallel from a range and joins nothing.
+    parallel from a range and joins nothing. More than ``MAX_CELLS`` are refused.
     """
     choices = {c: list(v) for c, v in levels.items()}
     size = 1
     for v in choices.values():
         size *= len(v)
+    if size > MAX_CELLS:
+        raise ValueError(f"the levels of {list(choices)} make {size} cells, more than {MAX_CELLS}")
     parts = max(1, min(size // 50_000, 4_096))
     grid, stride, columns = spark.range(0, size, 1, parts), size, []
     for name, labels in choices.items():
@@ -152,11 +190,18 @@ def level_grid(spark: SparkSession, levels: Mapping[str, Iterable[str | None]])
 
 
 def level_values(df: DataFrame, columns: Iterable[str], declared: Mapping = {}) -> DataFrame:
-    """(dimension, level_idx, level, n): levels in order, null not being one."""
+    """(dimension, level_idx, level, n): levels in order, null not being one.
+
+    Declared labels go in their order, numbers in that of numbers, all others as text.
+    """
+    columns = list(columns)
+    numeric = F.col("dimension").isin(*numeric_columns(df, columns))
+    number = F.when(numeric, F.expr("try_cast(level as double)"))
+    digits = F.when(numeric, F.char_length("level"))
     order = F.lit(None).cast("int")
     for name, levels in declared.items():
         order = F.when(F.col("dimension") == name, level_index("level", levels)).otherwise(order)
-    by_level = W.partitionBy("dimension").orderBy(F.col("_order").asc_nulls_last(), "level")
+    by_level = W.partitionBy("dimension").orderBy(F.col("_order").asc_nulls_last(), number, digits, "level")
     return (
         level_counts(df, columns)
         .where(F.col("level").isNotNull())

@@ -39,11 +39,14 @@ def grid_filter(result: DataFrame, conditions: Mapping[str, object]) -> DataFram
 
 
 def _display(df: DataFrame, name: str) -> Column:
-    """A cell as the text a reader sees: no exponent, no trailing zeros."""
+    """A cell as the text a reader sees: no exponent, no trailing zeros, ten decimals at most.
+
+    A number too large for that is shown as Spark writes it.
+    """
     column = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, (DoubleType, FloatType)):
-        text = column.cast("decimal(38,2)").cast("string")
-        return F.regexp_replace(text, r"\.?0+$", "")
+        text = column.try_cast("decimal(38,10)").cast("string")
+        return F.coalesce(F.regexp_replace(text, r"\.?0+$", ""), column.cast("string"))
     return column.cast("string")
 
 
@@ -100,8 +103,13 @@ def export_name(column: str, scatter: bool = False) -> str:
     return f"{column}{SCATTER_SUFFIX if scatter else ''}.csv"
 
 
-def export_csv(result: DataFrame, path: str, row_number_by: list[str] | None = None) -> None:
-    """Write a result as CSV: header, quoted fields, ``NA`` for missing values.
+def export_csv(
+    result: DataFrame, path: str, row_number_by: list[str] | None = None, missing: str = NA_TEXT
+) -> None:
+    """Write a result as CSV: header, quoted fields with quotes doubled, ``missing`` for null.
+
+    CSV cannot tell a missing value from a text that equals its mark: where labels may be
+    "NA", give another mark here and in :func:`read_export`.
 
     ``row_number_by`` adds a leading row number in that order. It numbers rows
     in one task and is meant for report tables, whose size is a product of
@@ -110,16 +118,21 @@ def export_csv(result: DataFrame, path: str, row_number_by: list[str] | None = N
     if row_number_by:
         number = F.row_number().over(W.orderBy(*row_number_by))
         result = result.select(number.alias("row"), "*").orderBy("row")
-    result.write.option("header", True).option("quoteAll", True).option("nullValue", NA_TEXT).option(
-        "emptyValue", ""
+    result.write.option("header", True).option("quoteAll", True).option("escape", '"').option(
+        "nullValue", missing
+    ).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
     ).mode("error").csv(path)
 
 
-def read_export(result: DataFrame, path: str) -> DataFrame:
-    """Read an exported table back with the columns of ``result``."""
+def read_export(result: DataFrame, path: str, missing: str = NA_TEXT) -> DataFrame:
+    """Read an exported table back with the columns of ``result``; fields may hold line breaks."""
     return (
         result.sparkSession.read.schema(result.schema)
         .option("header", True)
-        .option("nullValue", NA_TEXT)
+        .option("nullValue", missing)
+        .option("emptyValue", "")
+        .option("escape", '"')
+        .option("multiLine", True)
         .csv(path)
     )

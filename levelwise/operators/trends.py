@@ -10,7 +10,7 @@ from levelwise.cohort import Cohort
 from levelwise.functions.predicates import apply_measure_rule, visible_label
 from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, Stat, describe
 from levelwise.functions.rounding import round_measures, rounded_sql
-from levelwise.levels import level_index
+from levelwise.levels import MAX_LEVELS, level_index
 from levelwise.operators.tables import _unique_r_names, _zero_rule, measure_stats
 from levelwise.sources.scratch import checkpointed
 
@@ -173,8 +173,9 @@ def share_area(
 
     Every time is paired with every group present. If a time lacks one of them,
     all its percentages and its total are null; with ``fill`` a missing cell is
-    a zero instead.
+    a zero instead. A group with more than ``MAX_LEVELS`` visible labels is refused at every size.
     """
+    cohort.roles.require(group, "group")
     counted = (
         cohort.df.where(visible_label(group, strict_labels))
         .groupBy(F.col(time).alias("Time"), F.col(group).alias("Condition"))
@@ -182,7 +183,10 @@ def share_area(
     )
     # One row per cell of the result; kept, so that the data are read once.
     cells = checkpointed(counted)
-    present = cells.agg(F.sort_array(F.collect_set("Condition"))).first()[0]
+    found = cells.select("Condition").distinct().limit(MAX_LEVELS + 1).collect()
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{group} has more than {MAX_LEVELS} levels")
+    present = sorted(row.Condition for row in found)
     times = cells.groupBy("Time").agg(
         F.map_from_entries(F.collect_list(F.struct("Condition", "cell"))).alias("cells"),
         F.sum("cell").alias("total"),

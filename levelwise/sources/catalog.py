@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from levelwise.cohort import Cohort
 from levelwise.functions.fiscal import CALENDAR_LEVELS
-from levelwise.levels import LevelBook, level_counts
-from levelwise.roles import RoleSchema
+from levelwise.levels import level_counts, level_index
 
 # The names of the two dataset variants.
 IMPUTED = "Imputed"
@@ -45,12 +45,10 @@ class DatasetCatalog:
         if name not in self._cohorts:
             source = self._variants[name]
             df = source() if callable(source) else self._spark.read.parquet(source)
-            roles = RoleSchema.infer(df)
             declared = {k: v for k, v in self._declared.items() if k in df.columns}
             stored = self._stored.get(name)
             labels = self._spark.read.parquet(stored) if stored else None
-            book = LevelBook(df, declared, self._rows, stored=labels)
-            self._cohorts[name] = Cohort(df, roles, book)
+            self._cohorts[name] = Cohort.over(df, declared, self._rows, stored=labels)
         return self._cohorts[name]
 
     def cohort(
@@ -77,7 +75,14 @@ def write_dataset(df: DataFrame, path: str, partition_by: str = "Financial_Year"
 
 
 def write_levels(cohort: Cohort, path: str) -> None:
-    """Store the level counts of an unfiltered cohort's categorical columns."""
+    """Store the level counts of an unfiltered cohort's categorical columns.
+
+    ``level_idx`` is a label's place where the order is not that of the text, else null.
+    """
     if cohort.filtered:
         raise ValueError("levels belong to the whole dataset, not to a filtered cohort")
-    level_counts(cohort.df, cohort.roles.categorical).write.mode("error").parquet(path)
+    place = F.lit(None).cast("int")
+    for name, levels in cohort.book.ordered().items():
+        place = F.when(F.col("dimension") == name, level_index("level", levels)).otherwise(place)
+    counted = level_counts(cohort.df, cohort.roles.categorical)
+    counted.withColumn("level_idx", place).write.mode("error").parquet(path)

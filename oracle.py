@@ -57,6 +57,21 @@ lines AS (
          l_extendedprice AS Num_ExtPrice, l_tax AS Num_Tax
   FROM calendar JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
+NUMBERED = """
+calendar AS (
+  SELECT *, CAST((month(l_shipdate) + 8) % 12 AS INTEGER) AS m,
+         CAST(year(l_shipdate) - CASE WHEN month(l_shipdate) < 4 THEN 1 ELSE 0 END
+              AS INTEGER) AS y
+  FROM lineitem),
+numbered AS (
+  SELECT substr('AprMayJunJulAugSepOctNovDecJanFebMar', m * 3 + 1, 3) AS Month,
+         CAST(y AS VARCHAR) || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0')
+           AS Financial_Year,
+         CAST(l_linenumber AS VARCHAR) AS Demographic_Line,
+         CAST(l_orderkey AS VARCHAR) AS Demographic_Order,
+         l_quantity AS Num_Quantity, l_tax AS Num_Tax
+  FROM calendar)"""
+
 Q, M, YQ, FY = "Financial_Quarter", "Month", "Year_Quarter", "Financial_Year"
 SEG, STATUS, PRIO = "Demographic_Segment", "Demographic_Status", "Demographic_Priority"
 REGION, NATION, FLAG = "Demographic_Region", "Demographic_Nation", "Demographic_ReturnFlag"
@@ -269,6 +284,16 @@ def level_rows() -> str:
     )
 
 
+def numeric_level_rows() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS dimension,
+          CAST(row_number() OVER (ORDER BY CAST(level AS BIGINT)) AS INTEGER) AS level_idx,
+          level, n
+        FROM (SELECT {c} AS level, count(*) AS n FROM numbered GROUP BY 1)"""
+        for c in ("Demographic_Line", "Demographic_Order")
+    )
+
+
 def compare(keys: list[str], measures: list[str]) -> str:
     k = "".join(f"{c}, " for c in keys)
     long = " UNION ALL ".join(
@@ -351,6 +376,19 @@ ORACLE_SQL = {
     ),
     "catalog_roles": with_(roles()),
     "level_values": with_(level_rows()),
+    "level_values_numeric": with_(numeric_level_rows(), NUMBERED),
+    "export_csv_rows": """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS row,
+        n_nationkey,
+        CASE n_nationkey % 5 WHEN 0 THEN 'say "' || n_name || '", twice'
+          WHEN 1 THEN n_name || chr(10) || 'second line' WHEN 3 THEN 'NA'
+          WHEN 4 THEN '  ' || n_name END AS label
+      FROM nation""",
+    "summary_many_labels": with_(
+        stats(
+            "numbered", [FY, "Demographic_Order"], "Num_Quantity", SUMMARY, "Num_Quantity <> 0"
+        ),
+        NUMBERED,
+    ),
     "year_recode": with_(
         f"""SELECT CAST(dense_rank() OVER (ORDER BY {FY}) + 2018 AS INTEGER) AS Year, {FY}, n
         FROM ({counts("raw", [FY])})"""
@@ -425,6 +463,16 @@ ORACLE_SQL = {
     "trend_filtered_vs_all": with_(filtered_and_all(Q, "Num_Score"), RAW, KEPT),
     "trend_filtered_vs_all_ranked": with_(filtered_and_all(M, "Num_Balance"), RAW, KEPT),
     "trend_groups_overall": with_(grouped_and_overall("raw", Q, SEG, "Num_Score")),
+    "trend_groups_overall_numeric": with_(
+        grouped_and_overall("numbered", M, "Demographic_Line", "Num_Tax"), NUMBERED
+    ),
+    "stacked_share": with_(
+        f"""SELECT Time, Condition, Percentage, n, {rnd("top")} AS ymax,
+          {rnd("top - coalesce(Percentage, 0)")} AS ymin
+        FROM (SELECT *, sum(Percentage) OVER (PARTITION BY Time ORDER BY Condition DESC
+                ROWS UNBOUNDED PRECEDING) AS top
+              FROM ({share(SEG, fill=True)}))"""
+    ),
     "trend_groups_overall_ranked": with_(grouped_and_overall("lines", M, FLAG, "Num_Tax"), LINES),
     "grouping_sets_median": with_(both_levels()),
     "latest_bar_1": with_(
