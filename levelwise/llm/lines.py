@@ -8,7 +8,6 @@ edit similarity of their words, and of each connected group the first occurrence
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations, groupby
 from operator import ne
@@ -30,53 +29,49 @@ BLOCKS, AGREEING = 5, 2
 #: Lines verified together; a larger candidate group is verified in pairs of blocks.
 VERIFY_ROWS = 4096
 
-_TOKEN, _NUMBER = re.compile(r"[^\W_]+"), re.compile(r"\d+")
-#: For ASCII lines: every mark becomes a blank, which parts the same words as ``_TOKEN`` in less time.
-_MARKS = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
+#: Every digit becomes 0 and every mark a blank, in an ASCII text by one table.
+_PLAIN = "".join(
+    "0" if c.isdecimal() else c if c.isalnum() or c == "\n" else " " for c in map(chr, range(128))
+)
 
 
 def plain(text: str) -> str:
-    """``text`` lower-cased, every number being the same word of its own."""
-    return _NUMBER.sub(" 0 ", text.lower())
-
-
-def tokens(line: str) -> list[str]:
-    """Runs of letters and digits of a line."""
-    return line.translate(_MARKS).split() if line.isascii() else _TOKEN.findall(line)
+    """``text`` lower-cased and without marks, every number being the same word of its own."""
+    text = text.lower()
+    if text.isascii():
+        text = text.translate(_PLAIN)
+    else:
+        for c in set(text):
+            if c.isdecimal():
+                text = text.replace(c, "0")
+            elif not c.isalnum() and not c.isspace():
+                text = text.replace(c, " ")
+    while "00" in text:
+        text = text.replace("00", "0")
+    return text.replace("0", " 0 ")
 
 
 def normalised(line: str) -> list[str]:
     """Words of a line, without case, marks and the values of numbers."""
-    return tokens(plain(line))
-
-
-class _WordHashes(dict):
-    """Hashes of words seen, for reuse; emptied when it grows large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxh64_intdigest(word)
-        return value
+    return plain(line).split()
 
 
 _LINES = "row long, doc_id long, line_no int, line long, fp long"
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _WordHashes().__getitem__
     for whole in batches:
         for batch in slices(whole):
             own: list[tuple[int, int]] = []
             lines, counts, values = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for n, line in enumerate(plain(text).split("\n")):
-                    words = tokens(line)
+                    words = line.split()
                     if len(words) >= MIN_WORDS:
                         own.append((i, n))
                         lines.append(xxh64_intdigest(" ".join(words), 42))
                         counts.append(len(words))
-                        values.extend(map(known, words))
+                        values.extend(map(xxh64_intdigest, words))
             at = np.array([i for i, _ in own], dtype=np.int64)
             prints = majority_bits(np.array(values, dtype=np.uint64), np.array(counts, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
