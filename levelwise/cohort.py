@@ -7,8 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from levelwise.functions.rounding import col
 from levelwise.levels import LevelBook, as_labels, numeric_columns
-from levelwise.plans.bounds import fits_one_task
+from levelwise.plans.bounds import fits_one_task, groups_fit_one_task
 from levelwise.roles import RoleSchema
 
 
@@ -41,22 +42,24 @@ class Cohort:
             return self
         self.roles.require(column, "categorical")
         wanted = [v if isinstance(v, str) else F.lit(v).cast("string") for v in levels]
-        return replace(self, df=self.df.where(F.col(column).isin(*wanted)), filtered=True)
+        return replace(self, df=self.df.where(col(column).isin(*wanted)), filtered=True)
 
     def has_null(self, column: str) -> bool:
         """Whether a missing label occurs in these rows."""
         if not self.book.has_null(column):
             return False
-        return not self.filtered or not self.df.where(F.col(column).isNull()).isEmpty()
+        return not self.filtered or not self.df.where(col(column).isNull()).isEmpty()
 
     def labels(self, column: str) -> list[str | None]:
         """Levels in order, then null where it occurs."""
         return [*self.book.levels(column), *([None] if self.has_null(column) else [])]
 
     def direct(self, keys: list[str], method: str = "auto") -> bool:
-        """Whether rank statistics by ``keys`` may give a group to one task."""
+        """Whether rank statistics by ``keys`` may gather groups in one task."""
         if method == "auto":
-            return fits_one_task(self.book.rows) or fits_one_task(self.book.largest_group(keys))
+            if fits_one_task(self.book.rows):
+                return True
+            return groups_fit_one_task(self.book.largest_group(keys))
         if method not in ("direct", "ranked"):
             raise ValueError(f"unknown method {method!r}")
         return method == "direct"

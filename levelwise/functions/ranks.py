@@ -6,8 +6,9 @@ each may hold a third of all rows, so both stop working at size. Two plans give
 the same answers here.
 
 ``direct``
-    For groups proven to have at most ``ONE_TASK_ROWS`` rows: a group's values
-    are gathered, sorted, and read at the ranks wanted. One shuffle.
+    For data, or groups, proven so small that no task gathers more than
+    ``ONE_TASK_ROWS`` rows at a time: a group's values are gathered, sorted, and
+    read at the ranks wanted. One shuffle.
 
 ``ranked``
     For everything else. Values are cut into bins by a monotone function of
@@ -32,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelwise.functions.rounding import quoted, settle
+from levelwise.functions.rounding import col, quoted, settle
 from levelwise.plans.bounds import attach, fits_one_task
 from levelwise.sources.scratch import checkpointed
 
@@ -135,7 +136,7 @@ def _measure_rows(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
 
 def _gathered(rows: DataFrame, keys: list[str], spread: bool) -> DataFrame:
     """A group's values in one sorted array; only for groups proven small."""
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy(*map(col, keys)).agg(
         F.expr("count(*) as n"),
         F.expr("count(v) as nn"),
         F.expr("sum(v) as total"),
@@ -166,7 +167,7 @@ def _coarse_bins(rows: DataFrame, keys: list[str], spread: bool = False) -> Data
     """
     by = ", ".join(map(quoted, keys))
     sums = [*_BIN_SUMS, *(["var_pop(v) as within"] if spread else [])]
-    bins = rows.groupBy(*keys, F.expr(f"{_log_bin('v')} as _bin")).agg(*map(F.expr, sums))
+    bins = rows.groupBy(*map(col, keys), F.expr(f"{_log_bin('v')} as _bin")).agg(*map(F.expr, sums))
     return (
         bins.selectExpr("*", f"sum(c) over (partition by {by}) as n")
         .withColumn("c", F.expr("if(_bin is null, 0L, c)"))
@@ -179,7 +180,7 @@ def _coarse_bins(rows: DataFrame, keys: list[str], spread: bool = False) -> Data
 
 
 def _rows_inside(rows: DataFrame, opened: DataFrame, keys: list[str], size: int) -> DataFrame:
-    edges = opened.select(*keys, "lo", "hi", "base", "n", "nn")
+    edges = opened.select(*map(col, keys), "lo", "hi", "base", "n", "nn")
     return attach(rows, edges, keys, size, extra=F.expr("v >= lo and v <= hi"))
 
 
@@ -192,7 +193,7 @@ def _finer_bins(rows: DataFrame, opened: DataFrame, keys: list[str], size: int)
     cell = f"cast(least({BINS - 1}, floor(try_divide(v - lo, hi - lo) * {BINS})) as int) as _bin"
     bins = (
         _rows_inside(rows, opened, keys, size)
-        .groupBy(*keys, F.expr("lo as _from"), F.expr(cell))
+        .groupBy(*map(col, keys), F.expr("lo as _from"), F.expr(cell))
         .agg(*map(F.expr, _BIN_SUMS), *[F.max(c).alias(c) for c in ("base", "n", "nn")])
     )
     return bins.selectExpr("*", f"base + {_running([*keys, '_from'], '_bin')} as cum")
@@ -205,7 +206,7 @@ def _spread_rows(bins: DataFrame, keys: list[str]) -> DataFrame:
     square = "sum(c * (within + moved * moved))"
     return (
         moved.where("c > 0")
-        .groupBy(*keys, "n", "nn")
+        .groupBy(*map(col, keys), "n", "nn")
         .agg(
             F.expr(f"sqrt(try_divide({square}, nn - 1)) as sd"),
             F.expr("min(lo) as lo"),
@@ -221,7 +222,7 @@ def _rank_table(
     ranks = dict.fromkeys(r for s in stats for r in s.ranks())
     holds = " or ".join(f"(cum - c < {r} and {r} <= cum)" for r in ranks)
     is_open = F.expr(f"coalesce(lo < hi and ({holds}), false) as _open")
-    out = [*keys, "v", "c", "s", "cum", "n", "nn"]
+    out = [*map(quoted, keys), "v", "c", "s", "cum", "n", "nn"]
 
     parts, bins = [], _coarse_bins(rows, keys, spread)
     while True:
@@ -249,7 +250,7 @@ def _rank_table(
     if intervals:
         listed = (
             _rows_inside(near, opened, keys, intervals)
-            .groupBy(*keys, F.expr("lo as _from"), "v", "base", "n", "nn")
+            .groupBy(*map(col, keys), F.expr("lo as _from"), "v", "base", "n", "nn")
             .agg(F.expr("count(*) as c"))
         )
         upto = f"base + {_running([*keys, '_from'], 'v')} as cum"
@@ -276,14 +277,14 @@ def describe(
     rows = _measure_rows(df, keys, measure)
     if not any(s.ranks() for s in stats):
         plain = [f"{s.plain()} as {s.name}" for s in stats]
-        return rows.groupBy(*keys).agg(*map(F.expr, [*plain, *(_SPREAD if spread else ())]))
+        return rows.groupBy(*map(col, keys)).agg(*map(F.expr, [*plain, *(_SPREAD if spread else ())]))
     if direct:
         wanted = [f"{s.of_sorted()} as {s.name}" for s in stats]
         wanted += ["sd", "lo", "hi"] if spread else []
         return _gathered(rows, keys, spread).selectExpr(*map(quoted, keys), *wanted)
     wanted = [f"{s.of_ranks()} as {s.name}" for s in stats]
     wanted += ["max(sd) as sd", "min(lo) as lo", "max(hi) as hi"] if spread else []
-    return _rank_table(rows, keys, stats, spread).groupBy(*keys).agg(*map(F.expr, wanted))
+    return _rank_table(rows, keys, stats, spread).groupBy(*map(col, keys)).agg(*map(F.expr, wanted))
 
 
 def settled_average(column: str) -> Column:

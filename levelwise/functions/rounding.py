@@ -28,6 +28,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def col(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col(quoted(name))
+
+
 def rounded_sql(value: str, digits: int = 2) -> str:
     """``round_half_even`` as SQL text."""
     return f"bround(bround({value}, {SETTLE_DIGITS}), {digits})"

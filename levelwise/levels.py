@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from levelwise.functions.rounding import col
+
 # A column with more labels than this is an id, not a category.
 MAX_LEVELS = 10_000
 # A grid of more cells is a mistake in the choice of columns.
@@ -30,7 +32,7 @@ def as_labels(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``df`` with ``columns`` as text; those that are text already are left alone."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     other = [c for c in columns if not isinstance(kinds[c], StringType)]
-    return df.withColumns({c: F.col(c).cast("string") for c in other}) if other else df
+    return df.withColumns({c: col(c).cast("string") for c in other}) if other else df
 
 
 def _number_key(label: str) -> tuple[float, int, str]:
@@ -41,7 +43,7 @@ def _number_key(label: str) -> tuple[float, int, str]:
 def level_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(dimension, level, n) for all ``columns`` from a single pass."""
     pairs = [
-        F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("level"))
+        F.struct(F.lit(c).alias("dimension"), col(c).cast("string").alias("level"))
         for c in columns
     ]
     return (
@@ -53,7 +55,7 @@ def level_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def level_index(column: str | Column, levels: Iterable[str]) -> Column:
     """One-based position of a label in its level order; null when unknown."""
-    label = F.col(column) if isinstance(column, str) else column
+    label = col(column) if isinstance(column, str) else column
     known = F.array(*[F.lit(v) for v in levels]).cast("array<string>")
     return F.nullif(F.array_position(known, label), F.lit(0)).cast("int")
 
@@ -64,7 +66,8 @@ class LevelBook:
     Labels with a natural order are declared; the rest are found by a counting
     job over the columns asked for, or read from ``stored``, the result of an
     earlier ``level_counts``, and ordered as text, or as numbers in ``numeric`` columns. An
-    order that was stored with them goes before both.
+    order that was stored with them goes before both. Stored levels whose counts do not
+    sum to the dataset's rows are out of date, and its labels are counted anew.
     """
 
     def __init__(
@@ -98,6 +101,8 @@ class LevelBook:
         missing = [c for c in columns if c not in self._counts and c not in self._wide]
         if not missing:
             return
+        if self._stored is not None and self._stale(missing):
+            self._stored = None
         if self._stored is None:
             labels = level_counts(self._base, missing)
         else:
@@ -120,6 +125,16 @@ class LevelBook:
             if not wide:
                 self._counts.update(counts)
 
+    def _stale(self, columns: Iterable[str]) -> bool:
+        """Whether stored counts of ``columns`` do not sum to the rows the dataset has now.
+
+        Rows are added or taken away after levels are stored; the row count of plain
+        parquet is in its footers, so this reads no data.
+        """
+        kept = self._stored.where(F.col("dimension").isin(*columns))
+        sums = kept.groupBy("dimension").agg(F.sum("n").alias("n")).collect()
+        return {r.dimension: r.n for r in sums} != dict.fromkeys(columns, self.rows)
+
     def levels(self, column: str) -> tuple[str, ...]:
         if column in self._declared:
             return self._declared[column]

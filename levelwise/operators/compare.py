@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from levelwise.cohort import Cohort
 from levelwise.functions.ranks import MEAN, ROWS, Stat, describe
-from levelwise.functions.rounding import quoted, round_measures
+from levelwise.functions.rounding import col, quoted, round_measures
 
 _STATS = [ROWS, Stat("valid", "valid"), MEAN, Stat("median", "median")]
 
 
 def _long(cohort: Cohort, variant: str, measures: list[str], keys: list[str]) -> DataFrame:
     pairs = [
-        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+        F.struct(F.lit(m).alias("measure"), col(m).cast("double").alias("value"))
         for m in measures
     ]
-    return cohort.df.select(F.lit(variant).alias("variant"), *keys, F.inline(F.array(*pairs)))
+    return cohort.df.select(F.lit(variant).alias("variant"), *map(col, keys), F.inline(F.array(*pairs)))
 
 
 def imputation_compare(
@@ -49,7 +49,7 @@ def imputation_compare(
             of(v, "mean").alias(f"{v}_mean"),
             of(v, "median").alias(f"{v}_median"),
         ]
-    table = stats.groupBy("measure", *keys).agg(*sides)
+    table = stats.groupBy("measure", *map(col, keys)).agg(*sides)
     for s in ("mean", "median"):
         change = F.col(f"imputed_{s}") - F.col(f"raw_{s}")
         table = table.withColumn(f"{s}_change", change)
@@ -70,9 +70,15 @@ def catalog_roles(cohort: Cohort) -> DataFrame:
     ]
     filled = cohort.df.selectExpr(*[f"count({quoted(c)}) as {quoted(c)}" for c, *_ in listed])
     rows = [
-        f"struct('{c}' as column_name, '{role}' as role, {i} as ordinal,"
-        f" {back} as reverse_ordinal, {role == 'group' and c in roles.area_groups} as in_area,"
-        f" {c in roles.filterable} as filterable, {quoted(c)} as filled_rows)"
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(role).alias("role"),
+            F.lit(i).alias("ordinal"),
+            F.lit(back).alias("reverse_ordinal"),
+            F.lit(role == "group" and c in roles.area_groups).alias("in_area"),
+            F.lit(c in roles.filterable).alias("filterable"),
+            col(c).alias("filled_rows"),
+        )
         for c, role, i, back in listed
     ]
-    return filled.selectExpr(f"inline(array({', '.join(rows)}))")
+    return filled.select(F.inline(F.array(*rows)))

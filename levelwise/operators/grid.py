@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from levelwise.functions.predicates import reliability_band
+from levelwise.functions.rounding import col
 
 # How exported files write a missing value and name count columns.
 NA_TEXT = "NA"
@@ -24,7 +25,7 @@ def grid_filter(result: DataFrame, conditions: Mapping[str, object]) -> DataFram
     Either end of a range may be None. Conditions on several columns all hold.
     """
     for name, wanted in conditions.items():
-        column = F.col(f"`{name}`")
+        column = col(name)
         if isinstance(wanted, tuple):
             low, high = wanted
             if low is not None:
@@ -43,7 +44,7 @@ def _display(df: DataFrame, name: str) -> Column:
 
     A number too large for that is shown as Spark writes it.
     """
-    column = F.col(f"`{name}`")
+    column = col(name)
     if isinstance(df.schema[name].dataType, (DoubleType, FloatType)):
         text = column.try_cast("decimal(38,10)").cast("string")
         return F.coalesce(F.regexp_replace(text, r"\.?0+$", ""), column.cast("string"))
@@ -67,7 +68,7 @@ def grid_page(result: DataFrame, order: list[Column | str], page: int, size: int
 
 def top_k(result: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
     """The ``k`` rows with the largest ``by``; ``ties`` make the choice unique."""
-    return result.orderBy(F.col(by).desc_nulls_last(), *ties).limit(k)
+    return result.orderBy(col(by).desc_nulls_last(), *map(col, ties)).limit(k)
 
 
 def band_columns(result: DataFrame) -> list[str]:
@@ -92,7 +93,7 @@ def with_bands(result: DataFrame) -> DataFrame:
     single = len(columns) == 1
     return result.withColumns(
         {
-            "band" if single else f"{c}_band": reliability_band(F.col(f"`{c}`"))
+            "band" if single else f"{c}_band": reliability_band(c)
             for c in columns
         }
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from levelwise.cohort import Cohort
 from levelwise.functions.predicates import apply_measure_rule, complete_cases
 from levelwise.functions.ranks import Stat, describe
+from levelwise.functions.rounding import col
 from levelwise.operators.tables import _zero_rule
 from levelwise.plans.bounds import attach, fits_one_task
 from levelwise.sources.scratch import checkpointed
@@ -23,7 +24,9 @@ REACH = 4
 
 def scatter_rows(cohort: Cohort, group: str, x: str, y: str, *extra: str) -> DataFrame:
     """Rows with group, x and y all present."""
-    return complete_cases(cohort.df.select(*dict.fromkeys([*extra, group, x, y])), [group, x, y])
+    return complete_cases(
+        cohort.df.select(*map(col, dict.fromkeys([*extra, group, x, y]))), [group, x, y]
+    )
 
 
 def scatter_sample(
@@ -45,12 +48,12 @@ def scatter_sample(
     keys = [key] if key is not None else []
     draw = F.rand(seed)
     if key:
-        text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+        text = F.coalesce(col(key).cast("string"), F.lit(""))
         draw = F.md5(F.concat(F.lit(f"{seed}:"), text))
     rows = scatter_rows(cohort, group, x, y, *keys).withColumn("_draw", draw)
     if not fits_one_task(cohort.book.rows):
         rows = _low_draws(rows, size, hashed=key is not None)
-    return rows.orderBy("_draw", *keys).limit(size).drop("_draw")
+    return rows.orderBy("_draw", *map(col, keys)).limit(size).drop("_draw")
 
 
 def _low_draws(rows: DataFrame, size: int, hashed: bool) -> DataFrame:
@@ -73,12 +76,12 @@ def _low_draws(rows: DataFrame, size: int, hashed: bool) -> DataFrame:
 
 def linear_trend(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Least-squares line of y on x per group, with its ends over the group's x."""
-    fit = points.groupBy(group).agg(
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_count(y, x).alias("n"),
-        F.min(x).alias("x_min"),
-        F.max(x).alias("x_max"),
+    fit = points.groupBy(col(group)).agg(
+        F.regr_slope(col(y), col(x)).alias("slope"),
+        F.regr_intercept(col(y), col(x)).alias("intercept"),
+        F.regr_count(col(y), col(x)).alias("n"),
+        F.min(col(x)).alias("x_min"),
+        F.max(col(x)).alias("x_max"),
     )
     for end in ("min", "max"):
         at_end = F.col("intercept") + F.col("slope") * F.col(f"x_{end}")
@@ -90,8 +93,8 @@ def _year_rows(
     cohort: Cohort, group: str, measure: str, year: str | None, signed: bool | None
 ) -> DataFrame:
     rows = cohort.df if year is None else cohort.df.where(F.col("Financial_Year") == year)
-    rows = rows.select("Financial_Year", group, measure).where(
-        F.col(group).isNotNull() | F.col(measure).isNotNull()
+    rows = rows.select("Financial_Year", col(group), col(measure)).where(
+        col(group).isNotNull() | col(measure).isNotNull()
     )
     return apply_measure_rule(rows, measure, _zero_rule(measure, signed, "positive"))
 
@@ -105,8 +108,11 @@ def quantile_band(
     method: str = "auto",
 ) -> DataFrame:
     """5% and 95% quantile of the measure in a year, or in every year."""
+    return _band(cohort, _year_rows(cohort, group, measure, year, signed), measure, method)
+
+
+def _band(cohort: Cohort, rows: DataFrame, measure: str, method: str) -> DataFrame:
     keys = ["Financial_Year"]
-    rows = _year_rows(cohort, group, measure, year, signed)
     direct = cohort.direct(keys, method)
     stats = [Stat("quantile", "p05", BAND[0]), Stat("quantile", "p95", BAND[1])]
     return describe(rows, keys, measure, stats, direct=direct)
@@ -121,13 +127,18 @@ def density_rows(
     method: str = "auto",
 ) -> DataFrame:
     """A year's rows whose measure lies between its overall 5% and 95% quantile."""
+    return _within_band(cohort, _year_rows(cohort, group, measure, year, signed), group, measure, method)
+
+
+def _within_band(
+    cohort: Cohort, rows: DataFrame, group: str, measure: str, method: str
+) -> DataFrame:
     cohort.roles.require(group, "group")
     cohort.roles.require(measure, "measure")
-    rows = _year_rows(cohort, group, measure, year, signed)
-    band = quantile_band(cohort, group, measure, year, signed, method).first()
+    band = _band(cohort, rows, measure, method).first()
     if band is None:
         return rows.where(F.lit(False))
-    return rows.where(F.col(measure).between(band["p05"], band["p95"]))
+    return rows.where(col(measure).between(band["p05"], band["p95"]))
 
 
 def density_bandwidth(
@@ -164,26 +175,30 @@ def density_curve(
     which aggregates the data to at most 512 weights per group; kernel sums and
     the final interpolation work on those weights only.
     """
-    rows = density_rows(cohort, group, measure, year, signed, method)
+    whole = _year_rows(cohort, group, measure, year, signed)
+    if not (cohort.direct(["Financial_Year"], method) and cohort.direct([group], method)):
+        # Ranks take several passes; the cohort, which may be a join, is read in one.
+        whole = checkpointed(whole)
+    rows = _within_band(cohort, whole, group, measure, method)
     widths = checkpointed(density_bandwidth(cohort, rows, group, measure, method))
     lo, hi, groups = widths.agg(F.min("lo"), F.max("hi"), F.count(F.lit(1))).first()
     lo, hi, last = F.lit(lo), F.lit(hi), F.lit(MESH - 1)
     reach = REACH * F.col("h")
     mesh = widths.where(F.col("h").isNotNull()).select(
-        group, "n", "h", (lo - reach).alias("start"), ((hi - lo + 2 * reach) / last).alias("step")
+        col(group), "n", "h", (lo - reach).alias("start"), ((hi - lo + 2 * reach) / last).alias("step")
     )
     placed = attach(rows, mesh, [group], groups)
-    at = (F.col(measure) - F.col("start")) / F.col("step")
+    at = (col(measure) - F.col("start")) / F.col("step")
     weights = (
         placed.withColumn("_at", at)
-        .groupBy(group, F.floor("_at").cast("int").alias("i"), "n", "h", "start", "step")
+        .groupBy(col(group), F.floor("_at").cast("int").alias("i"), "n", "h", "start", "step")
         .agg(
             F.sum(1 - (F.col("_at") - F.floor("_at"))).alias("left"),
             F.sum(F.col("_at") - F.floor("_at")).alias("right"),
         )
     )
     # At most MESH weights per group, whatever the number of rows.
-    curves = weights.groupBy(group, "n", "h", "start", "step").agg(
+    curves = weights.groupBy(col(group), "n", "h", "start", "step").agg(
         F.sort_array(F.collect_list(F.struct("i", "left", "right"))).alias("weights")
     )
     # Summed before the points are listed, so once per group and mesh point.
@@ -193,7 +208,7 @@ def density_curve(
     )
     near = "w.left * get(kernel, abs(j - w.i)) + w.right * get(kernel, abs(j - w.i - 1))"
     summed = curves.selectExpr("*", kernel).select(
-        group,
+        col(group),
         "start",
         "step",
         F.expr(
@@ -210,5 +225,5 @@ def density_curve(
     return (
         points.withColumn("x", x)
         .withColumn("_at", at)
-        .select(group, "point", "x", density.alias("density"))
+        .select(col(group), "point", "x", density.alias("density"))
     )

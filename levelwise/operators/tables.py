@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from levelwise.cohort import Cohort
 from levelwise.functions.predicates import apply_measure_rule
 from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, TRIMMED, Stat, describe
-from levelwise.functions.rounding import quoted, round_half_even, round_measures, rounded_sql
+from levelwise.functions.rounding import col, quoted, round_half_even, round_measures, rounded_sql
 from levelwise.levels import level_grid, level_index
 from levelwise.roles import is_signed
 
@@ -27,7 +27,7 @@ def group_count(cohort: Cohort, keys: list[str]) -> DataFrame:
     """Rows per key combination that occurs; null is a label like any other."""
     for k in keys:
         cohort.roles.require(k, "categorical")
-    return cohort.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return cohort.df.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _counts_on_grid(df: DataFrame, labels: dict[str, list[str | None]]) -> DataFrame:
@@ -37,9 +37,9 @@ def _counts_on_grid(df: DataFrame, labels: dict[str, list[str | None]]) -> DataF
     need no join and a null label no special case.
     """
     keys = list(labels)
-    ones = df.select(*keys, F.lit(1).cast("bigint").alias("n"))
+    ones = df.select(*map(col, keys), F.lit(1).cast("bigint").alias("n"))
     zeros = level_grid(df.sparkSession, labels).withColumn("n", F.lit(0).cast("bigint"))
-    return ones.unionByName(zeros).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return ones.unionByName(zeros).groupBy(*map(col, keys)).agg(F.sum("n").alias("n"))
 
 
 def complete_counts(cohort: Cohort, keys: list[str]) -> DataFrame:
@@ -55,14 +55,14 @@ def freq_table(cohort: Cohort, time: str, group: str) -> DataFrame:
     """Counts of every time and group level, without missing labels."""
     cohort.roles.require(time, "time")
     cohort.roles.require(group, "group")
-    known = cohort.df.where(F.col(time).isNotNull() & F.col(group).isNotNull())
+    known = cohort.df.where(col(time).isNotNull() & col(group).isNotNull())
     levels = {k: list(cohort.book.levels(k)) for k in (time, group)}
     return _counts_on_grid(known, levels).withColumnRenamed("n", "freq")
 
 
 def row_percent(cohort: Cohort, time: str, group: str) -> DataFrame:
     """Each cell's share of its row total, in long form."""
-    row = W.partitionBy(time)
+    row = W.partitionBy(col(time))
     share = 100 * F.try_divide(F.col("n"), F.sum("n").over(row))
     return complete_counts(cohort, [time, group]).withColumn("percent", round_half_even(share))
 
@@ -97,13 +97,13 @@ def _pivoted(
     labels = cohort.labels(column)
     # Column labels are all named by the pivot; the grid only supplies rows.
     grid = {**{r: cohort.labels(r) for r in rows}, column: labels[:1]}
-    label = F.col(column)
+    label = col(column)
     listed = label.isin(*[v for v in labels if v is not None])
     known = F.coalesce(listed, F.lit(None in labels))
     lost = F.concat(F.lit(f"{column} has a label its dictionary lacks: "), F.coalesce(label, F.lit("null")))
     checked = F.when(known, label).otherwise(F.raise_error(lost).cast("string"))
     cells = _counts_on_grid(cohort.df.withColumn(column, checked), grid)
-    wide = cells.groupBy(*rows).pivot(column, labels).agg(F.sum("n"))
+    wide = cells.groupBy(*map(col, rows)).pivot(quoted(column), labels).agg(F.sum("n"))
     keys = [f"_r{i}" for i in range(len(rows))]
     counts = [f"_c{i}" for i in range(len(labels))]
     filled = [f"coalesce({c}, 0L) as {c}" for c in counts]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from levelwise.cohort import Cohort
 from levelwise.functions.predicates import apply_measure_rule, visible_label
 from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, Stat, describe
-from levelwise.functions.rounding import round_measures, rounded_sql
+from levelwise.functions.rounding import col, quoted, round_measures, rounded_sql
 from levelwise.levels import MAX_LEVELS, level_index
 from levelwise.operators.tables import _unique_r_names, _zero_rule, measure_stats
 from levelwise.sources.scratch import checkpointed
@@ -58,7 +58,7 @@ def trend(
 
 def _series(cohort: Cohort, time: str, measure: str, rule: str, suffix: str) -> DataFrame:
     kept = apply_measure_rule(cohort.df, measure, rule)
-    return kept.select(F.lit(measure + suffix).alias("category"), time, measure)
+    return kept.select(F.lit(measure + suffix).alias("category"), col(time), col(measure))
 
 
 def trend_by_group(
@@ -81,11 +81,11 @@ def trend_by_group(
     kept = apply_measure_rule(cohort.df, measure, _zero_rule(measure, signed, "positive"))
     series = F.inline(
         F.array(
-            F.struct(F.col(group).alias(group), F.lit(False).alias("_overall")),
+            F.struct(col(group).alias(group), F.lit(False).alias("_overall")),
             F.struct(F.lit(OVERALL).alias(group), F.lit(True).alias("_overall")),
         )
     )
-    rows = kept.select(time, measure, series).where(
+    rows = kept.select(col(time), col(measure), series).where(
         F.col("_overall") | visible_label(group, strict_labels)
     )
     # The overall group of a time holds all of that time's rows.
@@ -105,11 +105,11 @@ def grouping_medians(
     kept = apply_measure_rule(cohort.df, measure, "positive")
     series = F.inline(
         F.array(
-            F.struct(F.col(group).alias(group), F.lit(0).alias("level")),
+            F.struct(col(group).alias(group), F.lit(0).alias("level")),
             F.struct(F.lit(None).cast("string").alias(group), F.lit(1).alias("level")),
         )
     )
-    rows = kept.select(time, measure, series)
+    rows = kept.select(col(time), col(measure), series)
     direct = cohort.direct([time], method)
     return round_measures(
         describe(
@@ -133,7 +133,7 @@ def latest_bar(
     has no row there. Time and labels are filtered before aggregating.
     """
     cohort.roles.require(time, "time")
-    kept = cohort.df.where(F.col(time) == cohort.book.last(time))
+    kept = cohort.df.where(col(time) == cohort.book.last(time))
     for g in groups:
         kept = kept.where(visible_label(g, strict_labels))
     rule = _zero_rule(measure, signed, "positive")
@@ -178,7 +178,7 @@ def share_area(
     cohort.roles.require(group, "group")
     counted = (
         cohort.df.where(visible_label(group, strict_labels))
-        .groupBy(F.col(time).alias("Time"), F.col(group).alias("Condition"))
+        .groupBy(col(time).alias("Time"), col(group).alias("Condition"))
         .agg(F.count(F.lit(1)).alias("cell"))
     )
     # One row per cell of the result; kept, so that the data are read once.
@@ -213,7 +213,7 @@ def melt(
     value: str = "Percentage",
 ) -> DataFrame:
     """Wide to long: a row per value column."""
-    return df.unpivot(ids, [f"`{v}`" for v in values], name, value)
+    return df.unpivot([*map(quoted, ids)], [*map(quoted, values)], name, value)
 
 
 def stack(
@@ -232,10 +232,10 @@ def stack(
     # A result has at most one row per (x, series) label, so this is small.
     order = level_index(series, cohort.book.levels(group or series))
     upto = (
-        W.partitionBy(x)
-        .orderBy(order.desc_nulls_first(), F.col(series).desc())
+        W.partitionBy(col(x))
+        .orderBy(order.desc_nulls_first(), col(series).desc())
         .rowsBetween(W.unboundedPreceding, 0)
     )
-    top = F.sum(y).over(upto)
+    top = F.sum(col(y)).over(upto)
     stacked = result.withColumn("ymax", top)
-    return round_measures(stacked.withColumn("ymin", F.col("ymax") - F.coalesce(y, F.lit(0.0))))
+    return round_measures(stacked.withColumn("ymin", F.col("ymax") - F.coalesce(col(y), F.lit(0.0))))

@@ -13,8 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from levelwise.functions.rounding import col
+
 # Rows of one group that a single task may be given to sort.
 ONE_TASK_ROWS = 1_000_000
+# Groups that a task's hash aggregation gathers at a time before it sorts and holds one
+# (Spark's ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold``).
+GROUPS_HELD = 128
 # Rows of a side table that may be sent to every executor: a few labels and
 # numbers each, so some tens of megabytes.
 BROADCAST_ROWS = 500_000
@@ -24,6 +29,11 @@ def fits_one_task(rows: int | None) -> bool:
     return rows is not None and rows <= ONE_TASK_ROWS
 
 
+def groups_fit_one_task(largest: int | None) -> bool:
+    """Whether one task may gather groups of at most ``largest`` rows, many at a time."""
+    return largest is not None and fits_one_task(largest * GROUPS_HELD)
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,
@@ -41,7 +51,7 @@ def attach(
     side = small.withColumnsRenamed({k: f"_rhs_{k}" for k in keys})
     if small_rows is not None and small_rows <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    on = [F.col(k).eqNullSafe(F.col(f"_rhs_{k}")) for k in keys]
+    on = [col(k).eqNullSafe(col(f"_rhs_{k}")) for k in keys]
     if extra is not None:
         on.append(extra)
     joined = big.join(side, reduce(Column.__and__, on), how)

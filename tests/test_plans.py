@@ -101,3 +101,9 @@ def test_windows_have_partitions(spark, data, name):
     for arguments in re.findall(r"\(\d+\) Window\n(?:.*\n)*?Arguments: (.*)", text):
         assert "windowspecdefinition(" in arguments
         assert not re.search(r"windowspecdefinition\([^,]*(ASC|DESC)", arguments), arguments
+
+
+def test_ranked_density_reads_a_joined_cohort_once(spark, data):
+    """The join was done for the stored rows of the year; nothing left reads a table."""
+    names = operators(contract.queries()["density_curve_lines_ranked"](spark, data))
+    assert not any(n.startswith("Scan parquet") for n in names)
