@@ -1,15 +1,17 @@
 """Fuzzy line deduplication across documents.
 
-Lines are normalised and hashed; distinct ones get a SimHash of their words. SimHashes are
-joined on pigeonhole blocks: of five blocks at most three can hold the ``DISTANCE`` differing bits, so two near
-fingerprints agree on two whole blocks. Lines of near fingerprints are verified by the
-edit similarity of their words, and of each connected group the first occurrence stays.
+Lines are normalised and hashed. Two lines link when the edit similarity of their words is at least
+0.8; no fingerprint stands in for that rule. An edit touches at most q of a line's q-word
+windows, so of the windows in one fixed order (by hash) the first ones of two such lines share one
+(a prefix filter). Lines that share a window, and whose lengths and word parities allow so few edits,
+are candidates; candidates are verified, and of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, groupby
+from functools import lru_cache
+from itertools import groupby
 from operator import ne
 
 import numpy as np
@@ -20,12 +22,18 @@ from xxhash import xxh64_intdigest
 
 from levelwise.llm.common import bind, identity, slices, stored, text_of
 from levelwise.llm.components import components
-from levelwise.llm.simhash import majority_bits, near_edges
 
 #: Lines of fewer words take no part: they are headings and list marks.
 MIN_WORDS = 5
-DISTANCE, SIMILARITY = 3, 0.8
-BLOCKS, AGREEING = 5, 2
+SIMILARITY = 0.8
+#: Bits of the words' SimHash in which linked lines may differ: all, only the edit similarity decides.
+DISTANCE = 64
+#: Lines of at most ``SHORT`` words meet on windows of two words, longer ones on three.
+SHORT = 11
+#: Windows kept of a line. Up to 39 words these are all the rule needs and no pair is missed.
+KEYS = 24
+#: Groups of so many lines are compared in whole arrays; larger ones are searched.
+SMALL_GROUP = 16
 #: Lines verified together; a larger candidate group is verified in pairs of blocks.
 VERIFY_ROWS = 4096
 
@@ -56,7 +64,89 @@ def normalised(line: str) -> list[str]:
     return plain(line).split()
 
 
-_LINES = "row long, doc_id long, line_no int, line long, fp long"
+_LINES = "row long, doc_id long, line_no int, line long, sketch long, keys array<long>"
+
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: A sketch has the length of a line in its low bits and above them the parities of its words.
+_LENGTH = np.uint64(0xFFF)
+_PARITIES = 52
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def allowed_edits(longest: int) -> int:
+    return int((1 - SIMILARITY) * longest + 1e-9)
+
+
+@lru_cache(maxsize=None)
+def prefix_size(n: int, q: int) -> int:
+    """How many windows of a line of ``n`` words must be looked at.
+
+    With a longer line of ``b`` words there are ``d`` edits at most, ``b - n`` of them
+    insertions; these break q - 1 windows, others q.
+    """
+    most, b = 0, n
+    while b - n <= allowed_edits(b):
+        most = max(most, q * allowed_edits(b) - (b - n))
+        b += 1
+        if b > 4 * n + 8:
+            break
+    return most + 1
+
+
+def window_keys(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows under which lines meet others, line after line, and their numbers.
+
+    ``words`` has the hashes of the lines' words, ``counts`` how many each line has.
+    """
+    line_of, place = np.repeat(np.arange(len(counts)), counts), np.arange(len(words))
+    after = np.repeat(np.cumsum(counts), counts) - place  # words of the line from here on
+    keys, owners = [], []
+    # A pair is met by the windows of its longer line's length.
+    least = SHORT + 1 - allowed_edits(SHORT + 1)
+    for q, meets in ((2, counts <= SHORT), (3, counts >= least)):
+        at = place[meets[line_of] & (after >= q)]
+        h = np.full(len(at), q, dtype=np.uint64)
+        for k in range(q):
+            h = mixed(h * _MIX[0] + words[at + k])
+        own = line_of[at]
+        order = np.lexsort((h, own))
+        h, own = h[order], own[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        h, own = h[new], own[new]
+        found = np.bincount(own, minlength=len(counts))
+        rank = np.arange(len(h)) - np.repeat(np.cumsum(found) - found, found)
+        sizes, which = np.unique(counts, return_inverse=True)
+        limit = np.array([min(prefix_size(int(n), q), KEYS) for n in sizes], dtype=np.int64)
+        kept = rank < limit[which][own] if len(counts) else new
+        keys.append(h[kept])
+        owners.append(own[kept])
+    own = np.concatenate(owners)
+    return np.concatenate(keys)[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(counts))
+
+
+def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One sketch per line; an edit changes two parities at most."""
+    if not len(counts):
+        return np.zeros(0, dtype=np.uint64)
+    bits = np.uint64(1) << (mixed(values) % np.uint64(_PARITIES) + np.uint64(12))
+    starts = np.cumsum(counts) - counts
+    return np.bitwise_xor.reduceat(bits, starts) | np.minimum(counts, 0xFFF).astype(np.uint64)
+
+
+def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lengths and parities leave room for the similarity; never false for linked lines."""
+    m, n = (a & _LENGTH).astype(np.int64), (b & _LENGTH).astype(np.int64)
+    longest = np.maximum(m, n)
+    edits = np.floor((1 - SIMILARITY) * longest + 1e-9)
+    apart = np.bitwise_count((a ^ b) & ~_LENGTH)
+    # A length that fills its bits may be any greater one.
+    return (longest == 0xFFF) | ((np.abs(m - n) <= edits) & (apart <= 2 * edits))
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,16 +163,19 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         counts.append(len(words))
                         values.extend(map(xxh64_intdigest, words))
             at = np.array([i for i, _ in own], dtype=np.int64)
-            prints = majority_bits(np.array(values, dtype=np.uint64), np.array(counts, dtype=np.int64))
+            hashes, sizes = np.array(values, dtype=np.uint64), np.array(counts, dtype=np.int64)
+            flat, found = window_keys(hashes, sizes)
+            offsets = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(at)),
                     batch.column(1).take(pa.array(at)),
                     pa.array([n for _, n in own], pa.int32()),
                     pa.array(np.array(lines, dtype=np.uint64).view(np.int64)),
-                    pa.array(prints.view(np.int64)),
+                    pa.array(sketches(hashes, sizes).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                names=["row", "doc_id", "line_no", "line", "fp"],
+                names=["row", "doc_id", "line_no", "line", "sketch", "keys"],
             )
 
 
@@ -122,18 +215,18 @@ def similar(a: list, b: list) -> bool:
 
 
 def verified_edges(lines: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
-    """Edges that connect all pairs of (line, fp, words) that are near and similar.
+    """Edges that connect all pairs of (line, sketch, words) that are similar.
 
     As in a search through a graph, a line already reached is not compared again.
     """
-    prints = np.array([p for _, p, _ in lines], dtype=np.int64).view(np.uint64)
+    sketch = np.array([p for _, p, _ in lines], dtype=np.int64).view(np.uint64)
     left = np.arange(len(lines))
     edges = []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.flatnonzero(np.bitwise_count(prints[left] ^ prints[at]) <= DISTANCE)
+            near = np.flatnonzero(may_link(sketch[left], sketch[at]))
             found = [int(i) for i in near if similar(lines[at][2], lines[left[i]][2])]
             queue += [left[i] for i in found]
             edges += [(lines[at][0], lines[left[i]][0]) for i in found]
@@ -141,8 +234,61 @@ def verified_edges(lines: list[tuple[int, int, list[str]]]) -> list[tuple[int, i
     return edges
 
 
+def candidate_edges(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all lines of a key that may link; rows are sorted by key, then line."""
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])])
+    keys, lines, sketch = keys[new], lines[new], sketch[new]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    ends = np.repeat(np.where(sizes <= SMALL_GROUP, starts + sizes, 0), sizes)
+    at, heads, tails = np.arange(len(keys)), [], []
+    for by in range(1, SMALL_GROUP):
+        at = at[at + by < ends[at]]
+        met = at[may_link(sketch[at], sketch[at + by])]
+        heads.append(lines[met])
+        tails.append(lines[met + by])
+    for s, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
+        left = np.arange(s, s + n)
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                one = queue.pop()
+                near = may_link(sketch[left], sketch[one])
+                found, left = left[near], left[~near]
+                heads.append(np.full(len(found), lines[one]))
+                tails.append(lines[found])
+                queue += list(found)
+    return np.concatenate(heads), np.concatenate(tails)
+
+
+def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (key, line, sketch) sorted by the first two."""
+    held: list[list[np.ndarray]] = []
+
+    def flush():
+        a, b = candidate_edges(*(np.concatenate(x) for x in zip(*held)))
+        met = np.unique(np.stack([a, b]), axis=1) if len(a) else np.stack([a, b])
+        ends = [pa.array(np.ascontiguousarray(x)) for x in met]
+        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        columns[2] = columns[2].view(np.uint64)
+        # The last key may go on in the next batch.
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            held.append([c[:cut] for c in columns])
+            yield flush()
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield flush()
+
+
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (root, i, j, line, fp, text) sorted by the first three."""
+    """Reads (root, i, j, line, sketch, text) sorted by the first three."""
 
     def rows():
         for whole in batches:
@@ -150,34 +296,29 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from batch.to_pylist()
 
     for _, members in groupby(rows(), key=lambda r: (r["root"], r["i"], r["j"])):
-        edges = verified_edges([(r["line"], r["fp"], normalised(r["text"])) for r in members])
+        edges = verified_edges([(r["line"], r["sketch"], normalised(r["text"])) for r in members])
         yield pa.RecordBatch.from_pylist(
             [{"a": a, "b": b} for a, b in edges], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())])
         )
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """(line, fp, at, root) of lines whose fingerprint is near that of another line."""
-    prints = stored(distinct.groupBy("fp").agg(F.count("*").alias("n")), "line-fingerprints")
-    blocks = [range(64 * i // BLOCKS, 64 * (i + 1) // BLOCKS) for i in range(BLOCKS)]
-    plan = [[b for block in some for b in block] for some in combinations(blocks, AGREEING)]
-    roots = stored(components(near_edges(prints, plan, DISTANCE)), "line-roots")
-    # Lines of one fingerprint are candidates of each other too.
-    lone = prints.where("n > 1").select(F.col("fp").alias("vertex"), F.col("fp").alias("root"))
-    lone = lone.join(roots.select(F.col("vertex").alias("v")), F.col("vertex") == F.col("v"), "left_anti")
-    grouped = roots.union(lone)
-    return distinct.join(grouped, F.col("fp") == F.col("vertex")).select("line", "fp", "at", "root")
+def _candidates(lines: DataFrame) -> DataFrame:
+    """(line, sketch, at, root) of lines that another line may be linked to."""
+    keyed = lines.select(F.explode("keys").alias("key"), "line", "sketch")
+    met = keyed.repartition("key").sortWithinPartitions("key", "line")
+    roots = stored(components(met.mapInArrow(_candidate_batches, "a long, b long")), "line-roots")
+    found = lines.select("row", "line_no", "line", "sketch").join(roots, F.col("line") == F.col("vertex"))
+    # Any occurrence gives the text of a line; the least one is taken.
+    return found.groupBy("line", "sketch", "root").agg(F.min(F.struct("row", "line_no")).alias("at"))
 
 
 def _line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """``vertex`` and ``root`` of lines that are linked to another line."""
-    # Any occurrence gives the text of a line; the least one is taken.
-    distinct = lines.groupBy("line", "fp").agg(F.min(F.struct("row", "line_no")).alias("at"))
-    wanted = stored(_candidates(stored(distinct, "distinct-lines")), "line-candidates")
+    wanted = stored(_candidates(lines), "line-candidates")
     size = wanted.groupBy("root").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
     sized = wanted.join(size.withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
     spots = sized.select(
-        F.col("at.row").alias("at_row"), F.struct(F.col("at.line_no").alias("line_no"), "line", "fp", "root", "blocks").alias("spot")
+        F.col("at.row").alias("at_row"), F.struct(F.col("at.line_no").alias("line_no"), "line", "sketch", "root", "blocks").alias("spot")
     )
     # A document's lines are fetched together, so its text is read once.
     spots = spots.groupBy("at_row").agg(F.collect_set("spot").alias("spots"))
@@ -188,11 +329,11 @@ def _line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
         F.explode(
             F.transform("spots", lambda s: F.struct(s.alias("s"), F.get("texts", s["line_no"]).alias("text")))
         ).alias("x")
-    ).select("x.s.line", "x.s.fp", "x.s.root", "x.s.blocks", "x.text")
+    ).select("x.s.line", "x.s.sketch", "x.s.root", "x.s.blocks", "x.text")
     own = F.pmod("line", "blocks").cast("int")
     other = texts.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     keyed = other.select(
-        "root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "line", "fp", "text"
+        "root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "line", "sketch", "text"
     )
     sorted_rows = keyed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "line")
     return components(sorted_rows.mapInArrow(_verifier, "a long, b long"))
