@@ -9,6 +9,7 @@ are candidates; candidates are verified, and of each connected group the first o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -23,8 +24,9 @@ from xxhash import xxh64_intdigest
 from levelwise.llm.common import bind, identity, slices, stored, text_of
 from levelwise.llm.components import components
 
-#: Lines of fewer words take no part: they are headings and list marks.
-MIN_WORDS = 5
+#: Lines without a word take no part: they are blank or have marks only. Below four words no edit is
+#: allowed, so short lines repeat by equality.
+MIN_WORDS = 1
 SIMILARITY = 0.8
 #: Bits of the words' SimHash in which linked lines may differ: all, only the edit similarity decides.
 DISTANCE = 64
@@ -42,6 +44,12 @@ _PLAIN = "".join(
     "0" if c.isdecimal() else c if c.isalnum() or c == "\n" else " " for c in map(chr, range(128))
 )
 
+#: Letters of scripts that put no blanks between words: Thai to Myanmar, Khmer, kana, Han. Each is a word.
+_UNPARTED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+)
+
 
 def plain(text: str) -> str:
     """``text`` lower-cased and without marks, every number being the same word of its own."""
@@ -54,6 +62,8 @@ def plain(text: str) -> str:
                 text = text.replace(c, "0")
             elif not c.isalnum() and not c.isspace():
                 text = text.replace(c, " ")
+            elif _UNPARTED.match(c):
+                text = text.replace(c, f" {c} ")
     while "00" in text:
         text = text.replace("00", "0")
     return text.replace("0", " 0 ")
@@ -304,7 +314,9 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(lines: DataFrame) -> DataFrame:
     """(line, sketch, at, root) of lines that another line may be linked to."""
-    keyed = lines.select(F.explode("keys").alias("key"), "line", "sketch")
+    # Occurrences of one line are combined before the shuffle, so a common line is not met again and again.
+    once = lines.groupBy("line", "sketch").agg(F.min(F.struct("row", "line_no", "keys")).alias("at"))
+    keyed = once.select(F.explode("at.keys").alias("key"), "line", "sketch")
     met = keyed.repartition("key").sortWithinPartitions("key", "line")
     roots = stored(components(met.mapInArrow(_candidate_batches, "a long, b long")), "line-roots")
     found = lines.select("row", "line_no", "line", "sketch").join(roots, F.col("line") == F.col("vertex"))

@@ -34,3 +34,12 @@ def test_similar_lines_are_linked_at_any_fingerprint(spark, docs_of):
     want = {i for i in took if any(root[j] == root[i] for j in took if j < i)}
     got = {r.doc_id for r in lines.deduplicated_lines(docs_of(list(enumerate(texts)))).collect() if r.n_removed}
     assert got == want
+
+
+def test_short_lines_and_scripts_without_blanks(spark, docs_of):
+    same = "今日はとても良い天気ですね"
+    near = "今日はとても良い天気ですよ"
+    texts = ["Read more\n---\n\nalone", "READ  more!\n---\n\nread less", same, same + "。", near, "昨日は雨でした", "a b c d", "a b c d e"]
+    got = {r.doc_id: r.text for r in lines.deduplicated_lines(docs_of(list(enumerate(texts)))).collect()}
+    gone = {1: "---\n\nread less", 3: "", 4: "", 7: ""}
+    assert got == {i: gone.get(i, t) for i, t in enumerate(texts)}
