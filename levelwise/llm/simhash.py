@@ -286,12 +286,12 @@ def near_edges(prints: DataFrame, plan: Plan, distance: int = DISTANCE) -> DataF
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row per document: ``id``, ``fp``, ``row`` (its contents' number) and ``component_id``.
+    """One row per document: ``id``, ``fp``, ``row`` (its contents' number), ``component_id`` and ``root``.
 
     Documents link when their fingerprints differ in at most ``DISTANCE`` bits;
     ``component_id`` is the smallest id reachable. Null and empty texts have fingerprint
     zero and link like any other. Repeated rows stay. A null id never becomes a component id
-    unless the component has no other.
+    unless the component has no other, so it need not be unique to a component; ``root``, a fingerprint, is.
     """
     rows = fingerprints(
         docs,
@@ -308,7 +308,9 @@ def near_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id")
     named = named.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).join(
         least, F.col("_root") == F.col("root")
     )
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "row", "component_id")
+    return rows.join(named, F.col("fp") == F.col("_fp")).select(
+        "id", "fp", "row", "component_id", F.col("_root").alias("root")
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -331,8 +333,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_row"
     )
     found = near_groups(inner.select("doc_id", "text"))
-    first = found.where("id <=> component_id").groupBy("component_id").agg(F.min("row").alias("_k"))
-    chosen = stored(first.select("_k"), "representatives")
+    best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))
+    first = found.groupBy("root").agg(best.alias("best"))
+    chosen = stored(first.select(F.col("best.row").alias("_k")), "representatives")
     kept = inner.withColumn("_k2", identity("doc_id", "text")).join(
         chosen, F.col("_k2") == F.col("_k"), "left_semi"
     )
