@@ -34,6 +34,8 @@ DISTANCE = 64
 SHORT = 11
 #: Windows kept of a line. Up to 39 words these are all the rule needs and no pair is missed.
 KEYS = 24
+#: Lines of more words than the first number have so many more parities in their sketch.
+WIDER = ((24, 192), (150, 1024))
 #: Groups of so many lines are compared in whole arrays; larger ones are searched.
 SMALL_GROUP = 16
 #: Lines verified together; a larger candidate group is verified in pairs of blocks.
@@ -74,7 +76,7 @@ def normalised(line: str) -> list[str]:
     return plain(line).split()
 
 
-_LINES = "row long, doc_id long, line_no int, line long, sketch long, keys array<long>"
+_LINES = "row long, doc_id long, line_no int, line long, sketch long, wide binary, keys array<long>"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: A sketch has the length of a line in its low bits and above them the parities of its words.
@@ -149,14 +151,60 @@ def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, starts) | np.minimum(counts, 0xFFF).astype(np.uint64)
 
 
-def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether lengths and parities leave room for the similarity; never false for linked lines."""
-    m, n = (a & _LENGTH).astype(np.int64), (b & _LENGTH).astype(np.int64)
-    longest = np.maximum(m, n)
-    edits = np.floor((1 - SIMILARITY) * longest + 1e-9)
-    apart = np.bitwise_count((a ^ b) & ~_LENGTH)
-    # A length that fills its bits may be any greater one.
-    return (longest == 0xFFF) | ((np.abs(m - n) <= edits) & (apart <= 2 * edits))
+def _parities(values: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros((len(counts), bits // 64), dtype=np.uint64)
+    bit = mixed(values ^ np.uint64(bits)) % np.uint64(bits)
+    place = (np.repeat(np.arange(len(counts)), counts), (bit >> np.uint64(6)).astype(np.int64))
+    np.bitwise_xor.at(out, place, np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def wide_sketches(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """More parities of the words: none for lines of few words, the most for long ones."""
+    words = np.repeat(counts, counts)
+    out = [b""] * len(counts)
+    for more, bits in WIDER:
+        some = np.flatnonzero(counts > more)
+        if len(some):
+            for i, row in zip(some, _parities(values[words > more], counts[some], bits)):
+                out[i] += row.tobytes()
+    return out
+
+
+class Sketches:
+    """Sketches of many lines, the wide ones as matrices of the lines that have them."""
+
+    def __init__(self, sketch: np.ndarray, wide: list[bytes]):
+        self.sketch, self.levels, start = sketch, [], 0
+        sizes = np.fromiter(map(len, wide), np.int64, len(wide))
+        for _, bits in WIDER:
+            has = np.flatnonzero(sizes > start)
+            end = start + bits // 8
+            flat = b"".join(wide[i][start:end] for i in has)
+            index = np.full(len(wide), -1)
+            index[has] = np.arange(len(has))
+            self.levels.append((index, np.frombuffer(flat, dtype=np.uint64).reshape(-1, bits // 64)))
+            start = end
+
+    def may_link(self, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        """Whether lengths and parities leave room for the similarity; never false for linked lines."""
+        a, b = self.sketch[i], self.sketch[j]
+        m, n = (a & _LENGTH).astype(np.int64), (b & _LENGTH).astype(np.int64)
+        longest = np.maximum(m, n)
+        edits = np.floor((1 - SIMILARITY) * longest + 1e-9)
+        # A length that fills its bits may be any greater one.
+        endless = longest == 0xFFF
+        near = endless | (
+            (np.abs(m - n) <= edits) & (np.bitwise_count((a ^ b) & ~_LENGTH) <= 2 * edits)
+        )
+        for index, marks in self.levels:
+            x, y = index[i], index[j]
+            test = np.flatnonzero(near & (x >= 0) & (y >= 0) & ~endless)
+            if len(test):
+                other = marks[y[test]] if np.ndim(y) else marks[y]
+                apart = np.bitwise_count(marks[x[test]] ^ other).sum(axis=1, dtype=np.int64)
+                near[test] = apart <= 2 * edits[test]
+        return near
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +231,10 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array([n for _, n in own], pa.int32()),
                     pa.array(np.array(lines, dtype=np.uint64).view(np.int64)),
                     pa.array(sketches(hashes, sizes).view(np.int64)),
+                    pa.array(wide_sketches(hashes, sizes), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                names=["row", "doc_id", "line_no", "line", "sketch", "keys"],
+                names=["row", "doc_id", "line_no", "line", "sketch", "wide", "keys"],
             )
 
 
@@ -230,13 +279,16 @@ def verified_edges(lines: list[tuple[int, int, list[str]]]) -> list[tuple[int, i
     As in a search through a graph, a line already reached is not compared again.
     """
     sketch = np.array([p for _, p, _ in lines], dtype=np.int64).view(np.uint64)
+    hashes = np.array([xxh64_intdigest(w) for _, _, words in lines for w in words], dtype=np.uint64)
+    counts = np.array([len(words) for _, _, words in lines], dtype=np.int64)
+    marks = Sketches(sketch, wide_sketches(hashes, counts))
     left = np.arange(len(lines))
     edges = []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.flatnonzero(may_link(sketch[left], sketch[at]))
+            near = np.flatnonzero(marks.may_link(left, at))
             found = [int(i) for i in near if similar(lines[at][2], lines[left[i]][2])]
             queue += [left[i] for i in found]
             edges += [(lines[at][0], lines[left[i]][0]) for i in found]
@@ -244,17 +296,23 @@ def verified_edges(lines: list[tuple[int, int, list[str]]]) -> list[tuple[int, i
     return edges
 
 
-def candidate_edges(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidate_edges(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect all lines of a key that may link; rows are sorted by key, then line."""
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])])
-    keys, lines, sketch = keys[new], lines[new], sketch[new]
+    alone = np.ones(len(keys), dtype=bool)
+    same = keys[1:] == keys[:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    keys, lines, sketch, wide = keys[~alone], lines[~alone], sketch[~alone], wide[~alone]
+    if not len(keys):
+        return lines, lines
+    marks = Sketches(sketch, wide.tolist())
     starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
     sizes = np.diff(np.concatenate([starts, [len(keys)]]))
     ends = np.repeat(np.where(sizes <= SMALL_GROUP, starts + sizes, 0), sizes)
     at, heads, tails = np.arange(len(keys)), [], []
     for by in range(1, SMALL_GROUP):
         at = at[at + by < ends[at]]
-        met = at[may_link(sketch[at], sketch[at + by])]
+        met = at[marks.may_link(at, at + by)]
         heads.append(lines[met])
         tails.append(lines[met + by])
     for s, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
@@ -263,7 +321,7 @@ def candidate_edges(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray) ->
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 one = queue.pop()
-                near = may_link(sketch[left], sketch[one])
+                near = marks.may_link(left, one)
                 found, left = left[near], left[~near]
                 heads.append(np.full(len(found), lines[one]))
                 tails.append(lines[found])
@@ -272,7 +330,7 @@ def candidate_edges(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray) ->
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, line, sketch) sorted by the first two."""
+    """Reads (key, line, sketch, wide) sorted by the first two."""
     held: list[list[np.ndarray]] = []
 
     def flush():
@@ -284,7 +342,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         columns[2] = columns[2].view(np.uint64)
         # The last key may go on in the next batch.
         cut = int(np.searchsorted(columns[0], columns[0][-1]))
@@ -315,8 +373,8 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(lines: DataFrame) -> DataFrame:
     """(line, sketch, at, root) of lines that another line may be linked to."""
     # Occurrences of one line are combined before the shuffle, so a common line is not met again and again.
-    once = lines.groupBy("line", "sketch").agg(F.min(F.struct("row", "line_no", "keys")).alias("at"))
-    keyed = once.select(F.explode("at.keys").alias("key"), "line", "sketch")
+    once = lines.groupBy("line", "sketch").agg(F.min(F.struct("row", "line_no", "keys", "wide")).alias("at"))
+    keyed = once.select(F.explode("at.keys").alias("key"), "line", "sketch", "at.wide")
     met = keyed.repartition("key").sortWithinPartitions("key", "line")
     roots = stored(components(met.mapInArrow(_candidate_batches, "a long, b long")), "line-roots")
     found = lines.select("row", "line_no", "line", "sketch").join(roots, F.col("line") == F.col("vertex"))
