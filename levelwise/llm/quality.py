@@ -1,12 +1,11 @@
 """Quality rules whose thresholds bound the share of good documents they reject.
 
-Every rule compares one figure of a document with a cutoff. For each stratum and
-rule the strictest cutoff of a fixed grid is taken whose false rejection rate is
-proven small: on labelled good documents held out for this, the exact binomial
-(Clopper-Pearson) upper bound must stay below the rule's share of the risk. The
-error level is divided by the number of (stratum, rule) pairs; along one grid the
-cutoffs are tested from lenient to strict and testing stops at the first failure,
-which needs no further correction.
+Every rule compares one figure of a document with a cutoff. In each stratum a quarter of the
+labelled good documents, dealt by a hash, lays down one path of cutoffs for all rules
+together: it ends where few of them are rejected, and begins many grid steps more lenient. The
+others test it. From lenient to strict, the exact binomial (Clopper-Pearson) upper bound of the
+share rejected by any rule must stay below the risk; testing stops at the first failure, so a
+path is one hypothesis and the error level is divided by the number of strata only.
 """
 
 from __future__ import annotations
@@ -20,6 +19,9 @@ from levelwise.llm.common import bind, stored, text_of, words_of
 #: stratum, by all rules together, with this confidence for all strata together.
 RISK, ERROR = 0.02, 0.05
 
+#: One of so many labelled good documents lays down the path, the others test it.
+FOLDS = 4
+
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -164,31 +166,56 @@ def cutoffs(
 ) -> DataFrame:
     """Per stratum, the chosen cutoff of each rule; +infinity where none is proven.
 
-    ``holdout`` has ``stratum`` and ``stats`` of labelled good documents. All rules of a
-    stratum share ``risk`` equally, all (stratum, rule) pairs share ``error``. One row
-    for each stratum.
+    ``holdout`` has ``stratum`` and ``stats`` of labelled good documents. The rules of a
+    stratum share ``risk`` as a whole, the strata share ``error`` equally. One row for each stratum.
     """
     good = holdout.where(~F.col("stats.base_failed"))
-    counted = good.groupBy("stratum").agg(
-        F.count("*").alias("n"),
+    lays = (F.pmod(F.xxhash64("stats"), F.lit(FOLDS)) == 0).alias("lays")
+    # How many cutoffs of its grid each figure is above, counted from the strict end.
+    above = [
+        sum((F.col("stats")[rule] > c).cast("int") for c in grid).alias(rule) for rule, grid in GRIDS.items()
+    ]
+    graded = good.select("stratum", lays, F.struct(*above).alias("above"))
+    counted = graded.groupBy("stratum").agg(
+        F.sum((~F.col("lays")).cast("long")).alias("n"),
+        F.sum(F.col("lays").cast("long")).alias("n_lays"),
         *[
-            F.sum((F.col("stats")[rule] > c).cast("long")).alias(f"{rule}_{j}")
+            F.sum((F.col("lays") & (F.col("above")[rule] > j)).cast("long")).alias(f"{rule}_{j}")
             for rule, grid in GRIDS.items()
-            for j, c in enumerate(grid)
+            for j in range(len(grid))
         ],
     )
-    strata = counted.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0))))
-    limit = binomial_limit(
-        F.col("n"), risk / len(GRIDS), F.lit(error / len(GRIDS)) / F.col("strata")
+    # The least j whose cutoff is passed by too few: the path ends at that cutoff of each rule.
+    ends = []
+    for rule, grid in GRIDS.items():
+        end = F.lit(len(grid))
+        for j in reversed(range(len(grid))):
+            fits = F.col(f"{rule}_{j}") <= F.floor(F.col("n_lays") * F.lit(risk / len(GRIDS)))
+            end = F.when(fits, F.lit(j)).otherwise(end)
+        ends.append(end.alias(rule))
+    strata = counted.select("stratum", "n", "n_lays", F.struct(*ends).alias("ends"))
+    strata = stored(strata.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0)))), "quality-paths")
+    # So many grid steps before its end a document is still rejected by some rule.
+    last = F.greatest(*[F.col("above")[rule] - F.col("ends")[rule] - 1 for rule in GRIDS])
+    tested = graded.where(~F.col("lays")).join(
+        strata.select(F.col("stratum").alias("s"), "ends"), F.col("stratum") == F.col("s")
+    )
+    steps = range(max(map(len, GRIDS.values())))
+    rejected = tested.groupBy("s").agg(*[F.sum((last >= m).cast("long")).alias(f"at_{m}") for m in steps])
+    limit = binomial_limit(F.col("n"), risk, F.lit(error) / F.col("strata"))
+    limited = strata.withColumn("limit", F.when(F.col("n_lays") > 0, limit).otherwise(-1)).join(
+        rejected, F.col("stratum") == F.col("s"), "left"
     )
-    limited = strata.withColumn("limit", limit)
+    # Strict steps reject whatever lenient ones do, so the first failure ends it.
+    margin = F.lit(None).cast("int")
+    for m in reversed(steps):
+        margin = F.when(F.coalesce(f"at_{m}", F.lit(0)) <= F.col("limit"), F.lit(m)).otherwise(margin)
+    limited = limited.withColumn("margin", margin)
     chosen = []
     for rule, grid in GRIDS.items():
-        # Strict cutoffs reject whatever lenient ones do, so the first failure ends it.
-        best = F.lit(float("inf"))
-        for j, c in enumerate(grid):
-            best = F.when(F.col(f"{rule}_{j}") <= F.col("limit"), F.lit(c)).otherwise(best)
-        chosen.append(best.alias(rule))
+        at = F.lit(len(grid) - 1) - F.col("ends")[rule] - F.col("margin")
+        cut = F.get(F.array(*[F.lit(float(c)) for c in grid]), at)
+        chosen.append(F.coalesce(F.when(at >= 0, cut), F.lit(float("inf"))).alias(rule))
     return limited.select("stratum", F.struct(*chosen).alias("cut"))
 
 
