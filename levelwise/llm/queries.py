@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from levelwise.llm.audit import audited_filters
 from levelwise.llm.chat import formatted_conversations
+from levelwise.llm.codes import compressed
 from levelwise.llm.decontaminate import contaminated_documents
 from levelwise.llm.lines import deduplicated_lines
+from levelwise.llm.neighbours import nearest_neighbours
 from levelwise.llm.oracle import ORACLE_SQL
 from levelwise.llm.packing import pack
 from levelwise.llm.passages import repeated_passages
@@ -26,6 +29,11 @@ def _on(build: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession
     return query
 
 
+def _filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The files are streamed, so the operator takes their path.
+    return audited_filters(spark, f"{sf_dir}/documents.parquet", spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": _on(archived_pages, "pages"),
@@ -38,6 +46,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": _on(formatted_conversations, "conversations"),
         "op9_near_duplicates": _on(near_duplicates, "documents"),
         "op10_packing": _on(pack, "documents"),
+        "op11_vector_codes": _on(compressed, "embeddings"),
+        "op12_filter_audit": _filter_audit,
+        "op13_nearest_neighbours": _on(nearest_neighbours, "embeddings"),
     }
 
 
