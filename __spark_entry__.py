@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from levelwise.cohort import Cohort  # noqa: E402
 from levelwise.functions.fiscal import CALENDAR_LEVELS, fiscal_columns  # noqa: E402
 from levelwise.functions.predicates import nonzero, positive, visible_label  # noqa: E402
-from levelwise.functions.ranks import MEDIAN, ROWS, TRIMMED  # noqa: E402
+from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, TRIMMED  # noqa: E402
 from levelwise.functions.rounding import round_half_even, round_measures  # noqa: E402
 from levelwise.levels import level_values  # noqa: E402
 from levelwise.operators import compare, grid, shapes, tables, trends  # noqa: E402
@@ -84,6 +84,13 @@ def _numbered(spark: SparkSession, folder: str) -> Cohort:
     return Cohort.of(_numbered_rows(spark, folder), CALENDAR_LEVELS)
 
 
+def _mixed(spark: SparkSession, folder: str) -> Cohort:
+    """Order lines with many small groups and one that holds a third of all rows."""
+    rows = _numbered_rows(spark, folder)
+    order = F.when(F.col(ORDER) % 3 == 0, F.lit(0)).otherwise(F.col(ORDER))
+    return Cohort.of(rows.withColumn(ORDER, order), CALENDAR_LEVELS)
+
+
 def _on(source, build) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: build(source(spark, folder))
 
@@ -193,6 +200,12 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summary_many_labels": _on(
             _numbered, lambda c: tables.summary(c, FY, QUANTITY, ORDER)
         ),
+        "summary_mixed_groups": _on(
+            _mixed,
+            lambda c: tables.measure_stats(
+                c, [ORDER], QUANTITY, [MEAN, MEDIAN, TRIMMED, ROWS], "nonzero", method="split"
+            ),
+        ),
         "year_recode": _on(_raw, _years),
         "fiscal_dims": _fiscal,
         # Filters
@@ -363,9 +376,7 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ),
         ),
         # Imputed against raw
-        "imputation_compare": lambda spark, folder: compare.imputation_compare(
-            _raw(spark, folder), _imputed(spark, folder)
-        ),
+        "imputation_compare": _on(_imputed, lambda c: compare.imputation_compare(None, c)),
         "imputation_compare_by_group": lambda spark, folder: compare.imputation_compare(
             _raw(spark, folder), _imputed(spark, folder), [SCORE], PRIORITY
         ),

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelwise.functions.rounding import col
 from levelwise.levels import LevelBook, as_labels, numeric_columns
-from levelwise.plans.bounds import fits_one_task, groups_fit_one_task
-from levelwise.roles import RoleSchema
+from levelwise.plans.bounds import FEW_GROUPS, fits_one_task, groups_fit_one_task
+from levelwise.roles import ORIGINAL_PREFIX, RoleSchema
+
+METHODS = ("direct", "sorted", "ranked", "split")
 
 
 @dataclass(frozen=True)
 class Cohort:
+    """``df`` are the rows of ``base`` for which ``predicate`` holds, where the two are known.
+
+    Cohorts with one base can be read in a single pass. ``originals`` names the columns of the base that hold a
+    measure as it was before missing values were filled in.
+    """
+
     df: DataFrame
     roles: RoleSchema
     book: LevelBook
     filtered: bool = False
+    base: DataFrame | None = None
+    predicate: Column | None = None
+    originals: Mapping[str, str] = field(default_factory=dict)
 
     @classmethod
     def of(cls, df: DataFrame, declared=None, rows: int | None = None) -> Cohort:
@@ -33,8 +45,11 @@ class Cohort:
         """Like ``of``, with the levels that ``write_levels`` stored."""
         roles = RoleSchema.infer(df)
         numeric = numeric_columns(df, roles.categorical)
-        df = as_labels(df, roles.categorical)
-        return cls(df, roles, LevelBook(df, declared, rows, stored=stored, numeric=numeric))
+        base = as_labels(df, roles.categorical)
+        originals = {c[len(ORIGINAL_PREFIX) :]: c for c in df.columns if c.startswith(ORIGINAL_PREFIX)}
+        df = base.drop(*originals.values()) if originals else base
+        book = LevelBook(df, declared, rows, stored=stored, numeric=numeric)
+        return cls(df, roles, book, base=base, originals=originals)
 
     def keep(self, column: str | None, levels: list[str] | None) -> Cohort:
         """Rows whose label is one of ``levels``; no levels means no filter."""
@@ -42,7 +57,18 @@ class Cohort:
             return self
         self.roles.require(column, "categorical")
         wanted = [v if isinstance(v, str) else F.lit(v).cast("string") for v in levels]
-        return replace(self, df=self.df.where(col(column).isin(*wanted)), filtered=True)
+        kept = col(column).isin(*wanted)
+        both = kept if self.predicate is None else self.predicate & kept
+        return replace(self, df=self.df.where(kept), filtered=True, predicate=both)
+
+    @property
+    def kept(self) -> Column:
+        """True for the rows of the base that belong to this cohort."""
+        return F.lit(True) if self.predicate is None else F.coalesce(self.predicate, F.lit(False))
+
+    def shares_base(self, other: Cohort) -> bool:
+        """Whether one pass over one table yields the rows of both."""
+        return self.base is not None and self.base is other.base
 
     def has_null(self, column: str) -> bool:
         """Whether a missing label occurs in these rows."""
@@ -54,12 +80,19 @@ class Cohort:
         """Levels in order, then null where it occurs."""
         return [*self.book.levels(column), *([None] if self.has_null(column) else [])]
 
-    def direct(self, keys: list[str], method: str = "auto") -> bool:
-        """Whether rank statistics by ``keys`` may gather groups in one task."""
-        if method == "auto":
-            if fits_one_task(self.book.rows):
-                return True
-            return groups_fit_one_task(self.book.largest_group(keys))
-        if method not in ("direct", "ranked"):
-            raise ValueError(f"unknown method {method!r}")
-        return method == "direct"
+    def plan(self, keys: list[str], method: str = "auto") -> str:
+        """How rank statistics by ``keys`` are to be found: a plan of ``describe``."""
+        if method != "auto":
+            if method not in METHODS:
+                raise ValueError(f"unknown method {method!r}")
+            return method
+        few = self.book.few_groups(keys, FEW_GROUPS)
+        if fits_one_task(self.book.rows) or groups_fit_one_task(self.book.largest_group(keys)):
+            return "direct" if few else "sorted"
+        return "ranked" if few else "split"
+
+
+def joint_plan(cohorts: list[Cohort], keys: list[str], method: str = "auto") -> str:
+    """A plan that is right for rows of all ``cohorts`` together."""
+    plans = {c.plan(keys, method) for c in cohorts}
+    return plans.pop() if len(plans) == 1 else "split"

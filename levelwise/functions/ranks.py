@@ -2,7 +2,7 @@
 
 Spark's own exact percentile keeps a group's whole value map in one task, and a
 ranking window sorts a whole group in one task. A report has few groups and
-each may hold a third of all rows, so both stop working at size. Two plans give
+each may hold a third of all rows, so both stop working at size. Four plans give
 the same answers here.
 
 ``direct``
@@ -10,6 +10,14 @@ the same answers here.
     ``ONE_TASK_ROWS`` rows at a time: a group's values are gathered, sorted, and
     read at the ranks wanted. One shuffle.
 
+``sorted``
+    For many groups, none of them large: rows are sorted by group and value in one shuffle and
+    numbered, and a group is read at the ranks wanted. No group is held as an array.
+
+``split``
+    For many groups of any size: sizes are counted first, with map-side combine. Groups of more than
+    ``HEAVY_ROWS`` rows go by ``ranked``, all others by ``sorted``.
+
 ``ranked``
     For everything else. Values are cut into bins by a monotone function of
     the value, so bins are in rank order. Counts and sums per bin combine
@@ -34,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelwise.functions.rounding import col, quoted, settle
+from levelwise.plans import bounds
 from levelwise.plans.bounds import attach, fits_one_task
 from levelwise.sources.scratch import checkpointed
 
@@ -146,6 +155,10 @@ def _gathered(rows: DataFrame, keys: list[str], spread: bool) -> DataFrame:
 
 
 _SPREAD = ("stddev_samp(v) as sd", "min(v) as lo", "max(v) as hi")
+_SORTED_SPREAD = (
+    "if(max(nn) > 1, sqrt(sum((v - mid) * (v - mid)) / (max(nn) - 1)), null) as sd",
+    *_SPREAD[1:],
+)
 _BIN_SUMS = ("count(*) as c", "sum(v) as s", "min(v) as lo", "max(v) as hi")
 
 
@@ -259,18 +272,70 @@ def _rank_table(
     return table.unionByName(spread_rows, allowMissingColumns=True) if spread else table
 
 
+def _sorted_table(rows: DataFrame, keys: list[str], spread: bool) -> DataFrame:
+    """A rank table with a row for each row of the data; missing values come last and weigh nothing."""
+    by = ", ".join(map(quoted, keys))
+    weighed = rows.selectExpr("*", "if(v is null, 0L, 1L) as c")
+    return weighed.selectExpr(
+        *map(quoted, keys),
+        "v",
+        "c",
+        "v as s",
+        f"sum(c) over (partition by {by} order by v nulls last rows unbounded preceding) as cum",
+        f"count(*) over (partition by {by}) as n",
+        f"count(v) over (partition by {by}) as nn",
+        *([f"avg(v) over (partition by {by}) as mid"] if spread else []),
+    )
+
+
+def _split(rows: DataFrame, keys: list[str], stats: list[Stat], spread: bool) -> DataFrame:
+    """Heavy groups by bins, all others sorted."""
+    sizes = rows.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_size"))
+    # Kept, so that both sides agree on which groups are heavy, whatever is computed anew.
+    heavy = checkpointed(sizes.where(F.col("_size") > bounds.HEAVY_ROWS).drop("_size"))
+    found = heavy.count()
+    if not found:
+        return _by_plan(rows, keys, stats, "sorted", spread)
+    marked = attach(rows, heavy.withColumn("_heavy", F.lit(True)), keys, found, how="left")
+    light = marked.where("_heavy is null").drop("_heavy")
+    return _by_plan(light, keys, stats, "sorted", spread).unionByName(
+        _by_plan(attach(rows, heavy, keys, found), keys, stats, "ranked", spread)
+    )
+
+
+def _by_plan(
+    rows: DataFrame, keys: list[str], stats: list[Stat], plan: str, spread: bool
+) -> DataFrame:
+    if plan == "split":
+        return _split(rows, keys, stats, spread)
+    if plan == "direct":
+        wanted = [f"{s.of_sorted()} as {s.name}" for s in stats]
+        wanted += ["sd", "lo", "hi"] if spread else []
+        return _gathered(rows, keys, spread).selectExpr(*map(quoted, keys), *wanted)
+    wanted = [f"{s.of_ranks()} as {s.name}" for s in stats]
+    if plan == "sorted":
+        wanted += [*_SORTED_SPREAD] if spread else []
+        table = _sorted_table(rows, keys, spread)
+    elif plan == "ranked":
+        wanted += ["max(sd) as sd", "min(lo) as lo", "max(hi) as hi"] if spread else []
+        table = _rank_table(rows, keys, stats, spread)
+    else:
+        raise ValueError(f"unknown plan {plan!r}")
+    return table.groupBy(*map(col, keys)).agg(*map(F.expr, wanted))
+
+
 def describe(
     df: DataFrame,
     keys: list[str],
     measure: str,
     stats: list[Stat],
     *,
-    direct: bool,
+    plan: str,
     spread: bool = False,
 ) -> DataFrame:
     """``stats`` of ``measure`` per ``keys``; a null key is a group of its own.
 
-    ``direct`` says that every group is proven to fit one task. Without it the
+    ``direct`` and ``sorted`` say that every group is proven to fit one task. With another ``plan`` the
     first passes over the data run at once, to find where the ranks lie.
     ``spread`` adds the columns ``sd``, ``lo`` and ``hi``.
     """
@@ -278,13 +343,7 @@ def describe(
     if not any(s.ranks() for s in stats):
         plain = [f"{s.plain()} as {s.name}" for s in stats]
         return rows.groupBy(*map(col, keys)).agg(*map(F.expr, [*plain, *(_SPREAD if spread else ())]))
-    if direct:
-        wanted = [f"{s.of_sorted()} as {s.name}" for s in stats]
-        wanted += ["sd", "lo", "hi"] if spread else []
-        return _gathered(rows, keys, spread).selectExpr(*map(quoted, keys), *wanted)
-    wanted = [f"{s.of_ranks()} as {s.name}" for s in stats]
-    wanted += ["max(sd) as sd", "min(lo) as lo", "max(hi) as hi"] if spread else []
-    return _rank_table(rows, keys, stats, spread).groupBy(*map(col, keys)).agg(*map(F.expr, wanted))
+    return _by_plan(rows, keys, stats, plan, spread)
 
 
 def settled_average(column: str) -> Column:

@@ -174,6 +174,17 @@ class LevelBook:
         known = [self._counts[k] for k in keys if k not in self._wide]
         return min([self.rows, *(max(c.values(), default=0) for c in known)])
 
+    def few_groups(self, keys: Iterable[str], most: int) -> bool:
+        """Whether ``keys`` have at most ``most`` groups, as far as the dictionary can prove it."""
+        keys = list(keys)
+        self._find(keys)
+        if any(k in self._wide for k in keys):
+            return False
+        total = 1
+        for k in keys:
+            total *= len(self._counts[k])
+        return total <= most
+
     def group_bound(self, keys: Iterable[str]) -> int:
         """Bound on the number of ``keys`` groups, null groups included."""
         total = 1

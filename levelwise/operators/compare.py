@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelwise.cohort import Cohort
+from levelwise.cohort import Cohort, joint_plan
 from levelwise.functions.ranks import MEAN, ROWS, Stat, describe
 from levelwise.functions.rounding import col, quoted, round_measures
 
 _STATS = [ROWS, Stat("valid", "valid"), MEAN, Stat("median", "median")]
 
 
+def _both_long(imputed: Cohort, measures: list[str], keys: list[str]) -> DataFrame:
+    """Both variants of every measure from one pass over the imputed rows and what they were."""
+    pairs = [
+        F.struct(F.lit(variant).alias("variant"), F.lit(m).alias("measure"), col(c).cast("double").alias("value"))
+        for m in measures
+        for variant, c in (("raw", imputed.originals.get(m, m)), ("imputed", m))
+    ]
+    return imputed.base.where(imputed.kept).select(*map(col, keys), F.inline(F.array(*pairs)))
+
+
 def _long(cohort: Cohort, variant: str, measures: list[str], keys: list[str]) -> DataFrame:
     pairs = [
         F.struct(F.lit(m).alias("measure"), col(m).cast("double").alias("value"))
@@ -21,20 +31,27 @@ def _long(cohort: Cohort, variant: str, measures: list[str], keys: list[str]) ->
 
 
 def imputation_compare(
-    raw: Cohort,
+    raw: Cohort | None,
     imputed: Cohort,
     measures: list[str] | None = None,
     group: str | None = None,
     method: str = "auto",
 ) -> DataFrame:
-    """Per measure (and group): rows, gaps, mean and median in both, and changes."""
-    measures = list(measures or raw.roles.measures)
-    keys = [] if group is None else [raw.roles.require(group, "group")]
-    both = _long(raw, "raw", measures, keys).unionByName(_long(imputed, "imputed", measures, keys))
-    direct = raw.direct(keys, method) and imputed.direct(keys, method)
-    stats = describe(
-        both, ["measure", *keys, "variant"], "value", _STATS, direct=direct
-    )
+    """Per measure (and group): rows, gaps, mean and median in both, and changes.
+
+    Without ``raw`` the raw values are those that the imputed dataset carries along (columns named
+    ``_raw_`` and the measure), and both variants come from one pass.
+    """
+    measures = list(measures or imputed.roles.measures)
+    keys = [] if group is None else [imputed.roles.require(group, "group")]
+    if raw is None:
+        if not imputed.originals:
+            raise ValueError("the imputed dataset carries no raw values")
+        both, plan = _both_long(imputed, measures, keys), imputed.plan(keys, method)
+    else:
+        both = _long(raw, "raw", measures, keys).unionByName(_long(imputed, "imputed", measures, keys))
+        plan = joint_plan([raw, imputed], keys, method)
+    stats = describe(both, ["measure", *keys, "variant"], "value", _STATS, plan=plan)
 
     def of(variant: str, column: str):
         return F.max(F.when(F.col("variant") == variant, F.col(column)))

@@ -113,9 +113,9 @@ def quantile_band(
 
 def _band(cohort: Cohort, rows: DataFrame, measure: str, method: str) -> DataFrame:
     keys = ["Financial_Year"]
-    direct = cohort.direct(keys, method)
+    plan = cohort.plan(keys, method)
     stats = [Stat("quantile", "p05", BAND[0]), Stat("quantile", "p95", BAND[1])]
-    return describe(rows, keys, measure, stats, direct=direct)
+    return describe(rows, keys, measure, stats, plan=plan)
 
 
 def density_rows(
@@ -146,8 +146,8 @@ def density_bandwidth(
 ) -> DataFrame:
     """Rule-of-thumb bandwidth per group; null for a group of a single row."""
     stats = [Stat("valid", "n"), Stat("quantile", "q25", 0.25), Stat("quantile", "q75", 0.75)]
-    direct = cohort.direct([group], method)
-    both = describe(rows, [group], measure, stats, direct=direct, spread=True)
+    plan = cohort.plan([group], method)
+    both = describe(rows, [group], measure, stats, plan=plan, spread=True)
     narrow = F.least(F.col("sd"), (F.col("q75") - F.col("q25")) / 1.34)
     # A group without spread falls back to its value, then to one.
     scale = F.coalesce(
@@ -176,7 +176,8 @@ def density_curve(
     the final interpolation work on those weights only.
     """
     whole = _year_rows(cohort, group, measure, year, signed)
-    if not (cohort.direct(["Financial_Year"], method) and cohort.direct([group], method)):
+    one_pass = ("direct", "sorted")
+    if not all(cohort.plan([k], method) in one_pass for k in ("Financial_Year", group)):
         # Ranks take several passes; the cohort, which may be a join, is read in one.
         whole = checkpointed(whole)
     rows = _within_band(cohort, whole, group, measure, method)

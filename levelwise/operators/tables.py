@@ -179,8 +179,8 @@ def measure_stats(
     for k in keys:
         cohort.roles.require(k, "categorical")
     kept = apply_measure_rule(cohort.df, measure, rule)
-    direct = not any(s.ranks() for s in stats) or cohort.direct(keys, method)
-    return round_measures(describe(kept, keys, measure, stats, direct=direct))
+    plan = cohort.plan(keys, method) if any(s.ranks() for s in stats) else "direct"
+    return round_measures(describe(kept, keys, measure, stats, plan=plan))
 
 
 def summary(

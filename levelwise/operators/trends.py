@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from levelwise.cohort import Cohort
+from levelwise.cohort import Cohort, joint_plan
 from levelwise.functions.predicates import apply_measure_rule, visible_label
 from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, Stat, describe
 from levelwise.functions.rounding import col, quoted, round_measures, rounded_sql
@@ -37,23 +37,43 @@ def trend(
 
     With a baseline both series are returned, told apart by ``category``.
     ``compare=None`` includes the baseline only if its row count differs from
-    the cohort's, which costs a count of each.
+    the cohort's, which costs a count of each. Where both are cut from one dataset, its rows are
+    read once for both series, and once for both counts.
     """
     rule = _zero_rule(measure, signed, "positive")
     if baseline is not None and compare is None:
-        compare = cohort.df.count() != baseline.df.count()
+        compare = _differ(cohort, baseline)
     if baseline is None or not compare:
         return measure_stats(cohort, [time], measure, LINE_STATS, rule, method)
     cohort.roles.require(time, "time")
     cohort.roles.require(measure, "measure")
     # One aggregation over both series; a series is part of the group key.
-    both = _series(cohort, time, measure, rule, FILTERED_SUFFIX).unionByName(
-        _series(baseline, time, measure, rule, ALL_SUFFIX), allowMissingColumns=True
-    )
-    direct = cohort.direct([time], method) and baseline.direct([time], method)
-    return round_measures(
-        describe(both, ["category", time], measure, LINE_STATS, direct=direct)
-    )
+    if cohort.shares_base(baseline):
+        both = _tagged([(cohort, FILTERED_SUFFIX), (baseline, ALL_SUFFIX)], time, measure, rule)
+    else:
+        both = _series(cohort, time, measure, rule, FILTERED_SUFFIX).unionByName(
+            _series(baseline, time, measure, rule, ALL_SUFFIX), allowMissingColumns=True
+        )
+    plan = joint_plan([cohort, baseline], [time], method)
+    return round_measures(describe(both, ["category", time], measure, LINE_STATS, plan=plan))
+
+
+def _differ(cohort: Cohort, other: Cohort) -> bool:
+    """Whether the row counts of two cohorts differ."""
+    if not cohort.shares_base(other):
+        return cohort.df.count() != other.df.count()
+    a, b = cohort.base.agg(F.count_if(cohort.kept), F.count_if(other.kept)).first()
+    return a != b
+
+
+def _tagged(cohorts: list[tuple[Cohort, str]], time: str, measure: str, rule: str) -> DataFrame:
+    """Rows of cohorts of one dataset from one pass: a row for each series that it belongs to."""
+    series = [
+        F.struct(F.lit(measure + suffix).alias("category"), cohort.kept.alias("_in"))
+        for cohort, suffix in cohorts
+    ]
+    kept = apply_measure_rule(cohorts[0][0].base, measure, rule)
+    return kept.select(F.inline(F.array(*series)), col(time), col(measure)).where("_in").drop("_in")
 
 
 def _series(cohort: Cohort, time: str, measure: str, rule: str, suffix: str) -> DataFrame:
@@ -89,9 +109,9 @@ def trend_by_group(
         F.col("_overall") | visible_label(group, strict_labels)
     )
     # The overall group of a time holds all of that time's rows.
-    direct = cohort.direct([time], method)
+    plan = cohort.plan([time], method)
     keys = [time, group, "_overall"]
-    stats = describe(rows, keys, measure, LINE_STATS, direct=direct)
+    stats = describe(rows, keys, measure, LINE_STATS, plan=plan)
     return round_measures(stats.drop("_overall"))
 
 
@@ -110,11 +130,9 @@ def grouping_medians(
         )
     )
     rows = kept.select(col(time), col(measure), series)
-    direct = cohort.direct([time], method)
+    plan = cohort.plan([time], method)
     return round_measures(
-        describe(
-            rows, [time, group, "level"], measure, [MEDIAN, ROWS], direct=direct
-        )
+        describe(rows, [time, group, "level"], measure, [MEDIAN, ROWS], plan=plan)
     )
 
 

@@ -20,6 +20,10 @@ ONE_TASK_ROWS = 1_000_000
 # Groups that a task's hash aggregation gathers at a time before it sorts and holds one
 # (Spark's ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold``).
 GROUPS_HELD = 128
+# Rows of a group past which its ranks are sought in bins, where sizes are counted.
+HEAVY_ROWS = 100_000
+# Groups so few that some hundred bins for each are a small table.
+FEW_GROUPS = 10_000
 # Rows of a side table that may be sent to every executor: a few labels and
 # numbers each, so some tens of megabytes.
 BROADCAST_ROWS = 500_000

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 # The naming rules and column names of the data model.
 GROUP_PREFIX = "Demographic"
 MEASURE_PREFIX = "Num"
+ORIGINAL_PREFIX = "_raw_"
 TABLE_TIMES = ("Month", "Financial_Quarter", "DOTW", "Financial_Year")
 CHART_TIMES = ("Financial_Quarter", "Month")
 AREA_TIMES = ("Year_Quarter",)

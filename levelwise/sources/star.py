@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from levelwise.functions.fiscal import fiscal_columns
 from levelwise.functions.ranks import settled_average
 from levelwise.plans.bounds import attach
+from levelwise.roles import ORIGINAL_PREFIX
 from levelwise.sources.catalog import IMPUTED, RAW, DatasetCatalog
 from levelwise.sources.scratch import checkpointed
 
@@ -56,14 +57,19 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def imputed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw orders with a missing score replaced by its priority's mean score."""
+    """Raw orders with a missing score replaced by its priority's mean score.
+
+    ``_raw_Num_Score`` has the score as it was.
+    """
     raw = raw_orders(spark, folder)
     means = raw.groupBy("Demographic_Priority").agg(settled_average("Num_Score").alias("_mean"))
     # Stored, so that every later pass fills in the same values; counted, so
     # that it is broadcast only while it is small.
     means = checkpointed(means)
     filled = attach(raw, means, ["Demographic_Priority"], means.count(), how="left")
-    return filled.withColumn("Num_Score", F.coalesce("Num_Score", "_mean")).select(*raw.columns)
+    score = F.coalesce("Num_Score", "_mean").alias("Num_Score")
+    kept = [score if c == "Num_Score" else c for c in raw.columns]
+    return filled.select(*kept, F.col("Num_Score").alias(f"{ORIGINAL_PREFIX}Num_Score"))
 
 
 def line_episodes(spark: SparkSession, folder: str) -> DataFrame:

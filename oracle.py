@@ -389,6 +389,13 @@ ORACLE_SQL = {
         ),
         NUMBERED,
     ),
+    "summary_mixed_groups": with_(
+        stats("mixed", ["Demographic_Order"], "Num_Quantity", SUMMARY, "Num_Quantity <> 0"),
+        NUMBERED,
+        """,
+mixed AS (SELECT * REPLACE (CASE WHEN CAST(Demographic_Order AS BIGINT) % 3 = 0 THEN '0'
+                            ELSE Demographic_Order END AS Demographic_Order) FROM numbered)""",
+    ),
     "year_recode": with_(
         f"""SELECT CAST(dense_rank() OVER (ORDER BY {FY}) + 2018 AS INTEGER) AS Year, {FY}, n
         FROM ({counts("raw", [FY])})"""

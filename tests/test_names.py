@@ -56,7 +56,7 @@ def _queries(c: Cohort, a: str, b: str, x: str, y: str, method: str):
     yield level_values(c.df, [a, b]).drop("dimension")
 
 
-@pytest.mark.parametrize("method", ["direct", "ranked"])
+@pytest.mark.parametrize("method", ["direct", "sorted", "ranked", "split"])
 def test_any_name_works(spark, method):
     found = _queries(_cohort(spark, ODD), *ODD, method)
     expected = _queries(_cohort(spark, PLAIN), *PLAIN, method)

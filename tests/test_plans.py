@@ -69,6 +69,39 @@ def test_groups_and_overall_come_from_one_scan(flat):
     assert sum(n.startswith("Scan parquet") for n in names) == 1
 
 
+def scans(df):
+    return sum(n.startswith("Scan parquet") for n in operators(df))
+
+
+def test_filtered_and_all_come_from_one_scan(flat, spark, data):
+    kept, everyone = flat.cohort("Raw", contract.REGION, ["ASIA"]), flat.dataset("Raw")
+    assert scans(trends.trend(kept, Q, PRICE, everyone, compare=True)) == 1
+    # A dataset that is a join of four tables: each is read once.
+    assert scans(contract.queries()["trend_filtered_vs_all"](spark, data)) == 4
+    # Cohorts of different datasets are still read one by one.
+    assert scans(trends.trend(kept, Q, PRICE, flat.dataset("Imputed"), compare=True)) == 2
+
+
+def test_both_variants_come_from_one_scan(spark, data):
+    assert scans(contract.queries()["imputation_compare"](spark, data)) == 4
+
+
+def test_many_groups_are_sorted_and_large_ones_cut(spark, data, monkeypatch):
+    from levelwise.plans import bounds
+
+    mixed = contract._mixed(spark, data)
+    keys = [contract.FY, contract.ORDER]
+    assert mixed.plan(keys) == "sorted"
+    monkeypatch.setattr(bounds, "ONE_TASK_ROWS", 1000)
+    assert mixed.plan(keys) == "split" and mixed.plan([contract.FY]) == "ranked"
+    monkeypatch.setattr(bounds, "HEAVY_ROWS", 500)
+    df = tables.summary(mixed, contract.FY, contract.QUANTITY, contract.ORDER)
+    names = operators(df)
+    assert scans(df) == 1
+    # Quantities are whole numbers, so the bins of the heavy groups need no more rows: one scan is left.
+    assert "Union" in names and not any("SortMerge" in n for n in names)
+
+
 def test_sample_keeps_only_the_first_rows_of_each_task(flat):
     c = flat.dataset("Raw")
     names = operators(shapes.scatter_sample(c, SEG, contract.BALANCE, SCORE, key="Row_ID"))
@@ -86,7 +119,7 @@ def test_ranked_plan_joins_intervals_by_broadcast(flat, monkeypatch):
     assert "partial_count(1)" in plan_text(df)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract._cohort_queries()))
 def test_no_python_and_no_cross_join(spark, data, name):
     names = operators(contract.queries()[name](spark, data))
     banned = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups", "Cartesian")
@@ -94,7 +127,7 @@ def test_no_python_and_no_cross_join(spark, data, name):
     assert not any("NestedLoopJoin" in n for n in names)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract._cohort_queries()))
 def test_windows_have_partitions(spark, data, name):
     """No window sorts everything in one task."""
     text = plan_text(contract.queries()[name](spark, data))

@@ -25,6 +25,9 @@ STATS = [
 ]
 
 
+PLANS = ["direct", "sorted", "ranked", "split"]
+
+
 def brute(values):
     known = sorted(v for v in values if v is not None)
     n, out = len(known), {"n": len(values), "valid": len(known)}
@@ -41,11 +44,11 @@ def brute(values):
     return out
 
 
-def check(spark, groups, direct):
+def check(spark, groups, plan):
     rows = [(k, v) for k, values in groups.items() for v in values]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "k string, x double").repartition(3)
-    found = {r["k"]: r.asDict() for r in describe(df, ["k"], "x", STATS, direct=direct).collect()}
+    found = {r["k"]: r.asDict() for r in describe(df, ["k"], "x", STATS, plan=plan).collect()}
     assert set(found) == set(groups)
     for k, values in groups.items():
         for name, want in brute(values).items():
@@ -80,27 +83,38 @@ def shapes_of_data():
 def test_ranked_plan_equals_brute_force(spark, monkeypatch, limit):
     """Small limits force several cuts, down to intervals of a few rows."""
     monkeypatch.setattr(bounds, "ONE_TASK_ROWS", limit)
-    check(spark, shapes_of_data(), direct=False)
+    check(spark, shapes_of_data(), plan="ranked")
+
 
+@pytest.mark.parametrize("plan", ["direct", "sorted"])
+def test_one_shuffle_plans_equal_brute_force(spark, plan):
+    check(spark, shapes_of_data(), plan=plan)
 
-def test_direct_plan_equals_brute_force(spark):
-    check(spark, shapes_of_data(), direct=True)
+
+@pytest.mark.parametrize("heavy, broadcast_rows", [(100_000, 100_000), (450, 100_000), (450, 0), (1, 100_000)])
+def test_split_plan_equals_brute_force(spark, monkeypatch, heavy, broadcast_rows):
+    """No group heavy, some, some without a broadcast, and all of several rows."""
+    monkeypatch.setattr(bounds, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(bounds, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(bounds, "ONE_TASK_ROWS", 20)
+    check(spark, shapes_of_data(), plan="split")
 
 
 @pytest.mark.parametrize("broadcast_rows", [0, 100_000])
 def test_ranked_plan_without_broadcast(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(bounds, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(bounds, "ONE_TASK_ROWS", 20)
-    check(spark, shapes_of_data(), direct=False)
+    check(spark, shapes_of_data(), plan="ranked")
 
 
-def test_spread_is_the_same_in_both_plans(spark, monkeypatch):
+def test_spread_is_the_same_in_all_plans(spark, monkeypatch):
     monkeypatch.setattr(bounds, "ONE_TASK_ROWS", 20)
+    monkeypatch.setattr(bounds, "HEAVY_ROWS", 450)
     groups = {k: v for k, v in shapes_of_data().items() if k is None or "outlier" not in k}
     rows = [(k, v) for k, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "k string, x double").repartition(3)
-    for direct in (True, False):
-        got = describe(df, ["k"], "x", [Stat("median", "m"), ROWS], direct=direct, spread=True)
+    for plan in PLANS:
+        got = describe(df, ["k"], "x", [Stat("median", "m"), ROWS], plan=plan, spread=True)
         found = {r["k"]: r for r in got.collect()}
         assert set(found) == set(groups)
         for k, values in groups.items():
@@ -122,8 +136,8 @@ def test_infinite_and_not_a_number(spark):
     inf = float("inf")
     rows = [("k", v) for v in (inf, -inf, 1.0, 2.0, 3.0, float("nan"))]
     df = spark.createDataFrame(rows, "k string, x double")
-    for direct in (True, False):
-        got = describe(df, ["k"], "x", [Stat("median", "m"), ROWS], direct=direct).first()
+    for plan in PLANS:
+        got = describe(df, ["k"], "x", [Stat("median", "m"), ROWS], plan=plan).first()
         assert (got.m, got.n) == (2.0, 6)
 
 
@@ -144,12 +158,12 @@ def test_plans_agree_on_any_values(spark, groups):
     df = spark.createDataFrame(rows, "k string, x double")
     stats = [Stat("median", "m"), Stat("quantile", "q", 0.3), Stat("strict_median", "s"), ROWS]
 
-    def found(direct):
-        return {r["k"]: tuple(r) for r in describe(df, ["k"], "x", stats, direct=direct).collect()}
+    def found(plan):
+        return {r["k"]: tuple(r) for r in describe(df, ["k"], "x", stats, plan=plan).collect()}
 
-    before = bounds.ONE_TASK_ROWS
-    bounds.ONE_TASK_ROWS = 2
+    before = bounds.ONE_TASK_ROWS, bounds.HEAVY_ROWS
+    bounds.ONE_TASK_ROWS = bounds.HEAVY_ROWS = 2
     try:
-        assert found(True) == found(False)
+        assert found("direct") == found("sorted") == found("ranked") == found("split")
     finally:
-        bounds.ONE_TASK_ROWS = before
+        bounds.ONE_TASK_ROWS, bounds.HEAVY_ROWS = before

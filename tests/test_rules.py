@@ -45,7 +45,7 @@ def test_rounding_is_half_even_and_ignores_last_bit_noise(spark):
 
 def test_median_is_null_when_a_value_is_missing(spark):
     c = cohort(spark, [("Q1", "A", 1.0), ("Q1", "A", None), ("Q1", "B", 1.0), ("Q1", "B", 4.0)])
-    for method in ("direct", "ranked"):
+    for method in ("direct", "sorted", "ranked", "split"):
         got = tables.measure_stats(c, [TIME, GROUP], MEASURE, [MEDIAN], method=method)
         assert rows_of(got) == [("Q1", "A", None), ("Q1", "B", 2.5)]
 
@@ -59,11 +59,11 @@ def test_median_is_null_when_a_value_is_missing(spark):
         ([1.0, 1.0, 1.0, 2.0, 2.0, 2.0, 2.0, 9.0, 9.0, 9.0], 3.0),
     ],
 )
-@pytest.mark.parametrize("direct", [True, False])
-def test_trimmed_mean_cut_points(spark, values, expected, direct):
+@pytest.mark.parametrize("plan", ["direct", "sorted", "ranked", "split"])
+def test_trimmed_mean_cut_points(spark, values, expected, plan):
     df = spark.createDataFrame([("k", v) for v in [*values, None]], "k string, x double")
     stats = [Stat("trimmed", "t", 0.2), Stat("trimmed", "m", 0.5), Stat("trimmed", "all", 0.0)]
-    row = describe(df, ["k"], "x", stats, direct=direct).first()
+    row = describe(df, ["k"], "x", stats, plan=plan).first()
     middle = sorted(values)
     half = (middle[(len(middle) - 1) // 2] + middle[len(middle) // 2]) / 2
     assert row.t == pytest.approx(expected)
