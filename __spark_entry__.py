@@ -103,18 +103,19 @@ def _export_round_trip(cohort: Cohort) -> DataFrame:
 
 
 def _export_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels with quotes, line breaks, blanks and the text NA, numbered, written and read."""
-    name, kind = F.col("n_name"), F.col("n_nationkey") % 5
+    """Parts sold, with quotes, line breaks, blanks and the text NA in labels; numbered, written and read."""
+    name, kind = F.concat(F.lit("part "), "l_partkey"), F.col("l_partkey") % 5
     label = (
         F.when(kind == 0, F.concat(F.lit('say "'), name, F.lit('", twice')))
         .when(kind == 1, F.concat(name, F.lit("\nsecond line")))
         .when(kind == 3, F.lit("NA"))
         .when(kind == 4, F.concat(F.lit("  "), name))
     )
-    table = spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", label.alias("label"))
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_partkey")
+    table = lines.agg(F.count(F.lit(1)).alias("n")).select("l_partkey", label.alias("label"), "n")
     path = scratch_path(spark, grid.export_name("label"))
-    grid.export_csv(table, path, ["n_nationkey"], missing="(missing)")
-    return grid.read_export(table.select(F.lit(0).alias("row"), "*"), path, missing="(missing)")
+    grid.export_csv(table, path, ["l_partkey"], missing="(missing)")
+    return grid.read_export(table.select(F.lit(0).cast("long").alias("row"), "*"), path, missing="(missing)")
 
 
 def _stored_year(cohort: Cohort) -> DataFrame:

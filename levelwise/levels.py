@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from levelwise.functions.numbering import numbered
 from levelwise.functions.rounding import col
+from levelwise.plans.bounds import attach
+from levelwise.sources.scratch import checkpointed
 
 # A column with more labels than this is an id, not a category.
 MAX_LEVELS = 10_000
@@ -218,7 +220,8 @@ def level_grid(spark: SparkSession, levels: Mapping[str, Iterable[str | None]])
 def level_values(df: DataFrame, columns: Iterable[str], declared: Mapping = {}) -> DataFrame:
     """(dimension, level_idx, level, n): levels in order, null not being one.
 
-    Declared labels go in their order, numbers in that of numbers, all others as text.
+    Declared labels go in their order, numbers in that of numbers, all others as text. A column may
+    have any number of labels: they are numbered range by range.
     """
     columns = list(columns)
     numeric = F.col("dimension").isin(*numeric_columns(df, columns))
@@ -227,10 +230,10 @@ def level_values(df: DataFrame, columns: Iterable[str], declared: Mapping = {})
     order = F.lit(None).cast("int")
     for name, levels in declared.items():
         order = F.when(F.col("dimension") == name, level_index("level", levels)).otherwise(order)
-    by_level = W.partitionBy("dimension").orderBy(F.col("_order").asc_nulls_last(), number, digits, "level")
-    return (
-        level_counts(df, columns)
-        .where(F.col("level").isNotNull())
-        .withColumn("_order", order)
-        .select("dimension", F.row_number().over(by_level).alias("level_idx"), "level", "n")
-    )
+    counts = level_counts(df, columns).where(F.col("level").isNotNull()).withColumn("_order", order)
+    by_level = [F.col("dimension"), F.col("_order").asc_nulls_last(), number, digits, F.col("level")]
+    placed = checkpointed(numbered(counts, by_level, "_row"))
+    first = placed.groupBy("dimension").agg(F.min("_row").alias("_first"))
+    placed = attach(placed, first, ["dimension"], len(columns))
+    place = (F.col("_row") - F.col("_first") + 1).cast("int").alias("level_idx")
+    return placed.select("dimension", place, "level", "n")

@@ -6,10 +6,10 @@ from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from levelwise.functions.numbering import numbered
 from levelwise.functions.predicates import reliability_band
 from levelwise.functions.rounding import col
 
@@ -112,13 +112,10 @@ def export_csv(
     CSV cannot tell a missing value from a text that equals its mark: where labels may be
     "NA", give another mark here and in :func:`read_export`.
 
-    ``row_number_by`` adds a leading row number in that order. It numbers rows
-    in one task and is meant for report tables, whose size is a product of
-    level counts.
+    ``row_number_by`` adds a leading row number (a long) in that order, which is also that of the files.
     """
     if row_number_by:
-        number = F.row_number().over(W.orderBy(*row_number_by))
-        result = result.select(number.alias("row"), "*").orderBy("row")
+        result = numbered(result, row_number_by).orderBy("row")
     result.write.option("header", True).option("quoteAll", True).option("escape", '"').option(
         "nullValue", missing
     ).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(

@@ -377,12 +377,11 @@ ORACLE_SQL = {
     "catalog_roles": with_(roles()),
     "level_values": with_(level_rows()),
     "level_values_numeric": with_(numeric_level_rows(), NUMBERED),
-    "export_csv_rows": """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS row,
-        n_nationkey,
-        CASE n_nationkey % 5 WHEN 0 THEN 'say "' || n_name || '", twice'
-          WHEN 1 THEN n_name || chr(10) || 'second line' WHEN 3 THEN 'NA'
-          WHEN 4 THEN '  ' || n_name END AS label
-      FROM nation""",
+    "export_csv_rows": """SELECT row_number() OVER (ORDER BY l_partkey) AS row, l_partkey,
+        CASE l_partkey % 5 WHEN 0 THEN 'say "part ' || l_partkey || '", twice'
+          WHEN 1 THEN 'part ' || l_partkey || chr(10) || 'second line' WHEN 3 THEN 'NA'
+          WHEN 4 THEN '  part ' || l_partkey END AS label, n
+      FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)""",
     "summary_many_labels": with_(
         stats(
             "numbered", [FY, "Demographic_Order"], "Num_Quantity", SUMMARY, "Num_Quantity <> 0"
