@@ -19,7 +19,13 @@ from levelwise.functions.rounding import round_half_even, round_measures  # noqa
 from levelwise.levels import level_values  # noqa: E402
 from levelwise.operators import compare, grid, shapes, tables, trends  # noqa: E402
 from levelwise.sources.catalog import DatasetCatalog, write_dataset, write_levels  # noqa: E402
+from levelwise.sources.cube import CountCube, with_cube, write_cube  # noqa: E402
 from levelwise.sources.scratch import scratch_path  # noqa: E402
+from levelwise.sources.sketches import (  # noqa: E402
+    approximate_quantiles,
+    checked_quantiles,
+    write_sketches,
+)
 from levelwise.sources.star import line_catalog, order_catalog  # noqa: E402
 from oracle import ORACLE_SQL  # noqa: E402
 
@@ -128,6 +134,31 @@ def _stored_year(cohort: Cohort) -> DataFrame:
     return tables.summary(stored.cohort("Raw", FY, [DENSITY_YEAR]), MONTH, SCORE, PRIORITY)
 
 
+CUBE_VIEWS = [[QUARTER, SEGMENT, STATUS, REGION], [QUARTER, SEGMENT, STATUS], [QUARTER, SEGMENT]]
+SKETCHED = [FY, QUARTER, SEGMENT, REGION]
+
+
+def _cube_crosstab(cohort: Cohort) -> DataFrame:
+    """A crosstab of a filtered cohort, counted from a stored cube of the whole dataset."""
+    spark = cohort.df.sparkSession
+    path = scratch_path(spark, "cube")
+    write_cube(cohort, path, CUBE_VIEWS)
+    stored = with_cube(cohort, CountCube(spark, path))
+    return tables.crosstab(stored.keep(REGION, KEPT_REGIONS), QUARTER, SEGMENT, STATUS)
+
+
+def _sketched_quantiles(cohort: Cohort) -> DataFrame:
+    """Quantiles of a filtered cohort from stored sketches, with their ranks checked against the rows."""
+    spark = cohort.df.sparkSession
+    path = scratch_path(spark, "sketches")
+    write_sketches(cohort, path, SKETCHED, [SCORE, PRICE], "positive")
+    found = approximate_quantiles(
+        spark.read.parquet(path), SKETCHED, SCORE, [QUARTER, SEGMENT], [0.05, 0.5, 0.95], [(REGION, KEPT_REGIONS)]
+    )
+    kept = cohort.keep(REGION, KEPT_REGIONS)
+    return checked_quantiles(found, kept, SCORE, [QUARTER, SEGMENT], "positive")
+
+
 def _scatter(cohort: Cohort) -> DataFrame:
     return shapes.scatter_sample(cohort, SEGMENT, BALANCE, SCORE, key="Row_ID")
 
@@ -249,7 +280,9 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _raw, lambda c: tables.crosstab(c, FY, PRIORITY, r_names=True)
         ),
         "crosstab_2": _on(_raw, lambda c: tables.crosstab(c, QUARTER, SEGMENT, STATUS)),
+        "crosstab_2_cube": _on(_raw, _cube_crosstab),
         # Summaries
+        "quantiles_sketched": _on(_raw, _sketched_quantiles),
         "summary_1": _on(_raw, lambda c: tables.summary(c, MONTH, SCORE)),
         "summary_2": _on(_raw, lambda c: tables.summary(c, QUARTER, SCORE, SEGMENT)),
         "summary_signed": _on(

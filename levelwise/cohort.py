@@ -21,7 +21,8 @@ class Cohort:
     """``df`` are the rows of ``base`` for which ``predicate`` holds, where the two are known.
 
     Cohorts with one base can be read in a single pass. ``originals`` names the columns of the base that hold a
-    measure as it was before missing values were filled in.
+    measure as it was before missing values were filled in. ``filters`` are the label filters that make up
+    the predicate; with a ``cube`` (``sources.cube``) that has their columns, counts come from its views.
     """
 
     df: DataFrame
@@ -31,6 +32,8 @@ class Cohort:
     base: DataFrame | None = None
     predicate: Column | None = None
     originals: Mapping[str, str] = field(default_factory=dict)
+    filters: tuple[tuple[str, tuple], ...] = ()
+    cube: object | None = None
 
     @classmethod
     def of(cls, df: DataFrame, declared=None, rows: int | None = None) -> Cohort:
@@ -59,7 +62,20 @@ class Cohort:
         wanted = [v if isinstance(v, str) else F.lit(v).cast("string") for v in levels]
         kept = col(column).isin(*wanted)
         both = kept if self.predicate is None else self.predicate & kept
-        return replace(self, df=self.df.where(kept), filtered=True, predicate=both)
+        filters = (*self.filters, (column, tuple(wanted)))
+        return replace(self, df=self.df.where(kept), filtered=True, predicate=both, filters=filters)
+
+    def counted_by(self, cube) -> Cohort:
+        """This cohort with counts read from the cube where it has them."""
+        return replace(self, cube=cube)
+
+    def counts(self, keys: list[str]) -> DataFrame:
+        """``keys`` and ``n`` rows each, not yet summed: one by one, or as the cube has them."""
+        if self.cube is not None:
+            found = self.cube.counts(keys, self.filters)
+            if found is not None:
+                return found
+        return self.df.select(*map(col, keys), F.lit(1).cast("bigint").alias("n"))
 
     @property
     def kept(self) -> Column:
@@ -74,7 +90,7 @@ class Cohort:
         """Whether a missing label occurs in these rows."""
         if not self.book.has_null(column):
             return False
-        return not self.filtered or not self.df.where(col(column).isNull()).isEmpty()
+        return not self.filtered or not self.counts([column]).where(col(column).isNull()).isEmpty()
 
     def labels(self, column: str) -> list[str | None]:
         """Levels in order, then null where it occurs."""

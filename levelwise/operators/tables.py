@@ -27,19 +27,18 @@ def group_count(cohort: Cohort, keys: list[str]) -> DataFrame:
     """Rows per key combination that occurs; null is a label like any other."""
     for k in keys:
         cohort.roles.require(k, "categorical")
-    return cohort.df.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("n"))
+    return cohort.counts(keys).groupBy(*map(col, keys)).agg(F.sum("n").alias("n"))
 
 
-def _counts_on_grid(df: DataFrame, labels: dict[str, list[str | None]]) -> DataFrame:
-    """Count ``df`` by the grid's columns, with a row for every grid cell.
+def _counts_on_grid(counts: DataFrame, labels: dict[str, list[str | None]]) -> DataFrame:
+    """Sum ``n`` of ``counts`` by the grid's columns, with a row for every grid cell.
 
     The grid enters the same aggregation as zero-weight rows, so empty cells
     need no join and a null label no special case.
     """
     keys = list(labels)
-    ones = df.select(*map(col, keys), F.lit(1).cast("bigint").alias("n"))
-    zeros = level_grid(df.sparkSession, labels).withColumn("n", F.lit(0).cast("bigint"))
-    return ones.unionByName(zeros).groupBy(*map(col, keys)).agg(F.sum("n").alias("n"))
+    zeros = level_grid(counts.sparkSession, labels).withColumn("n", F.lit(0).cast("bigint"))
+    return counts.select(*map(col, keys), "n").unionByName(zeros).groupBy(*map(col, keys)).agg(F.sum("n").alias("n"))
 
 
 def complete_counts(cohort: Cohort, keys: list[str]) -> DataFrame:
@@ -48,14 +47,14 @@ def complete_counts(cohort: Cohort, keys: list[str]) -> DataFrame:
     Null counts as a label of a column in which it occurs.
     """
     cohort.book.load(*keys)
-    return _counts_on_grid(cohort.df, {k: cohort.labels(k) for k in keys})
+    return _counts_on_grid(cohort.counts(keys), {k: cohort.labels(k) for k in keys})
 
 
 def freq_table(cohort: Cohort, time: str, group: str) -> DataFrame:
     """Counts of every time and group level, without missing labels."""
     cohort.roles.require(time, "time")
     cohort.roles.require(group, "group")
-    known = cohort.df.where(col(time).isNotNull() & col(group).isNotNull())
+    known = cohort.counts([time, group]).where(col(time).isNotNull() & col(group).isNotNull())
     levels = {k: list(cohort.book.levels(k)) for k in (time, group)}
     return _counts_on_grid(known, levels).withColumnRenamed("n", "freq")
 
@@ -102,7 +101,7 @@ def _pivoted(
     known = F.coalesce(listed, F.lit(None in labels))
     lost = F.concat(F.lit(f"{column} has a label its dictionary lacks: "), F.coalesce(label, F.lit("null")))
     checked = F.when(known, label).otherwise(F.raise_error(lost).cast("string"))
-    cells = _counts_on_grid(cohort.df.withColumn(column, checked), grid)
+    cells = _counts_on_grid(cohort.counts([*rows, column]).withColumn(column, checked), grid)
     wide = cells.groupBy(*map(col, rows)).pivot(quoted(column), labels).agg(F.sum("n"))
     keys = [f"_r{i}" for i in range(len(rows))]
     counts = [f"_c{i}" for i in range(len(labels))]

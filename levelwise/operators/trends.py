@@ -195,9 +195,10 @@ def share_area(
     """
     cohort.roles.require(group, "group")
     counted = (
-        cohort.df.where(visible_label(group, strict_labels))
+        cohort.counts([time, group])
+        .where(visible_label(group, strict_labels))
         .groupBy(col(time).alias("Time"), col(group).alias("Condition"))
-        .agg(F.count(F.lit(1)).alias("cell"))
+        .agg(F.sum("n").alias("cell"))
     )
     # One row per cell of the result; kept, so that the data are read once.
     cells = checkpointed(counted)

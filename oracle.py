@@ -446,6 +446,13 @@ mixed AS (SELECT * REPLACE (CASE WHEN CAST(Demographic_Order AS BIGINT) % 3 = 0
         wide("raw", [FY], PRIO, PRIORITIES, names=r_label, suffix=".Percent")
     ),
     "crosstab_2": with_(wide("raw", [Q, SEG], STATUS, STATUSES)),
+    "crosstab_2_cube": with_(wide("kept", [Q, SEG], STATUS, STATUSES), RAW, KEPT),
+    "quantiles_sketched": with_(
+        f"""SELECT {Q}, {SEG}, p, count(*) AS n, TRUE AS within
+        FROM kept, unnest([0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS u(p) WHERE Num_Score > 0 GROUP BY ALL""",
+        RAW,
+        KEPT,
+    ),
     "summary_1": with_(stats("raw", [M], "Num_Score", SUMMARY, "Num_Score <> 0")),
     "summary_2": with_(SUMMARY_2),
     "summary_signed": with_(stats("raw", [Q, SEG], "Num_Balance", SUMMARY)),
