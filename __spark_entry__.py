@@ -20,6 +20,7 @@ from levelwise.levels import level_values  # noqa: E402
 from levelwise.operators import compare, grid, shapes, tables, trends  # noqa: E402
 from levelwise.sources.catalog import DatasetCatalog, write_dataset, write_levels  # noqa: E402
 from levelwise.sources.cube import CountCube, with_cube, write_cube  # noqa: E402
+from levelwise.sources.manifest import kept_levels, refresh_levels  # noqa: E402
 from levelwise.sources.scratch import scratch_path  # noqa: E402
 from levelwise.sources.sketches import (  # noqa: E402
     approximate_quantiles,
@@ -159,6 +160,28 @@ def _sketched_quantiles(cohort: Cohort) -> DataFrame:
     return checked_quantiles(found, kept, SCORE, [QUARTER, SEGMENT], "positive")
 
 
+def _levels_after_change(cohort: Cohort) -> DataFrame:
+    """Level counts of a dataset that got more rows and had a third of them written anew."""
+    spark = cohort.df.sparkSession
+    path, manifest = scratch_path(spark, "growing"), scratch_path(spark, "manifest")
+    columns = [SEGMENT, PRIORITY, STATUS]
+    rows = cohort.df.select(*columns, (F.col("Row_ID") % 3).cast("int").alias("batch"))
+
+    def write(batch: int, df: DataFrame) -> None:
+        some = df.where(F.col("batch") == batch).write.partitionBy("batch")
+        some.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        refresh_levels(spark, path, manifest, columns)
+
+    write(0, rows)
+    write(1, rows)
+    # As many rows as before, with other labels.
+    renamed = F.when(F.col(SEGMENT) == "BUILDING", "Houses").otherwise(F.col(SEGMENT))
+    write(1, rows.withColumn(SEGMENT, renamed))
+    write(2, rows)
+    stored = Cohort.over(spark.read.parquet(path), stored=kept_levels(spark, path, manifest))
+    return tables.complete_counts(stored, columns)
+
+
 def _scatter(cohort: Cohort) -> DataFrame:
     return shapes.scatter_sample(cohort, SEGMENT, BALANCE, SCORE, key="Row_ID")
 
@@ -227,6 +250,7 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dataset_by_year": _on(_raw, _stored_year),
         "catalog_roles": _on(_raw, compare.catalog_roles),
         "level_values": _on(_raw, _levels),
+        "levels_after_change": _on(_raw, _levels_after_change),
         "level_values_numeric": _on(_numbered_rows, lambda df: level_values(df, [LINE, ORDER])),
         "export_csv_rows": _export_rows,
         "summary_many_labels": _on(

@@ -376,6 +376,13 @@ ORACLE_SQL = {
     ),
     "catalog_roles": with_(roles()),
     "level_values": with_(level_rows()),
+    "levels_after_change": with_(
+        on_grid("changed", [SEG, PRIO, STATUS], levels_of="changed"),
+        RAW,
+        f""",
+changed AS (SELECT * REPLACE (CASE WHEN Row_ID % 3 = 1 AND {SEG} = 'BUILDING' THEN 'Houses' ELSE {SEG} END AS {SEG})
+            FROM raw)""",
+    ),
     "level_values_numeric": with_(numeric_level_rows(), NUMBERED),
     "export_csv_rows": """SELECT row_number() OVER (ORDER BY l_partkey) AS row, l_partkey,
         CASE l_partkey % 5 WHEN 0 THEN 'say "part ' || l_partkey || '", twice'
