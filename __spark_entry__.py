@@ -18,9 +18,11 @@ from levelwise.functions.ranks import MEAN, MEDIAN, ROWS, TRIMMED  # noqa: E402
 from levelwise.functions.rounding import round_half_even, round_measures  # noqa: E402
 from levelwise.levels import level_values  # noqa: E402
 from levelwise.operators import compare, grid, shapes, tables, trends  # noqa: E402
+from levelwise.sources.buckets import write_buckets  # noqa: E402
 from levelwise.sources.catalog import DatasetCatalog, write_dataset, write_levels  # noqa: E402
 from levelwise.sources.cube import CountCube, with_cube, write_cube  # noqa: E402
 from levelwise.sources.manifest import kept_levels, refresh_levels  # noqa: E402
+from levelwise.sources.samples import stored_sample, write_sample  # noqa: E402
 from levelwise.sources.scratch import scratch_path  # noqa: E402
 from levelwise.sources.sketches import (  # noqa: E402
     approximate_quantiles,
@@ -186,6 +188,22 @@ def _scatter(cohort: Cohort) -> DataFrame:
     return shapes.scatter_sample(cohort, SEGMENT, BALANCE, SCORE, key="Row_ID")
 
 
+def _stored_scatter(cohort: Cohort) -> DataFrame:
+    """The same sample, read from rows stored by year."""
+    spark = cohort.df.sparkSession
+    path = scratch_path(spark, "sample")
+    write_sample(cohort, path, "Row_ID", [FY], depth=500)
+    return stored_sample(cohort, spark.read.parquet(path), SEGMENT, BALANCE, SCORE, "Row_ID")
+
+
+def _imputed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    variants = {"Raw": _raw(spark, folder).df, "Imputed": _imputed(spark, folder).df}
+    measures = [PRICE, BALANCE, SCORE]
+    slim = {name: df.select("Row_ID", *measures) for name, df in variants.items()}
+    stored = write_buckets(spark, slim, "Row_ID", 16)
+    return compare.imputation_rows(stored["Raw"], stored["Imputed"], "Row_ID", measures)
+
+
 def _trend_lines(cohort: Cohort) -> DataFrame:
     fit = shapes.linear_trend(_scatter(cohort), SEGMENT, BALANCE, SCORE)
     return fit.select(
@@ -400,6 +418,7 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # Scatter and density
         "scatter_sample": _on(_raw, _scatter),
+        "scatter_sample_stored": _on(_raw, _stored_scatter),
         "linear_trend": _on(_raw, _trend_lines),
         "density_trim": _on(_raw, lambda c: shapes.density_rows(c, SEGMENT, SCORE, DENSITY_YEAR)),
         "density_bandwidth": _on(_raw, _bandwidths),
@@ -435,6 +454,7 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # Imputed against raw
         "imputation_compare": _on(_imputed, lambda c: compare.imputation_compare(None, c)),
+        "imputation_rows": _imputed_rows,
         "imputation_compare_by_group": lambda spark, folder: compare.imputation_compare(
             _raw(spark, folder), _imputed(spark, folder), [SCORE], PRIORITY
         ),

@@ -73,6 +73,50 @@ def imputation_compare(
     return round_measures(table)
 
 
+def imputation_rows(
+    raw: DataFrame, imputed: DataFrame, key: str, measures: list[str]
+) -> DataFrame:
+    """Per measure what the imputation did row by row, and how filled values lie against observed ones.
+
+    ``n`` rows in both variants, ``raw_only`` and ``imputed_only`` rows of one; ``filled`` had no value before,
+    ``missing`` have none still, ``changed`` had another. Mean and spread of the filled and of the observed values.
+    Variants from ``sources.buckets`` join without a shuffle.
+    """
+    sides = []
+    for name, df in (("r", raw), ("i", imputed)):
+        values = [
+            F.nanvl(col(m).cast("double"), F.lit(None).cast("double")).alias(f"{name}{j}")
+            for j, m in enumerate(measures)
+        ]
+        sides.append(df.select(col(key).alias(f"{name}_key"), *values))
+    joined = sides[0].join(sides[1], F.col("r_key") == F.col("i_key"), "full")
+    pairs = [
+        F.struct(F.lit(m).alias("measure"), F.col(f"r{j}").alias("r"), F.col(f"i{j}").alias("i"))
+        for j, m in enumerate(measures)
+    ]
+    both, filled = "r_key is not null and i_key is not null", "r is null and i is not null"
+    table = joined.select("r_key", "i_key", F.inline(F.array(*pairs))).groupBy("measure")
+    found = table.agg(
+        *[
+            F.expr(f"count_if({condition}) as {name}")
+            for name, condition in (
+                ("n", both),
+                ("raw_only", "i_key is null"),
+                ("imputed_only", "r_key is null"),
+                ("filled", f"{both} and {filled}"),
+                ("missing", f"{both} and i is null"),
+                ("changed", f"{both} and r <> i"),
+            )
+        ],
+        *[
+            F.expr(f"{f}(if({both} and {condition}, i, null)) as {name}_{short}")
+            for name, condition in (("filled", filled), ("observed", "r is not null"))
+            for short, f in (("mean", "avg"), ("sd", "stddev_samp"))
+        ],
+    )
+    return round_measures(found)
+
+
 def catalog_roles(cohort: Cohort) -> DataFrame:
     """A row per role column: its position, uses, and how many rows have a value."""
     roles = cohort.roles

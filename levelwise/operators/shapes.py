@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelwise.cohort import Cohort
@@ -29,6 +29,12 @@ def scatter_rows(cohort: Cohort, group: str, x: str, y: str, *extra: str) -> Dat
     )
 
 
+def draw_of(key: str, seed: int) -> Column:
+    """A row's draw: a hash of seed and key, the key as text."""
+    text = F.coalesce(col(key).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), text))
+
+
 def scatter_sample(
     cohort: Cohort,
     group: str,
@@ -46,10 +52,7 @@ def scatter_sample(
     """
     cohort.roles.require(group, "group")
     keys = [key] if key is not None else []
-    draw = F.rand(seed)
-    if key:
-        text = F.coalesce(col(key).cast("string"), F.lit(""))
-        draw = F.md5(F.concat(F.lit(f"{seed}:"), text))
+    draw = draw_of(key, seed) if key else F.rand(seed)
     rows = scatter_rows(cohort, group, x, y, *keys).withColumn("_draw", draw)
     if not fits_one_task(cohort.book.rows):
         rows = _low_draws(rows, size, hashed=key is not None)

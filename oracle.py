@@ -525,6 +525,7 @@ dated AS (SELECT *, CAST(dense_rank() OVER (ORDER BY {FY}) + 2018 AS INTEGER) AS
     "stacked_layout": with_(stacked()),
     "stacked_bars": with_(stacked_bars()),
     "scatter_sample": with_(sample()),
+    "scatter_sample_stored": with_(sample()),
     "linear_trend": with_(
         f"""SELECT {SEG}, {rnd("slope", 6)} AS slope, {rnd("icept", 6)} AS intercept, n,
           {rnd("x_min", 6)} AS x_min, {rnd("x_max", 6)} AS x_max,
@@ -560,6 +561,21 @@ dated AS (SELECT *, CAST(dense_rank() OVER (ORDER BY {FY}) + 2018 AS INTEGER) AS
     "imputation_compare": with_(
         compare([], ["Num_Price", "Num_Balance", "Num_Score"]), RAW, IMPUTED
     ),
+    "imputation_rows": with_(
+        " UNION ALL ".join(
+            f"""SELECT '{m}' AS measure, count(*) AS n, 0::BIGINT AS raw_only, 0::BIGINT AS imputed_only,
+              count(*) FILTER (r.{m} IS NULL AND i.{m} IS NOT NULL) AS filled, count(*) FILTER (i.{m} IS NULL) AS missing,
+              count(*) FILTER (r.{m} <> i.{m}) AS changed,
+              {rnd(f"avg(i.{m}) FILTER (r.{m} IS NULL)")} AS filled_mean,
+              {rnd(f"stddev_samp(i.{m}) FILTER (r.{m} IS NULL)")} AS filled_sd,
+              {rnd(f"avg(i.{m}) FILTER (r.{m} IS NOT NULL)")} AS observed_mean,
+              {rnd(f"stddev_samp(i.{m}) FILTER (r.{m} IS NOT NULL)")} AS observed_sd
+            FROM raw r JOIN imputed i USING (Row_ID)"""
+            for m in ("Num_Price", "Num_Balance", "Num_Score")
+        ),
+        RAW,
+        IMPUTED,
+    ),
     "imputation_compare_by_group": with_(compare([PRIO], ["Num_Score"]), RAW, IMPUTED),
 }
 
