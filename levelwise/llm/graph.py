@@ -111,17 +111,45 @@ def _mirrored(
         edges[nodes[some]] = robust_prune(vectors, nodes[some], both[some], degree, relaxed)
 
 
+def _spread(edges: np.ndarray, reached: np.ndarray, start: int) -> None:
+    """Marks all nodes that can be reached from ``start``."""
+    reached[start] = True
+    front = np.array([start])
+    while len(front):
+        front = np.unique(edges[front])
+        front = front[front >= 0]
+        front = front[~reached[front]]
+        reached[front] = True
+
+
+def _joined_up(vectors: np.ndarray, edges: np.ndarray, entry: int) -> np.ndarray:
+    """Edges with one more column, used where it takes an edge more to reach every node from the entry."""
+    edges = np.concatenate([edges, np.full((len(edges), 1), -1, dtype=np.int32)], axis=1)
+    reached = np.zeros(len(edges), dtype=bool)
+    _spread(edges, reached, entry)
+    for node in np.flatnonzero(~reached):
+        if reached[node]:
+            continue
+        # The node found last has its own place free, so there is always one.
+        free = np.flatnonzero(reached & (edges[:, -1] < 0))
+        near = free[np.argmin(((vectors[free] - vectors[node]) ** 2).sum(axis=1))]
+        edges[near, -1] = node
+        _spread(edges, reached, node)
+    return edges
+
+
 def build(
     vectors: np.ndarray, degree: int = DEGREE, width: int = BEAM, relaxed: float = RELAXED
 ) -> tuple[np.ndarray, int]:
-    """Edges (a row for each vector, -1 where there are fewer than ``degree``) and the node to enter by.
+    """Edges (a row for each vector, -1 where there are fewer) and the node to enter by.
 
+    A node has ``degree`` edges at most, and one more where another node could not be reached without it.
     The vectors should differ from one another: equal ones cover each other in pruning.
     """
     n = len(vectors)
     edges = np.full((n, degree), -1, dtype=np.int32)
     if not n:
-        return edges, 0
+        return np.full((n, degree + 1), -1, dtype=np.int32), 0
     middle = vectors.mean(axis=0)
     entry = int(np.argmin(((vectors - middle) ** 2).sum(axis=1)))
     # The order of entering must not follow the order of the ids; a fixed seed repeats it.
@@ -139,4 +167,4 @@ def build(
         _mirrored(vectors, edges, fresh, degree, relaxed)
         at += len(fresh)
         size = min(2 * size, at)
-    return edges, entry
+    return _joined_up(vectors, edges, entry), entry

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,28 +83,36 @@ def test_sharding(spark, small):
 
 
 def test_lines(spark, small):
-    """All pairs of distinct lines, compared by fingerprint and edit similarity."""
+    """All pairs of distinct lines, compared by edit similarity."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    place, prints, own = {}, {}, {}
+    place, own = {}, {}
     for doc, text in small:
         for n, line in enumerate((text or "").split("\n")):
             w = lines.normalised(line)
             if len(w) >= lines.MIN_WORDS:
                 own[doc, n] = " ".join(w)
                 place.setdefault(own[doc, n], w)
-    for key, w in place.items():
-        hashes = np.array([xxh64_intdigest(x) for x in w], dtype=np.uint64)
-        prints[key] = int(simhash.majority_bits(hashes, np.array([len(w)]))[0])
-    keys = list(place)
-    values = np.array([prints[k] for k in keys], dtype=np.uint64)
+    # A word of the longer line without a partner in the other costs an edit, so two lines are no nearer
+    # than these are many. A pair that this bound parts needs no distance; every pair is looked at.
+    keys = sorted(place, key=lambda k: len(place[k]))
+    sizes = np.array([len(place[k]) for k in keys])
+    spots = {}
+    for i, k in enumerate(keys):
+        for w, n in Counter(place[k]).items():
+            spots.setdefault(w, []).append((i, n))
+    spots = {w: np.array(x).T for w, x in spots.items()}
     edges = []
     for i, k in enumerate(keys):
-        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= lines.DISTANCE):
-            other = keys[i + 1 + j]
-            if plain_distance(place[k], place[other]) <= 0.2 * max(len(place[k]), len(place[other])) + 1e-9:
-                edges.append((k, other))
+        allowed = 0.2 * np.maximum(sizes, sizes[i]) + 1e-9
+        shared = np.zeros(len(keys), dtype=np.int64)
+        for w, n in Counter(place[k]).items():
+            at, counts = spots[w]
+            shared[at] += np.minimum(counts, n)
+        least = np.maximum(sizes, sizes[i]) - shared
+        for j in np.flatnonzero(least <= allowed):
+            if j > i and plain_distance(place[k], place[keys[j]]) <= allowed[j]:
+                edges.append((k, keys[j]))
     root = brute.union_find(keys, edges)
     seen, want = set(), {}
     for doc, text in sorted(small):
