@@ -196,6 +196,15 @@ def _stored_scatter(cohort: Cohort) -> DataFrame:
     return stored_sample(cohort, spark.read.parquet(path), SEGMENT, BALANCE, SCORE, "Row_ID")
 
 
+def _page_of_rows(cohort: Cohort) -> DataFrame:
+    """A late page of all rows, best scores first, from a result stored in that order."""
+    spark = cohort.df.sparkSession
+    path = scratch_path(spark, "pages")
+    order = [F.col(SCORE).desc_nulls_last(), "Row_ID"]
+    grid.write_pages(cohort.df.select(*ROLE_COLUMNS), path, order, 5000)
+    return grid.stored_page(spark, path, page=37, size=40, chunk_rows=5000)
+
+
 def _imputed_rows(spark: SparkSession, folder: str) -> DataFrame:
     variants = {"Raw": _raw(spark, folder).df, "Imputed": _imputed(spark, folder).df}
     measures = [PRICE, BALANCE, SCORE]
@@ -446,6 +455,7 @@ def _cohort_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 size=10,
             ),
         ),
+        "grid_page_stored": _on(_raw, _page_of_rows),
         "top_k": _on(
             _raw,
             lambda c: grid.top_k(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -17,6 +17,8 @@ from levelwise.functions.rounding import col
 NA_TEXT = "NA"
 COUNT_COLUMNS = ("freq", "n")
 SCATTER_SUFFIX = "_scatter_data"
+# Rows of a stored result that lie in one folder.
+CHUNK_ROWS = 100_000
 
 
 def grid_filter(result: DataFrame, conditions: Mapping[str, object]) -> DataFrame:
@@ -66,6 +68,29 @@ def grid_page(result: DataFrame, order: list[Column | str], page: int, size: int
     return result.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def write_pages(result: DataFrame, path: str, order: list[Column | str], chunk_rows: int = CHUNK_ROWS) -> None:
+    """Store a result in its order, in folders of ``chunk_rows`` rows, for :func:`stored_page`.
+
+    The order is found once, range by range. Each row keeps its number as ``_row`` and its folder as ``_chunk``.
+    """
+    rows = numbered(result, order, "_row")
+    chunk = F.floor((F.col("_row") - 1) / chunk_rows).cast("long").alias("_chunk")
+    # A chunk is of bounded size, so one task can write it.
+    dealt = rows.select("*", chunk).repartition("_chunk").sortWithinPartitions("_chunk", "_row")
+    dealt.write.mode("error").partitionBy("_chunk").parquet(path)
+
+
+def stored_page(
+    spark: SparkSession, path: str, page: int, size: int, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Page ``page`` (from 1) of a stored result; only the folders that it lies in are read."""
+    first, last = (page - 1) * size + 1, page * size
+    rows = spark.read.parquet(path)
+    inside = rows.where(F.col("_chunk").between((first - 1) // chunk_rows, (last - 1) // chunk_rows))
+    wanted = inside.where(F.col("_row").between(first, last)).orderBy("_row")
+    return wanted.drop("_row", "_chunk")
+
+
 def top_k(result: DataFrame, by: str, k: int, *ties: str) -> DataFrame:
     """The ``k`` rows with the largest ``by``; ``ties`` make the choice unique."""
     return result.orderBy(col(by).desc_nulls_last(), *map(col, ties)).limit(k)

@@ -554,6 +554,10 @@ dated AS (SELECT *, CAST(dense_rank() OVER (ORDER BY {FY}) + 2018 AS INTEGER) AS
     "grid_page": with_(
         f"SELECT * FROM ({SUMMARY_2}) ORDER BY {Q}, {SEG} NULLS LAST LIMIT 10 OFFSET 10"
     ),
+    "grid_page_stored": with_(
+        f"""SELECT Row_ID, {SEG}, {STATUS}, Num_Balance, Num_Score FROM raw
+        ORDER BY Num_Score DESC NULLS LAST, Row_ID LIMIT 40 OFFSET 1440"""
+    ),
     "top_k": with_(
         f"SELECT * FROM ({counts('raw', [YQ, SEG])}) "
         f"ORDER BY n DESC, {YQ}, {SEG} NULLS FIRST LIMIT 10"
