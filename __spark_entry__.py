@@ -35,7 +35,10 @@ from oracle import ORACLE_SQL  # noqa: E402
 try:  # the training-data operators can be taken out as a whole
     import corpus_pipeline
     from levelwise.llm import queries as training
-except ImportError:
+except ModuleNotFoundError as absent:
+    # Only their own absence: a library that they lack is a fault to be seen.
+    if absent.name not in ("corpus_pipeline", "levelwise.llm", "levelwise.llm.queries"):
+        raise
     corpus_pipeline = training = None
 
 QUARTER, MONTH, YQ, FY = "Financial_Quarter", "Month", "Year_Quarter", "Financial_Year"
