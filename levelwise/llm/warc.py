@@ -32,6 +32,8 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Ranges with a gap of at most so many bytes are read at once, up to so many bytes.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: A task reads about so many bytes of archives; of few bytes each core gets a share.
+TASK_BYTES, LEAST_BYTES = 64 << 20, 256 << 10
 
 _INDEX = "page_id long, url string, digest string, record_type string, archive string, offset long, length long"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -211,11 +213,17 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` names, from archives under ``folder``.
 
-    Index rows are range-partitioned and sorted by place, so each task reads on through
-    stretches of archives, and a large archive is shared by many tasks.
+    Archives are cut into stretches of at most ``READ_BYTES``, which are dealt to as many tasks as their bytes
+    call for, so a large archive is shared by many tasks; each sorts its stretches by place and reads on.
     """
     placed = index.select("archive", "offset", "length")
-    ordered = placed.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # The index is stored, so its sum costs little; rows are narrow and work follows the bytes they point at.
+    total = placed.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-total // TASK_BYTES), min(cores, -(-total // LEAST_BYTES)), 1)
+    stretch = max(LEAST_BYTES, min(READ_BYTES, total // (4 * tasks)))
+    dealt = placed.repartition(tasks, "archive", F.floor(F.col("offset") / stretch))
+    ordered = dealt.sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(_reader(folder), _READ)
 
 
