@@ -1,12 +1,15 @@
 """Personal data: pattern detection, and terms that give a protected entity away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers; these are the
-protected entities. The information-theoretic part asks what their surroundings reveal. An
-entity c tells IC(c) = -log2 p(c) bits; a term t near it gives PMI(c; t) =
-log2 p(c, t) / (p(c) p(t)) of them away. Probabilities are shares of the
-distinct texts of the corpus; t is near c within ``REACH`` words. A term whose PMI is at least
-``REMOVE`` times IC is removed wherever it occurs, from ``GENERALISE`` times on it is generalised to its
-kind of token.
+Patterns find e-mail addresses, IP addresses, card and phone numbers; these and secrets (long runs of
+letters and digits, as keys and tokens are) are protected. Values rarely repeat, so an entity is looked
+at on a ladder: the value, the group it belongs to (mail domain, network, issuer, dialling prefix), the kind.
+
+The information-theoretic part asks what their surroundings reveal. An entity c tells IC(c) =
+-log2 p(c) bits; a term t near it gives PMI(c; t) = log2 p(c | t) / p(c) of them away. Probabilities are
+shares of the distinct texts of the corpus; t is near c within ``REACH`` words; p(c | t) is taken at the lower
+end of its confidence interval (Wilson), so that few texts prove little. A term that makes an entity
+likelier than not (``LIKELY``) discloses it: with a PMI of ``REMOVE`` times IC it is removed wherever it
+occurs, from ``GENERALISE`` times on it is generalised to its kind of token.
 """
 
 from __future__ import annotations
@@ -20,12 +23,18 @@ from levelwise.llm.common import bind, identity, stored, text_of, words_of
 
 #: Words on either side of an entity that count as its surroundings.
 REACH = 8
-#: Distinct texts in which a term must stand near the entity before co-occurrence says
-#: anything; one text alone gives every rare word full information.
+#: An entity in fewer distinct texts is looked at on the next rung of its ladder only.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: Least p(c | t) of a term that discloses, and one-sided 95 % of the normal distribution for its bound.
+LIKELY, NORMAL = 0.5, 1.645
+#: Characters before and after an entity that mostly hold its nearest words.
+STRETCH = 400
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the method adds, after those.
+ADDED = ("secret", "term")
+SECRET, TERM = len(KINDS), len(KINDS) + 1
 
 # Fixed rules of the four kinds. Each is the plain pattern with possessive loops and a
 # bound on where a match may start; neither changes which leftmost matches there are, both
@@ -36,6 +45,8 @@ _EMAIL = (
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: A secret: 20 or more letters and digits in a row, four digits and a letter among them.
+_SECRET = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -149,6 +160,58 @@ def entity_spans(text: Column) -> dict[str, Column]:
     return out
 
 
+def secret_spans(text: Column, base: Column) -> Column:
+    """(start, end, found) of the secrets of a text that touch no base span."""
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    kept = F.filter(
+        matches(text, F.lit(_SECRET)),
+        lambda m: m["found"].rlike("[A-Za-z]")
+        & m["found"].rlike("(?:[^0-9]*[0-9]){4}")
+        & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
+    )
+    return F.when(text.rlike("[A-Za-z0-9]{20}"), kept).otherwise(none)
+
+
+def _rungs(kind: Column, found: Column) -> Column:
+    """The ladder of an entity as hashes: its value, its group if it has one, its kind."""
+    group = (
+        F.when(kind == 0, F.substring_index(F.lower(found), "@", -1))
+        .when(kind == 1, F.substring_index(found, ".", 3))
+        .when(kind == 2, F.substring(_digits(found), 1, 6))
+        .when(kind == 3, F.substring(_digits(found), 1, 4))
+    )
+    rungs = [F.xxhash64(F.lit(i), kind, v) for i, v in enumerate((found, group, F.lit("")))]
+    return F.array_compact(F.array(rungs[0], F.when(group.isNotNull(), rungs[1]), rungs[2]))
+
+
+def _nearest(whole: Column, start: Column, end: Column) -> Column:
+    """The ``REACH`` words before and after a span, whatever their lengths."""
+
+    def near(short: Column, cut: Column, full: Column) -> Column:
+        # Beyond REACH words the one that the stretch cuts is not among the nearest.
+        return bind(
+            short, lambda w: F.when(cut & (F.size(w) <= REACH), words_of(full)).otherwise(w)
+        )
+
+    before = near(
+        words_of(F.substring(whole, F.greatest(start - (STRETCH - 1), F.lit(1)), F.least(start, F.lit(STRETCH)))),
+        start > STRETCH,
+        F.substring(whole, F.lit(1), start),
+    )
+    after = near(
+        words_of(F.substring(whole, end + 1, F.lit(STRETCH))),
+        F.char_length(whole) > end + STRETCH,
+        F.substring(whole, end + 1, F.char_length(whole)),
+    )
+    return F.concat(F.slice(F.reverse(before), 1, REACH), F.slice(after, 1, REACH))
+
+
+def likelihood_bound(hits: Column, of: Column) -> Column:
+    """Lower end of the Wilson interval of a share."""
+    p, z2 = hits / of, NORMAL**2
+    return (p + z2 / (2 * of) - NORMAL * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
+
+
 def with_entities(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns of ``keep``, ``whole`` (the text, null as empty), ``row`` and ``base``.
 
@@ -169,50 +232,39 @@ def disclosing_terms(
 ) -> DataFrame:
     """Terms that give an entity away: ``term`` and ``removed`` (else generalised).
 
-    ``found`` has ``whole`` and a non-empty ``base`` per text, ``texts`` has ``whole`` of the entire
-    corpus. Pairs are (entity, word near it), at most ``2 * REACH`` for each occurrence of an
-    entity, never all entities of a text with all its words. Copies of a text count once.
+    ``found`` has ``whole`` and a non-empty ``base`` (secrets included) per text, ``texts`` has ``whole`` of
+    the entire corpus. Pairs are (rung of an entity, word near it), at most ``2 * REACH`` words for each
+    occurrence, never all entities of a text with all its words. Copies of a text count once; words
+    without a letter or digit tell nothing.
     """
-    near = found.select(
-        F.xxhash64("whole").alias("t"),
-        F.explode("base").alias("b"),
-        "whole",
-    ).select(
+    spots = found.select(F.xxhash64("whole").alias("t"), F.explode("base").alias("b"), "whole")
+    spots = spots.select(
         "t",
-        F.xxhash64("b.kind", "b.found").alias("entity"),
-        # A stretch of characters around the entity is enough to hold its nearest words.
-        F.explode(
-            F.concat(
-                F.slice(
-                    F.reverse(words_of(F.substring(F.col("whole"), F.greatest(F.col("b.start") - 399, F.lit(1)), F.least(F.col("b.start"), F.lit(400))))),
-                    1, REACH,
-                ),
-                F.slice(words_of(F.substring(F.col("whole"), F.col("b.end") + 1, F.lit(400))), 1, REACH),
-            )
-        ).alias("term"),
+        _rungs(F.col("b.kind"), F.col("b.found")).alias("rungs"),
+        F.array_distinct(_nearest(F.col("whole"), F.col("b.start"), F.col("b.end"))).alias("terms"),
     )
+    spots = stored(spots, "entity-surroundings")
     # A bounded number of rows for each occurrence; distinct combines map-side.
-    pairs = near.select("t", "entity", "term").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    both = stored(both.where(F.col("both") >= support), "near-terms")
-    entities = (
-        found.select(F.xxhash64("whole").alias("t"), F.explode("base").alias("b"))
-        .select("t", F.xxhash64("b.kind", "b.found").alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count("*").alias("with_entity"))
-    )
+    rungs = spots.select("t", F.explode("rungs").alias("entity"), "terms")
+    entities = rungs.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entities = entities.where(F.col("with_entity") >= support)
+    pairs = rungs.select("t", "entity", F.explode("terms").alias("term")).where(F.col("term").rlike(r"[\p{L}\p{N}]"))
+    both = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
+    # A term of no other text than these has the greatest bound; where that is too low no count is needed.
+    both = both.where(likelihood_bound(F.col("both"), F.col("both")) >= LIKELY)
+    both = stored(both.join(entities, "entity"), "near-terms")
     wanted = stored(both.select(F.col("term").alias("wanted")).distinct(), "wanted-terms")
     spread = texts.select(
         F.xxhash64("whole").alias("t"), F.explode(F.array_distinct(words_of(F.col("whole")))).alias("term")
     ).join(wanted, F.col("term") == F.col("wanted"), "left_semi")
     terms = spread.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    total = texts.select(F.xxhash64("whole").alias("t")).distinct().count()
-    bits = both.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
-    ic = F.log2(F.lit(float(total)) / F.col("with_entity"))
-    told = bits.where((ic > 0) & (pmi >= generalise * ic))
-    return told.groupBy("term").agg(F.max(pmi >= remove * ic).alias("removed"))
+    total = float(texts.select(F.xxhash64("whole").alias("t")).distinct().count())
+    likely = likelihood_bound(F.col("both"), F.col("with_term"))
+    ic = F.log2(F.lit(total) / F.col("with_entity"))
+    bits = both.join(terms, "term").select("term", likely.alias("likely"), ic.alias("ic"))
+    pmi = F.log2("likely") + F.col("ic")
+    told = bits.where((F.col("ic") > 0) & (F.col("likely") >= LIKELY) & (pmi >= generalise * F.col("ic")))
+    return told.groupBy("term").agg(F.max(pmi >= remove * F.col("ic")).alias("removed"))
 
 
 def term_spans(texts: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
@@ -252,9 +304,9 @@ def term_spans(texts: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``row``, ``base`` and ``terms`` of every document.
+    """``doc_id``, ``row``, ``base``, ``secrets`` and ``terms`` of every document.
 
-    ``base`` is sorted; ``terms`` are those of the method that touch no base span. Null
+    ``base`` is sorted; ``secrets`` touch no base span, ``terms`` neither these nor secrets. Null
     texts are empty; repeated rows stay; an empty table gives an empty result.
     """
     keep = docs.select(
@@ -263,31 +315,32 @@ def find_personal_data(docs: DataFrame, text: str = "text", id_column: str = "do
         identity(id_column, text).alias("row"),
     )
     rows = with_entities(keep, ["doc_id", "row"], "whole")
+    rows = rows.withColumn("secrets", secret_spans(F.col("whole"), F.col("base")))
     # Only texts with an entity are kept beside their spans.
-    some = F.when(F.size("base") > 0, F.col("whole")).alias("whole")
-    light = stored(rows.select("doc_id", "row", "base", some), "entities")
-    found = light.where("whole is not null").select("whole", "base")
+    some = F.when((F.size("base") > 0) | (F.size("secrets") > 0), F.col("whole")).alias("whole")
+    light = stored(rows.select("doc_id", "row", "base", "secrets", some), "entities")
+    every = F.concat("base", _tagged(SECRET, F.col("secrets"))).alias("base")
+    found = light.where("whole is not null").select("whole", every)
     terms = stored(disclosing_terms(found, keep), "disclosing-terms")
     spans = term_spans(keep, terms, ["row"]).select(F.col("row").alias("r"), "terms")
     # Repeated rows have equal spans: one of them is enough for the join.
     spans = spans.groupBy("r").agg(F.first("terms").alias("terms"))
     joined = light.join(spans, F.col("row") == F.col("r"), "left")
     none = F.array().cast("array<struct<start:int,end:int,found:string,removed:boolean>>")
-    clear = lambda m: ~F.exists(
-        "base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
-    )
+    touches = lambda m: lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
+    clear = lambda m: ~F.exists("base", touches(m)) & ~F.exists("secrets", touches(m))
     return joined.select(
-        "doc_id", "row", "base", F.filter(F.coalesce("terms", none), clear).alias("terms")
+        "doc_id", "row", "base", "secrets", F.filter(F.coalesce("terms", none), clear).alias("terms")
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` with personal data replaced.
 
-    Entities become ``[EMAIL]`` and so on, removed terms go, generalised ones become
+    Entities become ``[EMAIL]``, ``[SECRET]`` and so on, removed terms go, generalised ones become
     ``[NUMBER]``, ``[NAME]`` or ``[WORD]`` by their look.
     """
-    found = find_personal_data(docs).select("row", "base", "terms").dropDuplicates(["row"])
+    found = find_personal_data(docs).select("row", "base", "secrets", "terms").dropDuplicates(["row"])
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     kind = lambda t: (
         F.when(t.rlike("[0-9]"), "[NUMBER]").when(t.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
@@ -295,6 +348,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     put = F.array_sort(
         F.concat(
             F.transform("base", lambda b: F.struct(b["start"], b["end"], F.get(label, b["kind"]).alias("put"))),
+            F.transform("secrets", lambda m: F.struct(m["start"], m["end"], F.lit("[SECRET]").alias("put"))),
             F.transform(
                 "terms",
                 lambda m: F.struct(
@@ -323,13 +377,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Counts by kind and spans of every document."""
+    """Counts by kind and spans of every document.
+
+    A null text is empty and has none; repeated rows stay; an empty table gives an empty result; other
+    columns are not read.
+    """
     found = find_personal_data(docs)
-    name = F.array(*[F.lit(k) for k in KINDS], F.lit("term"))
+    name = F.array(*[F.lit(k) for k in KINDS + ADDED])
     merged = F.array_sort(
         F.concat(
             F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))),
-            F.transform("terms", lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), m["end"].alias("end"))),
+            *[
+                F.transform(c, lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))
+                for k, c in ((SECRET, "secrets"), (TERM, "terms"))
+            ],
         )
     )
     text = lambda spans: F.array_join(
