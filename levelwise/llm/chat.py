@@ -1,9 +1,11 @@
 """Chat formatting with compiled templates.
 
 A template is parsed into a small syntax tree, constant parts are folded, and every node
-becomes a Python closure. The language is a sandbox: it has variables and their
-fields, literals, comparisons, ``and``/``or``/``not``, ``+``, the filters below, ``if``,
-``for`` and ``generation``; there are no calls, attributes or imports.
+becomes a Python closure. The language is a sandbox: it has variables, their fields and
+subscripts, literals, lists, comparisons, ``in``, ``is defined``, ``and``/``or``/``not``, ``+``, ``-``, ``%``, the filters
+below, ``if``, ``for`` and ``generation``; there are no calls, attributes or imports. A field is a key of a
+mapping, never an attribute; a missing key or place is none. A dash inside a mark, as in ``{%- if e -%}``, takes the
+blanks beside it away. Texts in quotes may hold ``\\n``, ``\\t`` and escaped quotes.
 
     {{ expression | filter }}      {# comment #}
     {% for m in messages %} ... {% endfor %}
@@ -17,6 +19,7 @@ stream through the loop. Tasks get conversations sorted by turn and emit one par
 from __future__ import annotations
 
 import hashlib
+import operator
 import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
@@ -66,8 +69,12 @@ class TemplateError(ValueError):
 # ---- Expressions: ("const", v), ("name", path), (operator, parts...), ("filter", f, e)
 
 _TOKEN = re.compile(
-    r"\s*(?:(?P<text>'[^']*'|\"[^\"]*\")|(?P<number>\d+)|(?P<name>[A-Za-z_][\w.]*)|(?P<sign>==|!=|[|()+]))"
+    r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_][\w.]*)"
+    r"|(?P<sign>==|!=|<=|>=|[|()+\[\],.<>%-]))",
+    re.DOTALL,
 )
+#: Escapes inside quotes; any other escaped character is itself.
+_QUOTED = {"n": "\n", "t": "\t", "r": "\r"}
 
 
 class _Expression:
@@ -113,18 +120,35 @@ class _Expression:
 
     def compared(self):
         tree = self.joined()
-        while sign := self.take("==", "!="):
-            tree = (sign, tree, self.joined())
-        return tree
+        while True:
+            if sign := self.take("==", "!=", "<", "<=", ">", ">=", "in"):
+                tree = (sign, tree, self.joined())
+            elif self.take("is"):
+                kind = "undefined" if self.take("not") else "defined"
+                if not self.take("defined"):
+                    raise TemplateError("only 'is defined' is known")
+                tree = (kind, tree)
+            elif self.take("not"):
+                if not self.take("in"):
+                    raise TemplateError("'not' without 'in'")
+                tree = ("not", ("in", tree, self.joined()))
+            else:
+                return tree
 
     def joined(self):
+        tree = self.divided()
+        while sign := self.take("+", "-"):
+            tree = (sign, tree, self.divided())
+        return tree
+
+    def divided(self):
         tree = self.filtered()
-        while self.take("+"):
-            tree = ("+", tree, self.filtered())
+        while self.take("%"):
+            tree = ("%", tree, self.filtered())
         return tree
 
     def filtered(self):
-        tree = self.single()
+        tree = self.placed()
         while self.take("|"):
             kind, name = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
             if name not in FILTERS:
@@ -133,7 +157,32 @@ class _Expression:
             tree = ("filter", name, tree)
         return tree
 
+    def placed(self):
+        tree = self.single()
+        while sign := self.take("[", "."):
+            if sign == ".":
+                kind, name = self.tokens[self.at] if self.at < len(self.tokens) else ("", "")
+                if kind != "name":
+                    raise TemplateError("missing field")
+                self.at += 1
+                for part in name.split("."):
+                    tree = ("at", tree, ("const", part))
+                continue
+            tree = ("at", tree, self.either())
+            if not self.take("]"):
+                raise TemplateError("missing ]")
+        return tree
+
     def single(self):
+        if self.take("-"):
+            return ("-", ("const", 0), self.single())
+        if self.take("["):
+            items = []
+            while not self.take("]"):
+                items.append(self.either())
+                if not self.take(",") and (self.at >= len(self.tokens) or self.tokens[self.at] != ("sign", "]")):
+                    raise TemplateError("missing ]")
+            return ("list", *items)
         if self.take("("):
             tree = self.either()
             if not self.take(")"):
@@ -144,7 +193,7 @@ class _Expression:
         kind, value = self.tokens[self.at]
         self.at += 1
         if kind == "text":
-            return ("const", value[1:-1])
+            return ("const", re.sub(r"\\(.)", lambda m: _QUOTED.get(m[1], m[1]), value[1:-1], flags=re.DOTALL))
         if kind == "number":
             return ("const", int(value))
         if kind == "name":
@@ -167,9 +216,46 @@ def _text(value: object) -> str:
     return "" if value is None else str(value)
 
 
+def _numbers(operator: Callable[[int, int], object]) -> Callable:
+    """``operator`` of two whole numbers; none for anything else."""
+    return lambda a, b: operator(a, b) if isinstance(a, int) and isinstance(b, int) else None
+
+
+def _ordered(operator: Callable) -> Callable:
+    """A comparison of two numbers or two texts; false for anything else."""
+    alike = lambda a, b: all(isinstance(x, int) for x in (a, b)) or all(isinstance(x, str) for x in (a, b))
+    return lambda a, b: alike(a, b) and operator(a, b)
+
+
+def _inside(item: object, whole: object) -> bool:
+    if isinstance(whole, str):
+        return isinstance(item, str) and item in whole
+    return isinstance(whole, (list, tuple, dict)) and item in whole
+
+
+def _at(whole: object, place: object) -> object:
+    """A key of a mapping or a place of a list or text; none if there is none."""
+    if isinstance(whole, dict):
+        return whole.get(place) if isinstance(place, (str, int)) else None
+    if isinstance(whole, (list, tuple, str)) and isinstance(place, int) and -len(whole) <= place < len(whole):
+        return whole[place]
+    return None
+
+
 _OPERATORS: dict[str, Callable] = {
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
+    "<": _ordered(operator.lt),
+    "<=": _ordered(operator.le),
+    ">": _ordered(operator.gt),
+    ">=": _ordered(operator.ge),
+    "-": _numbers(operator.sub),
+    "%": _numbers(lambda a, b: a % b if b else None),
+    "in": _inside,
+    "at": _at,
+    "list": lambda *items: list(items),
+    "defined": lambda a: a is not None,
+    "undefined": lambda a: a is None,
     "+": lambda a, b: a + b if isinstance(a, int) and isinstance(b, int) else _text(a) + _text(b),
 }
 
@@ -206,13 +292,16 @@ def evaluate(tree: tuple) -> Callable[[Scope], object]:
         return lambda scope: parts[0](scope) and parts[1](scope)
     if kind == "or":
         return lambda scope: parts[0](scope) or parts[1](scope)
-    operator = _OPERATORS[kind]
-    return lambda scope: operator(parts[0](scope), parts[1](scope))
+    apply = _OPERATORS[kind]
+    return lambda scope: apply(*[p(scope) for p in parts])
 
 
 # ---- Blocks: ("text", s), ("put", e), ("for", name, e, body), ("if", [(e, body)]), ("gen", body)
 
-_MARKUP = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.DOTALL)
+# A dash at a mark takes the blanks on its side with it.
+_MARKUP = re.compile(
+    r"(?:\s*(?=\{\{-|\{%-|\{#-))?(?:\{\{-?(.*?)(?:-\}\}\s*|\}\})|\{%-?(.*?)(?:-%\}\s*|%\})|\{#.*?(?:-#\}\s*|#\}))", re.DOTALL
+)
 
 
 def parse(source: str) -> list[tuple]:
