@@ -34,8 +34,14 @@ DISTANCE = 64
 SHORT = 11
 #: Windows kept of a line. Up to 39 words these are all the rule needs and no pair is missed.
 KEYS = 24
-#: Lines of more words than the first number have so many more parities in their sketch.
+#: Lines of more words than the first number have so many more parities in their sketch; from the first
+#: step on they have counts of their words in so many classes too, as repeated words cancel in parities.
 WIDER = ((24, 192), (150, 1024))
+CLASSES = 16
+#: Classes of the words of lines that are verified.
+VERIFY_CLASSES = 256
+#: Lines that a task remembers, so that a line it meets again carries no windows. It only saves rows.
+REMEMBERED = 1 << 19
 #: Groups of so many lines are compared in whole arrays; larger ones are searched.
 SMALL_GROUP = 16
 #: Lines verified together; a larger candidate group is verified in pairs of blocks.
@@ -151,22 +157,26 @@ def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, starts) | np.minimum(counts, 0xFFF).astype(np.uint64)
 
 
-def _parities(values: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros((len(counts), bits // 64), dtype=np.uint64)
-    bit = mixed(values ^ np.uint64(bits)) % np.uint64(bits)
-    place = (np.repeat(np.arange(len(counts)), counts), (bit >> np.uint64(6)).astype(np.int64))
-    np.bitwise_xor.at(out, place, np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def word_counts(values: np.ndarray, counts: np.ndarray, classes: int) -> np.ndarray:
+    """How many words of each line fall in each class of words."""
+    own = np.repeat(np.arange(len(counts)), counts)
+    at = own * classes + (mixed(values ^ np.uint64(classes)) % np.uint64(classes)).astype(np.int64)
+    return np.bincount(at, minlength=len(counts) * classes).reshape(-1, classes)
 
 
 def wide_sketches(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """More parities of the words: none for lines of few words, the most for long ones."""
+    """Counts and more parities of the words: none for lines of few words, the most for long ones."""
     words = np.repeat(counts, counts)
     out = [b""] * len(counts)
-    for more, bits in WIDER:
+    for step, (more, bits) in enumerate(WIDER):
         some = np.flatnonzero(counts > more)
         if len(some):
-            for i, row in zip(some, _parities(values[words > more], counts[some], bits)):
+            own, sizes = values[words > more], counts[some]
+            odd = np.packbits((word_counts(own, sizes, bits) & 1).astype(np.uint8), axis=1, bitorder="little")
+            if not step:
+                # Counts wrap at 256; the distance of two wrapped ones is no greater.
+                odd = np.concatenate([word_counts(own, sizes, CLASSES).astype(np.uint8), odd], axis=1)
+            for i, row in zip(some, odd):
                 out[i] += row.tobytes()
     return out
 
@@ -175,8 +185,13 @@ class Sketches:
     """Sketches of many lines, the wide ones as matrices of the lines that have them."""
 
     def __init__(self, sketch: np.ndarray, wide: list[bytes]):
-        self.sketch, self.levels, start = sketch, [], 0
+        self.sketch, self.levels, start = sketch, [], CLASSES
         sizes = np.fromiter(map(len, wide), np.int64, len(wide))
+        has = np.flatnonzero(sizes)
+        self.counted = np.full(len(wide), -1)
+        self.counted[has] = np.arange(len(has))
+        flat = b"".join(wide[i][:CLASSES] for i in has)
+        self.counts = np.frombuffer(flat, dtype=np.uint8).reshape(-1, CLASSES)
         for _, bits in WIDER:
             has = np.flatnonzero(sizes > start)
             end = start + bits // 8
@@ -187,52 +202,68 @@ class Sketches:
             start = end
 
     def may_link(self, i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
-        """Whether lengths and parities leave room for the similarity; never false for linked lines."""
+        """Whether lengths, parities and counts leave room for the similarity; never false for linked lines.
+
+        Words that only one of two lines has, the lengths' difference added, are at most two an edit.
+        """
         a, b = self.sketch[i], self.sketch[j]
         m, n = (a & _LENGTH).astype(np.int64), (b & _LENGTH).astype(np.int64)
         longest = np.maximum(m, n)
-        edits = np.floor((1 - SIMILARITY) * longest + 1e-9)
+        room = 2 * np.floor((1 - SIMILARITY) * longest + 1e-9) - np.abs(m - n)
         # A length that fills its bits may be any greater one.
         endless = longest == 0xFFF
-        near = endless | (
-            (np.abs(m - n) <= edits) & (np.bitwise_count((a ^ b) & ~_LENGTH) <= 2 * edits)
-        )
-        for index, marks in self.levels:
+        near = endless | (np.bitwise_count((a ^ b) & ~_LENGTH) <= room)
+        for index, marks in [(self.counted, self.counts), *self.levels]:
             x, y = index[i], index[j]
             test = np.flatnonzero(near & (x >= 0) & (y >= 0) & ~endless)
             if len(test):
                 other = marks[y[test]] if np.ndim(y) else marks[y]
-                apart = np.bitwise_count(marks[x[test]] ^ other).sum(axis=1, dtype=np.int64)
-                near[test] = apart <= 2 * edits[test]
+                if marks.dtype == np.uint8:
+                    apart = np.abs((marks[x[test]] - other).view(np.int8).astype(np.int16)).sum(axis=1)
+                else:
+                    apart = np.bitwise_count(marks[x[test]] ^ other).sum(axis=1, dtype=np.int64)
+                near[test] = apart <= room[test]
         return near
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for whole in batches:
         for batch in slices(whole):
             own: list[tuple[int, int]] = []
-            lines, counts, values = [], [], []
+            lines, counts, values, new = [], [], [], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for n, line in enumerate(plain(text).split("\n")):
                     words = line.split()
                     if len(words) >= MIN_WORDS:
                         own.append((i, n))
-                        lines.append(xxh64_intdigest(" ".join(words), 42))
-                        counts.append(len(words))
-                        values.extend(map(xxh64_intdigest, words))
+                        line = xxh64_intdigest(" ".join(words), 42)
+                        lines.append(line)
+                        if line not in seen:
+                            seen.add(line)
+                            new.append(len(lines) - 1)
+                            counts.append(len(words))
+                            values.extend(map(xxh64_intdigest, words))
             at = np.array([i for i, _ in own], dtype=np.int64)
             hashes, sizes = np.array(values, dtype=np.uint64), np.array(counts, dtype=np.int64)
             flat, found = window_keys(hashes, sizes)
             offsets = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
+            # Columns of the first occurrences, null in the rows of all others.
+            place = np.full(len(lines), -1)
+            place[new] = np.arange(len(new))
+            spread = pa.array(place, mask=place < 0)
+            key_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(at)),
                     batch.column(1).take(pa.array(at)),
                     pa.array([n for _, n in own], pa.int32()),
                     pa.array(np.array(lines, dtype=np.uint64).view(np.int64)),
-                    pa.array(sketches(hashes, sizes).view(np.int64)),
-                    pa.array(wide_sketches(hashes, sizes), pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
+                    pa.array(sketches(hashes, sizes).view(np.int64)).take(spread),
+                    pa.array(wide_sketches(hashes, sizes), pa.binary()).take(spread),
+                    key_lists.take(spread),
                 ],
                 names=["row", "doc_id", "line_no", "line", "sketch", "wide", "keys"],
             )
@@ -273,15 +304,16 @@ def similar(a: list, b: list) -> bool:
     return least <= allowed and edit_distance(a, b) <= allowed
 
 
-def verified_edges(lines: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
-    """Edges that connect all pairs of (line, sketch, words) that are similar.
+def verified_edges(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
+    """Edges that connect all pairs of (line, words) that are similar.
 
-    As in a search through a graph, a line already reached is not compared again.
+    As in a search through a graph, a line already reached is not compared again. Words that only one
+    of two lines has bound the edit distance from below, so few distances are computed in vain.
     """
-    sketch = np.array([p for _, p, _ in lines], dtype=np.int64).view(np.uint64)
-    hashes = np.array([xxh64_intdigest(w) for _, _, words in lines for w in words], dtype=np.uint64)
-    counts = np.array([len(words) for _, _, words in lines], dtype=np.int64)
-    marks = Sketches(sketch, wide_sketches(hashes, counts))
+    hashes = np.array([xxh64_intdigest(w) for _, words in lines for w in words], dtype=np.uint64)
+    counts = np.array([len(words) for _, words in lines], dtype=np.int64)
+    marks = Sketches(sketches(hashes, counts), wide_sketches(hashes, counts))
+    bags = word_counts(hashes, counts, VERIFY_CLASSES).astype(np.int32)
     left = np.arange(len(lines))
     edges = []
     while len(left) > 1:
@@ -289,7 +321,11 @@ def verified_edges(lines: list[tuple[int, int, list[str]]]) -> list[tuple[int, i
         while queue and len(left):
             at = queue.pop()
             near = np.flatnonzero(marks.may_link(left, at))
-            found = [int(i) for i in near if similar(lines[at][2], lines[left[i]][2])]
+            other = left[near]
+            longest = np.maximum(counts[other], counts[at])
+            apart = np.abs(bags[other] - bags[at]).sum(axis=1) + np.abs(counts[other] - counts[at])
+            near = near[apart <= 2 * np.floor((1 - SIMILARITY) * longest + 1e-9)]
+            found = [int(i) for i in near if similar(lines[at][1], lines[left[i]][1])]
             queue += [left[i] for i in found]
             edges += [(lines[at][0], lines[left[i]][0]) for i in found]
             left = np.delete(left, found)
@@ -356,7 +392,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (root, i, j, line, sketch, text) sorted by the first three."""
+    """Reads (root, i, j, line, text) sorted by the first three."""
 
     def rows():
         for whole in batches:
@@ -364,22 +400,58 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from batch.to_pylist()
 
     for _, members in groupby(rows(), key=lambda r: (r["root"], r["i"], r["j"])):
-        edges = verified_edges([(r["line"], r["sketch"], normalised(r["text"])) for r in members])
+        edges = verified_edges([(r["line"], normalised(r["text"])) for r in members])
         yield pa.RecordBatch.from_pylist(
             [{"a": a, "b": b} for a, b in edges], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())])
         )
 
 
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (key, line) sorted by both; keeps the keys of two and more lines, each line once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush():
+        keys, lines = (np.concatenate(x) for x in zip(*held))
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
+        keys, lines = keys[new], lines[new]
+        same = keys[1:] == keys[:-1]
+        met = np.zeros(len(keys), dtype=bool)
+        met[1:] |= same
+        met[:-1] |= same
+        return pa.RecordBatch.from_arrays([pa.array(keys[met]), pa.array(lines[met])], names=["key", "line"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, lines = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        # The last key may go on in the next batch.
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            held.append((keys[:cut], lines[:cut]))
+            yield flush()
+            held = []
+        held.append((keys[cut:], lines[cut:]))
+    if held:
+        yield flush()
+
+
 def _candidates(lines: DataFrame) -> DataFrame:
-    """(line, sketch, at, root) of lines that another line may be linked to."""
-    # Occurrences of one line are combined before the shuffle, so a common line is not met again and again.
-    once = lines.groupBy("line", "sketch").agg(F.min(F.struct("row", "line_no", "keys", "wide")).alias("at"))
-    keyed = once.select(F.explode("at.keys").alias("key"), "line", "sketch", "at.wide")
-    met = keyed.repartition("key").sortWithinPartitions("key", "line")
+    """(line, at, root) of lines that another line may be linked to."""
+    # A task gives the windows of a line once, so a common line is not met again and again. Most windows
+    # are of one line only; sketches are fetched for the others.
+    once = lines.where("keys is not null")
+    keyed = once.select(F.explode("keys").alias("key"), "line").repartition("key")
+    shared = stored(keyed.sortWithinPartitions("key", "line").mapInArrow(_shared_batches, "key long, line long"), "line-windows")
+    wanted = shared.select(F.col("line").alias("l")).distinct()
+    marks = once.select("line", "sketch", "wide").join(wanted, F.col("line") == F.col("l"), "left_semi")
+    marks = marks.dropDuplicates(["line"]).withColumnRenamed("line", "l")
+    met = shared.join(marks, F.col("line") == F.col("l")).select("key", "line", "sketch", "wide")
+    met = met.repartition("key").sortWithinPartitions("key", "line")
     roots = stored(components(met.mapInArrow(_candidate_batches, "a long, b long")), "line-roots")
-    found = lines.select("row", "line_no", "line", "sketch").join(roots, F.col("line") == F.col("vertex"))
+    found = lines.select("row", "line_no", "line").join(roots, F.col("line") == F.col("vertex"))
     # Any occurrence gives the text of a line; the least one is taken.
-    return found.groupBy("line", "sketch", "root").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    return found.groupBy("line", "root").agg(F.min(F.struct("row", "line_no")).alias("at"))
 
 
 def _line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -388,7 +460,7 @@ def _line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     size = wanted.groupBy("root").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
     sized = wanted.join(size.withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
     spots = sized.select(
-        F.col("at.row").alias("at_row"), F.struct(F.col("at.line_no").alias("line_no"), "line", "sketch", "root", "blocks").alias("spot")
+        F.col("at.row").alias("at_row"), F.struct(F.col("at.line_no").alias("line_no"), "line", "root", "blocks").alias("spot")
     )
     # A document's lines are fetched together, so its text is read once.
     spots = spots.groupBy("at_row").agg(F.collect_set("spot").alias("spots"))
@@ -399,11 +471,11 @@ def _line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
         F.explode(
             F.transform("spots", lambda s: F.struct(s.alias("s"), F.get("texts", s["line_no"]).alias("text")))
         ).alias("x")
-    ).select("x.s.line", "x.s.sketch", "x.s.root", "x.s.blocks", "x.text")
+    ).select("x.s.line", "x.s.root", "x.s.blocks", "x.text")
     own = F.pmod("line", "blocks").cast("int")
     other = texts.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     keyed = other.select(
-        "root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "line", "sketch", "text"
+        "root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "line", "text"
     )
     sorted_rows = keyed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "line")
     return components(sorted_rows.mapInArrow(_verifier, "a long, b long"))
