@@ -44,6 +44,9 @@ VERIFY_CLASSES = 256
 REMEMBERED = 1 << 19
 #: Groups of so many lines are compared in whole arrays; larger ones are searched.
 SMALL_GROUP = 16
+#: Lines of one window that are tested by lengths and word parities before sketches are fetched; of larger
+#: groups all lines go on to the search.
+TESTED_GROUP = 4096
 #: Lines verified together; a larger candidate group is verified in pairs of blocks.
 VERIFY_ROWS = 4096
 
@@ -406,32 +409,74 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Twice the edits that the longer line of so many words allows.
+_TWICE = 2 * np.floor((1 - SIMILARITY) * np.arange(int(_LENGTH) + 1) + 1e-9).astype(np.int32)
+
+
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``Sketches.may_link`` by lengths and the 52 parities alone."""
+    m, n = (a & _LENGTH).astype(np.int32), (b & _LENGTH).astype(np.int32)
+    longest = np.maximum(m, n)
+    return (longest == int(_LENGTH)) | (np.bitwise_count((a ^ b) & ~_LENGTH) + np.abs(m - n) <= _TWICE[longest])
+
+
+def partnered(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Rows, sorted by key, that are close to another row of their key; all of a group too large to be tested."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    ends = np.repeat(np.where(sizes <= SMALL_GROUP, starts + sizes, 0), sizes)
+    met, at = np.zeros(len(keys), dtype=bool), np.arange(len(keys))
+    for by in range(1, SMALL_GROUP):
+        at = at[at + by < ends[at]]
+        found = at[close(sketch[at], sketch[at + by])]
+        met[found] = met[found + by] = True
+    for s, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
+        if n > TESTED_GROUP:
+            met[s : s + n] = True
+            continue
+        # By length, so that a block meets only lines that are neither too short nor too long for it.
+        order = np.argsort(sketch[s : s + n] & _LENGTH, kind="stable")
+        own = sketch[s + order]
+        lengths = (own & _LENGTH).astype(np.int64)
+        for i in range(0, n, 256):
+            block = own[i : i + 256]
+            low = np.searchsorted(lengths, int(SIMILARITY * lengths[i]) - 1)
+            high = np.searchsorted(lengths, int(lengths[min(i + 255, n - 1)] / SIMILARITY) + 1, "right")
+            # A row is close to itself.
+            met[s + order[i : i + 256]] = close(block[:, None], own[low:high]).sum(axis=1) > 1
+    return met
+
+
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, line) sorted by both; keeps the keys of two and more lines, each line once."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Reads (key, line, sketch) sorted by the first two; keeps lines that are close to another one of their key."""
+    held: list[list[np.ndarray]] = []
 
     def flush():
-        keys, lines = (np.concatenate(x) for x in zip(*held))
+        keys, lines, sketch = (np.concatenate(x) for x in zip(*held))
         new = np.ones(len(keys), dtype=bool)
         new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
-        keys, lines = keys[new], lines[new]
+        keys, lines, sketch = keys[new], lines[new], sketch[new]
         same = keys[1:] == keys[:-1]
         met = np.zeros(len(keys), dtype=bool)
         met[1:] |= same
         met[:-1] |= same
-        return pa.RecordBatch.from_arrays([pa.array(keys[met]), pa.array(lines[met])], names=["key", "line"])
+        keys, lines = keys[met], lines[met]
+        if len(keys):
+            near = partnered(keys, sketch[met].view(np.uint64))
+            keys, lines = keys[near], lines[near]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lines)], names=["key", "line"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, lines = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         # The last key may go on in the next batch.
-        cut = int(np.searchsorted(keys, keys[-1]))
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
         if cut:
-            held.append((keys[:cut], lines[:cut]))
+            held.append([c[:cut] for c in columns])
             yield flush()
             held = []
-        held.append((keys[cut:], lines[cut:]))
+        held.append([c[cut:] for c in columns])
     if held:
         yield flush()
 
@@ -439,9 +484,9 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _candidates(lines: DataFrame) -> DataFrame:
     """(line, at, root) of lines that another line may be linked to."""
     # A task gives the windows of a line once, so a common line is not met again and again. Most windows
-    # are of one line only; sketches are fetched for the others.
+    # are of one line only or of lines that are not close; wide sketches are fetched for the others.
     once = lines.where("keys is not null")
-    keyed = once.select(F.explode("keys").alias("key"), "line").repartition("key")
+    keyed = once.select(F.explode("keys").alias("key"), "line", "sketch").repartition("key")
     shared = stored(keyed.sortWithinPartitions("key", "line").mapInArrow(_shared_batches, "key long, line long"), "line-windows")
     wanted = shared.select(F.col("line").alias("l")).distinct()
     marks = once.select("line", "sketch", "wide").join(wanted, F.col("line") == F.col("l"), "left_semi")
