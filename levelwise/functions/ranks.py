@@ -12,11 +12,13 @@ the same answers here.
 
 ``sorted``
     For many groups, none of them large: rows are sorted by group and value in one shuffle and
-    numbered, and a group is read at the ranks wanted. No group is held as an array.
+    numbered, and a group is read at the ranks wanted. No group is held as an array. There are as many tasks
+    as the rows call for (``SORTED_ROWS`` each), so that none grows with the data.
 
 ``split``
-    For many groups of any size: sizes are counted first, with map-side combine. Groups of more than
-    ``HEAVY_ROWS`` rows go by ``ranked``, all others by ``sorted``.
+    For many groups of any size: rows are counted by buckets of groups first, with map-side combine, and by
+    group in the buckets alone that have more than ``HEAVY_ROWS`` rows. Groups of more than that
+    go by ``ranked``, all others by ``sorted``.
 
 ``ranked``
     For everything else. Values are cut into bins by a monotone function of
@@ -272,9 +274,16 @@ def _rank_table(
     return table.unionByName(spread_rows, allowMissingColumns=True) if spread else table
 
 
-def _sorted_table(rows: DataFrame, keys: list[str], spread: bool) -> DataFrame:
-    """A rank table with a row for each row of the data; missing values come last and weigh nothing."""
+def _sorted_table(rows: DataFrame, keys: list[str], spread: bool, total: int) -> DataFrame:
+    """A rank table with a row for each row of the data; missing values come last and weigh nothing.
+
+    ``total`` bounds the rows; by it they are dealt, as neither the session's number of partitions
+    nor the bytes that adaptive execution merges bound the rows of a task.
+    """
     by = ", ".join(map(quoted, keys))
+    if total > bounds.SORTED_ROWS:
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        rows = rows.repartition(max(-(-total // bounds.SORTED_ROWS), cores), *map(col, keys))
     weighed = rows.selectExpr("*", "if(v is null, 0L, 1L) as c")
     return weighed.selectExpr(
         *map(quoted, keys),
@@ -288,23 +297,41 @@ def _sorted_table(rows: DataFrame, keys: list[str], spread: bool) -> DataFrame:
     )
 
 
+def _heavy_groups(rows: DataFrame, keys: list[str]) -> tuple[DataFrame | None, int]:
+    """Groups of more than ``HEAVY_ROWS`` rows, if any, and the number of all rows.
+
+    Only groups of a bucket with as many rows can be heavy, so groups are counted in few buckets.
+    """
+    bucket = F.pmod(F.xxhash64(*map(col, keys)), F.lit(bounds.SIZE_BUCKETS)).alias("_bucket")
+    by_bucket = rows.select(bucket).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    by_bucket = checkpointed(by_bucket)
+    full = by_bucket.where(F.col("_size") > bounds.HEAVY_ROWS).select("_bucket")
+    total, found = by_bucket.agg(
+        F.expr("coalesce(sum(_size), 0)"), F.count_if(F.col("_size") > bounds.HEAVY_ROWS)
+    ).first()
+    if not found:
+        return None, total
+    near = attach(rows.select(*map(col, keys), bucket), full, ["_bucket"], found)
+    sizes = near.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_size"))
+    # Kept, so that both sides agree on which groups are heavy, whatever is computed anew.
+    return checkpointed(sizes.where(F.col("_size") > bounds.HEAVY_ROWS).drop("_size")), total
+
+
 def _split(rows: DataFrame, keys: list[str], stats: list[Stat], spread: bool) -> DataFrame:
     """Heavy groups by bins, all others sorted."""
-    sizes = rows.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_size"))
-    # Kept, so that both sides agree on which groups are heavy, whatever is computed anew.
-    heavy = checkpointed(sizes.where(F.col("_size") > bounds.HEAVY_ROWS).drop("_size"))
-    found = heavy.count()
+    heavy, total = _heavy_groups(rows, keys)
+    found = heavy.count() if heavy is not None else 0
     if not found:
-        return _by_plan(rows, keys, stats, "sorted", spread)
+        return _by_plan(rows, keys, stats, "sorted", spread, total)
     marked = attach(rows, heavy.withColumn("_heavy", F.lit(True)), keys, found, how="left")
     light = marked.where("_heavy is null").drop("_heavy")
-    return _by_plan(light, keys, stats, "sorted", spread).unionByName(
+    return _by_plan(light, keys, stats, "sorted", spread, total).unionByName(
         _by_plan(attach(rows, heavy, keys, found), keys, stats, "ranked", spread)
     )
 
 
 def _by_plan(
-    rows: DataFrame, keys: list[str], stats: list[Stat], plan: str, spread: bool
+    rows: DataFrame, keys: list[str], stats: list[Stat], plan: str, spread: bool, total: int | None = None
 ) -> DataFrame:
     if plan == "split":
         return _split(rows, keys, stats, spread)
@@ -315,7 +342,7 @@ def _by_plan(
     wanted = [f"{s.of_ranks()} as {s.name}" for s in stats]
     if plan == "sorted":
         wanted += [*_SORTED_SPREAD] if spread else []
-        table = _sorted_table(rows, keys, spread)
+        table = _sorted_table(rows, keys, spread, rows.count() if total is None else total)
     elif plan == "ranked":
         wanted += ["max(sd) as sd", "min(lo) as lo", "max(hi) as hi"] if spread else []
         table = _rank_table(rows, keys, stats, spread)
@@ -332,18 +359,20 @@ def describe(
     *,
     plan: str,
     spread: bool = False,
+    total: int | None = None,
 ) -> DataFrame:
     """``stats`` of ``measure`` per ``keys``; a null key is a group of its own.
 
     ``direct`` and ``sorted`` say that every group is proven to fit one task. With another ``plan`` the
     first passes over the data run at once, to find where the ranks lie.
-    ``spread`` adds the columns ``sd``, ``lo`` and ``hi``.
+    ``spread`` adds the columns ``sd``, ``lo`` and ``hi``. ``total`` bounds the rows where that is known; ``sorted``
+    counts them otherwise.
     """
     rows = _measure_rows(df, keys, measure)
     if not any(s.ranks() for s in stats):
         plain = [f"{s.plain()} as {s.name}" for s in stats]
         return rows.groupBy(*map(col, keys)).agg(*map(F.expr, [*plain, *(_SPREAD if spread else ())]))
-    return _by_plan(rows, keys, stats, plan, spread)
+    return _by_plan(rows, keys, stats, plan, spread, total)
 
 
 def settled_average(column: str) -> Column:

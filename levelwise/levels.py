@@ -15,7 +15,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from levelwise.functions.numbering import numbered
 from levelwise.functions.rounding import col
-from levelwise.plans.bounds import attach
+from levelwise.plans.bounds import attach, fits_one_task
 from levelwise.sources.scratch import checkpointed
 
 # A column with more labels than this is an id, not a category.
@@ -106,6 +106,11 @@ class LevelBook:
         if self._stored is not None and self._stale(missing):
             self._stored = None
         if self._stored is None:
+            beyond = self._past_limit(missing)
+            self._wide |= beyond
+            missing = [c for c in missing if c not in beyond]
+            if not missing:
+                return
             labels = level_counts(self._base, missing)
         else:
             labels = self._stored.where(F.col("dimension").isin(*missing))
@@ -127,6 +132,17 @@ class LevelBook:
             if not wide:
                 self._counts.update(counts)
 
+    def _past_limit(self, columns: list[str]) -> set[str]:
+        """Columns of a large dataset that have far more labels than the dictionary may hold.
+
+        An estimate needs a few kilobytes a column, whereas counting labels holds all of a task's. Four times the
+        limit is far beyond the estimate's error; columns below that are counted.
+        """
+        if fits_one_task(self.rows):
+            return set()
+        seen = self._base.agg(*[F.approx_count_distinct(col(c)) for c in columns]).first()
+        return {c for c, n in zip(columns, seen) if n > 4 * self._max}
+
     def _stale(self, columns: Iterable[str]) -> bool:
         """Whether stored counts of ``columns`` do not sum to the rows the dataset has now.
 

@@ -179,7 +179,8 @@ def measure_stats(
         cohort.roles.require(k, "categorical")
     kept = apply_measure_rule(cohort.df, measure, rule)
     plan = cohort.plan(keys, method) if any(s.ranks() for s in stats) else "direct"
-    return round_measures(describe(kept, keys, measure, stats, plan=plan))
+    total = cohort.book.rows if plan == "sorted" else None
+    return round_measures(describe(kept, keys, measure, stats, plan=plan, total=total))
 
 
 def summary(

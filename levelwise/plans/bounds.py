@@ -22,6 +22,10 @@ ONE_TASK_ROWS = 1_000_000
 GROUPS_HELD = 128
 # Rows of a group past which its ranks are sought in bins, where sizes are counted.
 HEAVY_ROWS = 100_000
+# Rows that one task is given where all rows are sorted by group; a task of them takes some hundred megabytes at most.
+SORTED_ROWS = 250_000
+# Buckets of groups that are counted to find heavy ones; a task holds no more counts than these.
+SIZE_BUCKETS = 1 << 16
 # Groups so few that some hundred bins for each are a small table.
 FEW_GROUPS = 10_000
 # Rows of a side table that may be sent to every executor: a few labels and
