@@ -28,6 +28,8 @@ SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 #: Least p(c | t) of a term that discloses, and one-sided 95 % of the normal distribution for its bound.
 LIKELY, NORMAL = 0.5, 1.645
+#: Parts of the texts (one in so many) in which candidate terms are counted before they are in all of them.
+PARTS = (16, 4)
 #: Characters before and after an entity that mostly hold its nearest words.
 STRETCH = 400
 
@@ -223,6 +225,31 @@ def with_entities(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     return slim.select("*", F.array_sort(F.concat(*tagged)).alias("base"))
 
 
+def _texts_with(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``term`` of ``wanted`` and ``with_term``, the distinct texts that hold it; terms of no text are absent."""
+    spread = texts.select(
+        F.xxhash64("whole").alias("t"), F.explode(F.array_distinct(words_of(F.col("whole")))).alias("term")
+    ).join(wanted, F.col("term") == F.col("wanted"), "left_semi")
+    return spread.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+
+
+def _wanted_terms(both: DataFrame, texts: DataFrame, parts: tuple[int, ...] = PARTS) -> DataFrame:
+    """``wanted``, the terms of ``both`` (with column ``both``) that may still be likely enough.
+
+    A term is in at least as many texts as in a part of them, and its bound falls with their number. So
+    the words of every text drop out in a part of the texts, and only rare ones are counted in all; no term
+    that discloses is lost.
+    """
+    wanted = stored(both.groupBy(F.col("term").alias("wanted")).agg(F.max("both").alias("most")), "wanted-terms")
+    for part in parts:
+        some = texts.where(F.pmod(F.xxhash64("whole"), F.lit(part)) == 0)
+        counted = wanted.join(_texts_with(some, wanted), F.col("wanted") == F.col("term"), "left")
+        least = F.greatest("most", F.coalesce("with_term", F.lit(0)))
+        likely = counted.where(likelihood_bound(F.col("most"), least) >= LIKELY)
+        wanted = stored(likely.select("wanted", "most"), "wanted-terms")
+    return wanted.select("wanted")
+
+
 def disclosing_terms(
     found: DataFrame,
     texts: DataFrame,
@@ -253,11 +280,7 @@ def disclosing_terms(
     # A term of no other text than these has the greatest bound; where that is too low no count is needed.
     both = both.where(likelihood_bound(F.col("both"), F.col("both")) >= LIKELY)
     both = stored(both.join(entities, "entity"), "near-terms")
-    wanted = stored(both.select(F.col("term").alias("wanted")).distinct(), "wanted-terms")
-    spread = texts.select(
-        F.xxhash64("whole").alias("t"), F.explode(F.array_distinct(words_of(F.col("whole")))).alias("term")
-    ).join(wanted, F.col("term") == F.col("wanted"), "left_semi")
-    terms = spread.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    terms = _texts_with(texts, _wanted_terms(both, texts))
     total = float(texts.select(F.xxhash64("whole").alias("t")).distinct().count())
     likely = likelihood_bound(F.col("both"), F.col("with_term"))
     ic = F.log2(F.lit(total) / F.col("with_entity"))
