@@ -35,15 +35,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder, with ``options`` of the writer, and read again.
 
     It is computed once, whatever executors are lost later, and its size is known
     to Spark, which then broadcasts it only below its own byte threshold.
     """
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 

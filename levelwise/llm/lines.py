@@ -4,7 +4,8 @@ Lines are normalised and hashed. Two lines link when the edit similarity of thei
 0.8; no fingerprint stands in for that rule. An edit touches at most q of a line's q-word
 windows, so of the windows in one fixed order (by hash) the first ones of two such lines share one
 (a prefix filter). Lines that share a window, and whose lengths and word parities allow so few edits,
-are candidates; candidates are verified, and of each connected group the first occurrence stays.
+are candidates; the candidates of a window are verified together, and of each group that verified links connect
+the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ SMALL_GROUP = 16
 #: Lines of one window that are tested by lengths and word parities before sketches are fetched; of larger
 #: groups all lines go on to the search.
 TESTED_GROUP = 4096
-#: Lines verified together; a larger candidate group is verified in pairs of blocks.
+#: Lines verified together; a larger set of candidates is verified in pairs of blocks.
 VERIFY_ROWS = 4096
 
 #: Every digit becomes 0 and every mark a blank, in an ASCII text by one table.
@@ -91,6 +92,8 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 #: A sketch has the length of a line in its low bits and above them the parities of its words.
 _LENGTH = np.uint64(0xFFF)
 _PARITIES = 52
+#: A key has 40 bits, the others are zero and take no room in a shuffle. Two windows of one key cost a test.
+_KEY = np.uint64((1 << 40) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -134,6 +137,7 @@ def window_keys(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
         h = np.full(len(at), q, dtype=np.uint64)
         for k in range(q):
             h = mixed(h * _MIX[0] + words[at + k])
+        h &= _KEY
         own = line_of[at]
         order = np.lexsort((h, own))
         h, own = h[order], own[order]
@@ -335,37 +339,54 @@ def verified_edges(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
     return edges
 
 
-def candidate_edges(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all lines of a key that may link; rows are sorted by key, then line."""
+def candidate_sets(
+    keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray, wide: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of two and more lines of a key that are connected by pairs that may link: set and line.
+
+    Rows are sorted by key, then line. A set has the number of its least line, so sets of several keys that have
+    it in common are one.
+    """
     alone = np.ones(len(keys), dtype=bool)
     same = keys[1:] == keys[:-1]
     alone[1:] &= ~same
     alone[:-1] &= ~same
     keys, lines, sketch, wide = keys[~alone], lines[~alone], sketch[~alone], wide[~alone]
-    if not len(keys):
-        return lines, lines
-    marks = Sketches(sketch, wide.tolist())
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
-    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-    ends = np.repeat(np.where(sizes <= SMALL_GROUP, starts + sizes, 0), sizes)
-    at, heads, tails = np.arange(len(keys)), [], []
-    for by in range(1, SMALL_GROUP):
-        at = at[at + by < ends[at]]
-        met = at[marks.may_link(at, at + by)]
-        heads.append(lines[met])
-        tails.append(lines[met + by])
-    for s, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-        left = np.arange(s, s + n)
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                one = queue.pop()
-                near = marks.may_link(left, one)
-                found, left = left[near], left[~near]
-                heads.append(np.full(len(found), lines[one]))
-                tails.append(lines[found])
-                queue += list(found)
-    return np.concatenate(heads), np.concatenate(tails)
+    label = np.arange(len(keys))
+    if len(keys):
+        marks = Sketches(sketch, wide.tolist())
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+        ends = np.repeat(np.where(sizes <= SMALL_GROUP, starts + sizes, 0), sizes)
+        at, heads, tails = np.arange(len(keys)), [], []
+        for by in range(1, SMALL_GROUP):
+            at = at[at + by < ends[at]]
+            met = at[marks.may_link(at, at + by)]
+            heads.append(met)
+            tails.append(met + by)
+        a, b = np.concatenate(heads), np.concatenate(tails)
+        while (label[a] != label[b]).any():
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+        for s, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
+            left = np.arange(s, s + n)
+            while len(left) > 1:
+                queue, left, first = [left[0]], left[1:], left[0]
+                while queue and len(left):
+                    near = marks.may_link(left, queue.pop())
+                    found, left = left[near], left[~near]
+                    label[found] = first
+                    queue += list(found)
+    order = np.argsort(label, kind="stable")
+    label, lines = label[order], lines[order]
+    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if len(label) else label
+    sizes = np.diff(np.concatenate([starts, [len(label)]]))
+    # The least line comes first.
+    sets = np.repeat(lines[starts], sizes)
+    more = np.repeat(sizes > 1, sizes)
+    met = np.stack([sets[more], lines[more]])
+    return tuple(np.unique(met, axis=1)) if met.size else tuple(met)
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,10 +394,8 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     held: list[list[np.ndarray]] = []
 
     def flush():
-        a, b = candidate_edges(*(np.concatenate(x) for x in zip(*held)))
-        met = np.unique(np.stack([a, b]), axis=1) if len(a) else np.stack([a, b])
-        ends = [pa.array(np.ascontiguousarray(x)) for x in met]
-        return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+        found = candidate_sets(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found], names=["set", "line"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -395,14 +414,14 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (root, i, j, line, text) sorted by the first three."""
+    """Reads (set, i, j, line, text) sorted by the first three."""
 
     def rows():
         for whole in batches:
             for batch in slices(whole, 1024):
                 yield from batch.to_pylist()
 
-    for _, members in groupby(rows(), key=lambda r: (r["root"], r["i"], r["j"])):
+    for _, members in groupby(rows(), key=lambda r: (r["set"], r["i"], r["j"])):
         edges = verified_edges([(r["line"], normalised(r["text"])) for r in members])
         yield pa.RecordBatch.from_pylist(
             [{"a": a, "b": b} for a, b in edges], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -482,47 +501,59 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """(line, at, root) of lines that another line may be linked to."""
+    """(line, sets) of lines that another line may be linked to: the sets of lines that are verified together.
+
+    A set has the candidates of one line in its windows. Chains of candidates from window to window grow with the
+    corpus, sets do not: a line is in no more of them than it has windows.
+    """
     # A task gives the windows of a line once, so a common line is not met again and again. Most windows
     # are of one line only or of lines that are not close; wide sketches are fetched for the others.
     once = lines.where("keys is not null")
-    keyed = once.select(F.explode("keys").alias("key"), "line", "sketch").repartition("key")
+    # The key's zeros, last in a row, meet those before the next one.
+    keyed = once.select("line", "sketch", F.explode("keys").alias("key")).repartition("key").select("key", "line", "sketch")
     shared = stored(keyed.sortWithinPartitions("key", "line").mapInArrow(_shared_batches, "key long, line long"), "line-windows")
     wanted = shared.select(F.col("line").alias("l")).distinct()
     marks = once.select("line", "sketch", "wide").join(wanted, F.col("line") == F.col("l"), "left_semi")
     marks = marks.dropDuplicates(["line"]).withColumnRenamed("line", "l")
     met = shared.join(marks, F.col("line") == F.col("l")).select("key", "line", "sketch", "wide")
     met = met.repartition("key").sortWithinPartitions("key", "line")
-    roots = stored(components(met.mapInArrow(_candidate_batches, "a long, b long")), "line-roots")
-    found = lines.select("row", "line_no", "line").join(roots, F.col("line") == F.col("vertex"))
-    # Any occurrence gives the text of a line; the least one is taken.
-    return found.groupBy("line", "root").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    sets = met.mapInArrow(_candidate_batches, "set long, line long").distinct()
+    sets = stored(sets, "line-sets")
+    size = sets.groupBy(F.col("set").alias("s")).agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
+    sized = sets.join(size.where("blocks > 1"), F.col("set") == F.col("s"), "left")
+    blocks = F.coalesce("blocks", F.lit(1)).alias("blocks")
+    return sized.groupBy("line").agg(F.collect_list(F.struct("set", blocks)).alias("sets"))
+
+
+def _line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(line, text) of the lines of ``wanted``."""
+    found = lines.select("row", "line_no", "line").join(wanted.select(F.col("line").alias("l")), F.col("line") == F.col("l"), "left_semi")
+    # Any occurrence gives the text of a line; the least one is taken. A document's lines are fetched together, so its
+    # text is read once. Stored, so that Spark knows the size of this side before it would shuffle all texts.
+    spots = found.groupBy("line").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    spots = spots.groupBy(F.col("at.row").alias("at_row")).agg(
+        F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "line")).alias("spots")
+    )
+    spots = stored(spots, "line-places")
+    texts = docs.join(spots, F.col("row") == F.col("at_row")).select(F.split("whole", "\n", -1).alias("texts"), "spots")
+    texts = texts.select(
+        F.explode(F.transform("spots", lambda s: F.struct(s["line"].alias("line"), F.get("texts", s["line_no"]).alias("text")))).alias("x")
+    )
+    # Repeated rows give a line more than once.
+    return texts.select("x.line", "x.text").dropDuplicates(["line"])
 
 
 def _line_groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """``vertex`` and ``root`` of lines that are linked to another line."""
     wanted = stored(_candidates(lines), "line-candidates")
-    size = wanted.groupBy("root").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
-    sized = wanted.join(size.withColumnRenamed("root", "r"), F.col("root") == F.col("r"))
-    spots = sized.select(
-        F.col("at.row").alias("at_row"), F.struct(F.col("at.line_no").alias("line_no"), "line", "root", "blocks").alias("spot")
-    )
-    # A document's lines are fetched together, so its text is read once.
-    spots = spots.groupBy("at_row").agg(F.collect_set("spot").alias("spots"))
-    fetched = docs.join(spots, F.col("row") == F.col("at_row"))
-    fetched = fetched.dropDuplicates(["row"])
-    texts = fetched.select(F.split("whole", "\n", -1).alias("texts"), "spots")
-    texts = texts.select(
-        F.explode(
-            F.transform("spots", lambda s: F.struct(s.alias("s"), F.get("texts", s["line_no"]).alias("text")))
-        ).alias("x")
-    ).select("x.s.line", "x.s.root", "x.s.blocks", "x.text")
+    texts = _line_texts(lines, wanted, docs).withColumnRenamed("line", "l")
+    texts = texts.join(wanted, F.col("line") == F.col("l")).select("line", "text", F.inline("sets"))
     own = F.pmod("line", "blocks").cast("int")
     other = texts.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     keyed = other.select(
-        "root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "line", "text"
+        "set", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "line", "text"
     )
-    sorted_rows = keyed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "line")
+    sorted_rows = keyed.repartition("set", "i", "j").sortWithinPartitions("set", "i", "j", "line")
     return components(sorted_rows.mapInArrow(_verifier, "a long, b long"))
 
 
@@ -533,7 +564,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     that repeat a document as a whole count as one and keep the same lines.
     """
     slim = docs.select("row", "doc_id", "whole")
-    lines = stored(slim.mapInArrow(_line_batches, _LINES), "lines")
+    lines = stored(slim.mapInArrow(_line_batches, _LINES), "lines", compression="zstd")
     roots = stored(_line_groups(lines, docs), "line-groups")
     named = lines.join(roots, F.col("line") == F.col("vertex"), "left").select(
         "doc_id", "row", "line_no", F.coalesce("root", "line").alias("g")
