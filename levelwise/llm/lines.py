@@ -577,12 +577,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return stored(gone, "repeated-lines")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns ``row``, ``doc_id``, ``whole`` and others, and ``kept``, the text left over, and ``n_gone``."""
+def without_repeats(docs: DataFrame, text: str = "whole") -> DataFrame:
+    """``docs`` with columns ``row``, ``doc_id``, ``whole`` and others, and ``kept``, the text left over, and ``n_gone``.
+
+    ``text`` is the column that ``whole`` comes from; where it is another one, it alone goes through the join.
+    """
     gone = repeated_lines(docs)
     lines = F.split("whole", "\n", -1)
     left = _left_over(lines)
-    joined = docs.join(gone, F.col("row") == F.col("gone_row"), "left")
+    slim = docs if text == "whole" else docs.drop("whole")
+    joined = slim.join(gone, F.col("row") == F.col("gone_row"), "left").withColumn("whole", text_of(F.col(text)))
     return joined.select(
         *docs.columns,
         F.when(F.col("gone").isNull(), F.col("whole")).otherwise(left).alias("kept"),
@@ -629,7 +633,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct("*").alias("all")).select(
         F.col("all.doc_id").alias("doc_id"), F.col("all.text").alias("text"), "all"
     )
-    found = without_repeats(_named(packed, "all"))
+    found = without_repeats(_named(packed, "all"), "all.text")
     text = F.when(F.col("all.text").isNotNull(), F.col("kept"))
     n_chars = {"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {}
     changed = {"text": text, **n_chars}

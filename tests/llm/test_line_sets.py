@@ -44,3 +44,12 @@ def test_large_sets_are_verified_in_blocks(spark, docs_of, monkeypatch):
     texts = [" ".join(words[:i] + [f"new{i}"] + words[i + 1 :]) for i in range(30)]
     got = lines.deduplicated_lines(docs_of(list(enumerate(texts)))).collect()
     assert sorted(r.doc_id for r in got if not r.n_removed) == [0]
+
+
+def test_texts_go_through_the_last_join_once(docs_of):
+    left = lines.drop_repeats(docs_of([(1, "a b c d\ne f g h"), (2, "a b c d\nx"), (3, None), (3, "")]))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan and "whole#" not in plan.split("LeftOuter")[1].split("\n", 1)[1]
+    assert sorted((r.doc_id, r.text or "", r.text is None) for r in left.collect()) == [
+        (1, "a b c d\ne f g h", False), (2, "x", False), (3, "", False), (3, "", True),
+    ]
