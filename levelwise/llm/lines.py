@@ -11,13 +11,14 @@ the first occurrence stays.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -39,15 +40,21 @@ KEYS = 24
 #: step on they have counts of their words in so many classes too, as repeated words cancel in parities.
 WIDER = ((24, 192), (150, 1024))
 CLASSES = 16
+#: So few lines are verified without bounds.
+FEW = 4
 #: Classes of the words of lines that are verified.
 VERIFY_CLASSES = 256
 #: Lines that a task remembers, so that a line it meets again carries no windows. It only saves rows.
 REMEMBERED = 1 << 19
 #: Groups of so many lines are compared in whole arrays; larger ones are searched.
 SMALL_GROUP = 16
+#: Windows are dealt to buckets by so many of their keys' bits; a task has a few buckets at a time in memory.
+BUCKET_BITS = 12
 #: Lines of one window that are tested by lengths and word parities before sketches are fetched; of larger
 #: groups all lines go on to the search.
 TESTED_GROUP = 4096
+#: Pairs of lines of one window that are tested at a time; a group of more links a line is searched line by line.
+BLOCK, DENSE = 1 << 20, 64
 #: Lines verified together; a larger set of candidates is verified in pairs of blocks.
 VERIFY_ROWS = 4096
 
@@ -122,6 +129,12 @@ def prefix_size(n: int, q: int) -> int:
     return most + 1
 
 
+def word_hashes(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lines, line after line, and their numbers."""
+    counts = np.fromiter(map(len, lines), np.int64, len(lines))
+    return np.fromiter(map(xxh64_intdigest, chain.from_iterable(lines)), np.uint64, int(counts.sum())), counts
+
+
 def window_keys(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows under which lines meet others, line after line, and their numbers.
 
@@ -139,8 +152,13 @@ def window_keys(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
             h = mixed(h * _MIX[0] + words[at + k])
         h &= _KEY
         own = line_of[at]
-        order = np.lexsort((h, own))
-        h, own = h[order], own[order]
+        if len(counts) < 1 << 24:
+            # Line and key in one number: it is sorted faster than the two.
+            both = np.sort(own.astype(np.uint64) << np.uint64(40) | h)
+            h, own = both & _KEY, (both >> np.uint64(40)).astype(np.int64)
+        else:
+            order = np.lexsort((h, own))
+            h, own = h[order], own[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
         h, own = h[new], own[new]
@@ -233,28 +251,44 @@ class Sketches:
         return near
 
 
+    def may_meet(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """``close`` of all rows and others and, where many are, the first wide parities: a matrix."""
+        a, b = self.sketch[rows][:, None], self.sketch[others]
+        near = close(a, b)
+        index, marks = self.levels[0]
+        x, y = index[rows], index[others]
+        if np.count_nonzero(near) * 16 > near.size and (x >= 0).any():
+            apart = np.zeros(near.shape, dtype=np.int32)
+            for k in range(marks.shape[1]):
+                apart += np.bitwise_count(marks[x, k][:, None] ^ marks[y, k])
+            m, n = (a & _LENGTH).astype(np.int32), (b & _LENGTH).astype(np.int32)
+            longest = np.maximum(m, n)
+            free = (x < 0)[:, None] | (y < 0) | (longest == int(_LENGTH))
+            near &= free | (apart + np.abs(m - n) <= _TWICE[longest])
+        return near
+
+
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for whole in batches:
         for batch in slices(whole):
-            own: list[tuple[int, int]] = []
-            lines, counts, values, new = [], [], [], []
+            docs, places, lines, fresh, new = [], [], [], [], []
             if len(seen) > REMEMBERED:
                 seen.clear()
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for n, line in enumerate(plain(text).split("\n")):
                     words = line.split()
                     if len(words) >= MIN_WORDS:
-                        own.append((i, n))
+                        docs.append(i)
+                        places.append(n)
                         line = xxh64_intdigest(" ".join(words), 42)
                         lines.append(line)
                         if line not in seen:
                             seen.add(line)
                             new.append(len(lines) - 1)
-                            counts.append(len(words))
-                            values.extend(map(xxh64_intdigest, words))
-            at = np.array([i for i, _ in own], dtype=np.int64)
-            hashes, sizes = np.array(values, dtype=np.uint64), np.array(counts, dtype=np.int64)
+                            fresh.append(words)
+            at = pa.array(docs, pa.int64())
+            hashes, sizes = word_hashes(fresh)
             flat, found = window_keys(hashes, sizes)
             offsets = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
             # Columns of the first occurrences, null in the rows of all others.
@@ -264,9 +298,9 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             key_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(at)),
-                    batch.column(1).take(pa.array(at)),
-                    pa.array([n for _, n in own], pa.int32()),
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array(places, pa.int32()),
                     pa.array(np.array(lines, dtype=np.uint64).view(np.int64)),
                     pa.array(sketches(hashes, sizes).view(np.int64)).take(spread),
                     pa.array(wide_sketches(hashes, sizes), pa.binary()).take(spread),
@@ -311,14 +345,29 @@ def similar(a: list, b: list) -> bool:
     return least <= allowed and edit_distance(a, b) <= allowed
 
 
+def _direct_edges(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
+    """The edges of a few lines, without bounds on their distances."""
+    left, edges = list(lines), []
+    while len(left) > 1:
+        queue = [left.pop(0)]
+        while queue and left:
+            line, words = queue.pop()
+            found = [similar(words, other) for _, other in left]
+            queue += [x for x, near in zip(left, found) if near]
+            edges += [(line, x[0]) for x, near in zip(left, found) if near]
+            left = [x for x, near in zip(left, found) if not near]
+    return edges
+
+
 def verified_edges(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
     """Edges that connect all pairs of (line, words) that are similar.
 
     As in a search through a graph, a line already reached is not compared again. Words that only one
     of two lines has bound the edit distance from below, so few distances are computed in vain.
     """
-    hashes = np.array([xxh64_intdigest(w) for _, words in lines for w in words], dtype=np.uint64)
-    counts = np.array([len(words) for _, words in lines], dtype=np.int64)
+    if len(lines) <= FEW:
+        return _direct_edges(lines)
+    hashes, counts = word_hashes([words for _, words in lines])
     marks = Sketches(sketches(hashes, counts), wide_sketches(hashes, counts))
     bags = word_counts(hashes, counts, VERIFY_CLASSES).astype(np.int32)
     left = np.arange(len(lines))
@@ -355,38 +404,85 @@ def candidate_sets(
     label = np.arange(len(keys))
     if len(keys):
         marks = Sketches(sketch, wide.tolist())
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-        ends = np.repeat(np.where(sizes <= SMALL_GROUP, starts + sizes, 0), sizes)
-        at, heads, tails = np.arange(len(keys)), [], []
-        for by in range(1, SMALL_GROUP):
-            at = at[at + by < ends[at]]
-            met = at[marks.may_link(at, at + by)]
-            heads.append(met)
-            tails.append(met + by)
-        a, b = np.concatenate(heads), np.concatenate(tails)
-        while (label[a] != label[b]).any():
-            least = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
+        starts, sizes = _groups(keys)
+        _connect(label, starts, sizes, marks.may_link)
         for s, n in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-            left = np.arange(s, s + n)
-            while len(left) > 1:
-                queue, left, first = [left[0]], left[1:], left[0]
-                while queue and len(left):
-                    near = marks.may_link(left, queue.pop())
-                    found, left = left[near], left[~near]
-                    label[found] = first
-                    queue += list(found)
-    order = np.argsort(label, kind="stable")
-    label, lines = label[order], lines[order]
-    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if len(label) else label
-    sizes = np.diff(np.concatenate([starts, [len(label)]]))
-    # The least line comes first.
-    sets = np.repeat(lines[starts], sizes)
-    more = np.repeat(sizes > 1, sizes)
-    met = np.stack([sets[more], lines[more]])
-    return tuple(np.unique(met, axis=1)) if met.size else tuple(met)
+            if not _connect_blocks(label, s, n, marks):
+                _search(label, s, n, marks)
+    return _sets(label, lines, lines)
+
+
+def _search(label: np.ndarray, start: int, n: int, marks: Sketches) -> None:
+    """Labels the rows of a group of many links: a row already reached is not compared again."""
+    left = np.arange(start, start + n)
+    label[left] = left
+    while len(left) > 1:
+        queue, left, first = [left[0]], left[1:], left[0]
+        while queue and len(left):
+            near = marks.may_link(left, queue.pop())
+            found, left = left[near], left[~near]
+            label[found] = first
+            queue += list(found)
+
+
+def _connect_blocks(label: np.ndarray, start: int, n: int, marks: Sketches) -> bool:
+    """Labels the rows of a group of few links; false, if there are too many.
+
+    In the order of length, so that a block meets only lines that are not too long for it.
+    """
+    lengths = (marks.sketch[start : start + n] & _LENGTH).astype(np.int64)
+    order = np.argsort(lengths, kind="stable")
+    lengths, order = lengths[order], start + order
+    step, links, heads, tails = max(1, min(256, BLOCK // n)), 0, [], []
+    for i in range(0, n, step):
+        high = np.searchsorted(lengths, int(lengths[min(i + step, n) - 1] / SIMILARITY) + 1, "right")
+        a, b = np.nonzero(np.triu(marks.may_meet(order[i : i + step], order[i:high]), 1))
+        links += len(a)
+        if links > DENSE * n:
+            return False
+        a, b = order[i + a], order[i + b]
+        met = marks.may_link(a, b)
+        heads.append(a[met])
+        tails.append(b[met])
+    _spread(label, np.concatenate(heads), np.concatenate(tails))
+    return True
+
+
+def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the rows that links a-b connect their least label; labels are rows."""
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and sizes of the runs of equal keys."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    return starts, np.diff(np.concatenate([starts, [len(keys)]]))
+
+
+def _connect(label: np.ndarray, starts: np.ndarray, sizes: np.ndarray, near: Callable) -> None:
+    """Labels the rows of small groups with the first row that ``near`` connects them with."""
+    ends = np.repeat(np.where(sizes <= SMALL_GROUP, starts + sizes, 0), sizes)
+    at, heads, tails = np.arange(len(label)), [], []
+    for by in range(1, SMALL_GROUP):
+        at = at[at + by < ends[at]]
+        met = at[near(at, at + by)]
+        heads.append(met)
+        tails.append(met + by)
+    _spread(label, np.concatenate(heads), np.concatenate(tails))
+
+
+def _sets(label: np.ndarray, names: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of labels that two or more have: the name of the label's first row, and the line, each pair once."""
+    more = np.bincount(label)[label] > 1 if len(label) else np.zeros(0, dtype=bool)
+    sets, lines = names[label[more]], lines[more]
+    order = np.lexsort((lines, sets))
+    sets, lines = sets[order], lines[order]
+    new = np.ones(len(sets), dtype=bool)
+    new[1:] = (sets[1:] != sets[:-1]) | (lines[1:] != lines[:-1])
+    return sets[new], lines[new]
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,11 +517,16 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(whole, 1024):
                 yield from batch.to_pylist()
 
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    edges: list[tuple[int, int]] = []
     for _, members in groupby(rows(), key=lambda r: (r["set"], r["i"], r["j"])):
-        edges = verified_edges([(r["line"], normalised(r["text"])) for r in members])
-        yield pa.RecordBatch.from_pylist(
-            [{"a": a, "b": b} for a, b in edges], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        )
+        edges += verified_edges([(r["line"], normalised(r["text"])) for r in members])
+        if len(edges) >= 1024:
+            yield batch()
+            edges = []
+    yield batch()
 
 
 #: Twice the edits that the longer line of so many words allows.
@@ -466,36 +567,86 @@ def partnered(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return met
 
 
+def window_sets(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of two and more lines that share a key and are connected by close ones: set and line.
+
+    A set of a small group has the number of its least line, so similar lines are one set however many keys they
+    share. Of a larger group all lines that are close to another one are one set, named by the key.
+    """
+    order = np.argsort(keys)
+    keys = keys[order]
+    # Most windows are of one line only.
+    same = keys[1:] == keys[:-1]
+    met = np.zeros(len(keys), dtype=bool)
+    met[1:] |= same
+    met[:-1] |= same
+    keys, order = keys[met], order[met]
+    lines, sketch = lines[order], sketch[order]
+    order = np.lexsort((lines, keys))
+    keys, lines, sketch = keys[order], lines[order], sketch[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
+    keys, lines, sketch = keys[new], lines[new], sketch[new].view(np.uint64)
+    label, names = np.arange(len(keys)), lines.copy()
+    if len(keys):
+        starts, sizes = _groups(keys)
+        _connect(label, starts, sizes, lambda i, j: close(sketch[i], sketch[j]))
+        large = np.flatnonzero(np.repeat(sizes > SMALL_GROUP, sizes))
+        if len(large):
+            large = large[partnered(keys[large], sketch[large])]
+        if len(large):
+            first, n = _groups(keys[large])
+            label[large] = np.repeat(large[first], n)
+            names[large] = mixed(keys[large].view(np.uint64)).view(np.int64)
+    return _sets(label, names, lines)
+
+
+def _dealt_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (line, sketch, keys); gives the windows of many lines, dealt by key: bucket, rest of the keys, lines, sketches."""
+    for batch in batches:
+        lists = batch.column(2)
+        owner = pc.list_parent_indices(lists).to_numpy()
+        keys = lists.flatten().to_numpy()
+        if not len(keys):
+            continue
+        bucket = (keys & ((1 << BUCKET_BITS) - 1)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys = bucket[order], (keys[order] >> BUCKET_BITS).astype(np.int32)
+        starts, _ = _groups(bucket)
+        offsets = pa.array(np.concatenate([starts, [len(keys)]]).astype(np.int32))
+        owner = owner[order]
+        columns = [keys, batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]]
+        dealt = pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)],
+            names=["bucket", "keys", "lines", "sketches"],
+        )
+        yield from slices(dealt, 1024)
+
+
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, line, sketch) sorted by the first two; keeps lines that are close to another one of their key."""
-    held: list[list[np.ndarray]] = []
+    """Reads (bucket, keys, lines, sketches) sorted by bucket; gives the sets of lines that share a window and are close."""
+    held: list[pa.RecordBatch] = []
 
     def flush():
-        keys, lines, sketch = (np.concatenate(x) for x in zip(*held))
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
-        keys, lines, sketch = keys[new], lines[new], sketch[new]
-        same = keys[1:] == keys[:-1]
-        met = np.zeros(len(keys), dtype=bool)
-        met[1:] |= same
-        met[:-1] |= same
-        keys, lines = keys[met], lines[met]
-        if len(keys):
-            near = partnered(keys, sketch[met].view(np.uint64))
-            keys, lines = keys[near], lines[near]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lines)], names=["key", "line"])
+        keys, lines, sketch = (np.concatenate([b.column(i).flatten().to_numpy() for b in held]) for i in (1, 2, 3))
+        buckets = [np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy()) for b in held]
+        keys = keys.astype(np.int64) << BUCKET_BITS | np.concatenate(buckets)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in window_sets(keys, lines, sketch)], names=["set", "line"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        # The last key may go on in the next batch.
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        if cut:
-            held.append([c[:cut] for c in columns])
-            yield flush()
-            held = []
-        held.append([c[cut:] for c in columns])
+    for whole in batches:
+        for batch in slices(whole, 1024):
+            buckets = batch.column(0).to_numpy()
+            # The last bucket may go on in the next batch.
+            cut = int(np.searchsorted(buckets, buckets[-1]))
+            if held and (cut or buckets[0] != held[-1].column(0)[-1].as_py()):
+                held.append(batch.slice(0, cut))
+                yield flush()
+                held = []
+            elif cut:
+                held = [batch.slice(0, cut)]
+                yield flush()
+                held = []
+            held.append(batch.slice(cut))
     if held:
         yield flush()
 
@@ -506,17 +657,20 @@ def _candidates(lines: DataFrame) -> DataFrame:
     A set has the candidates of one line in its windows. Chains of candidates from window to window grow with the
     corpus, sets do not: a line is in no more of them than it has windows.
     """
-    # A task gives the windows of a line once, so a common line is not met again and again. Most windows
-    # are of one line only or of lines that are not close; wide sketches are fetched for the others.
+    # A task gives the windows of a line once, so a common line is not met again and again. They go by the bucket
+    # of their key, many in a row. Most windows are of one line only or of lines that are not close; wide sketches
+    # are fetched for the others, once for all windows of a set.
     once = lines.where("keys is not null")
-    # The key's zeros, last in a row, meet those before the next one.
-    keyed = once.select("line", "sketch", F.explode("keys").alias("key")).repartition("key").select("key", "line", "sketch")
-    shared = stored(keyed.sortWithinPartitions("key", "line").mapInArrow(_shared_batches, "key long, line long"), "line-windows")
+    dealt = once.select("line", "sketch", "keys").mapInArrow(
+        _dealt_batches, "bucket int, keys array<int>, lines array<long>, sketches array<long>"
+    )
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    shared = stored(dealt.mapInArrow(_shared_batches, "set long, line long").distinct(), "line-windows")
     wanted = shared.select(F.col("line").alias("l")).distinct()
     marks = once.select("line", "sketch", "wide").join(wanted, F.col("line") == F.col("l"), "left_semi")
     marks = marks.dropDuplicates(["line"]).withColumnRenamed("line", "l")
-    met = shared.join(marks, F.col("line") == F.col("l")).select("key", "line", "sketch", "wide")
-    met = met.repartition("key").sortWithinPartitions("key", "line")
+    met = shared.join(marks, F.col("line") == F.col("l")).select("set", "line", "sketch", "wide")
+    met = met.repartition("set").sortWithinPartitions("set", "line")
     sets = met.mapInArrow(_candidate_batches, "set long, line long").distinct()
     sets = stored(sets, "line-sets")
     size = sets.groupBy(F.col("set").alias("s")).agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks"))
