@@ -50,6 +50,8 @@ REMEMBERED = 1 << 19
 SMALL_GROUP = 16
 #: Windows are dealt to buckets by so many of their keys' bits; a task has a few buckets at a time in memory.
 BUCKET_BITS = 12
+#: Of the rows that are looked for, a filter has a bit each in so many words of 64 bits at most. It lets others pass too.
+FILTER_WORDS = 1 << 16
 #: Lines of one window that are tested by lengths and word parities before sketches are fetched; of larger
 #: groups all lines go on to the search.
 TESTED_GROUP = 4096
@@ -679,6 +681,18 @@ def _candidates(lines: DataFrame) -> DataFrame:
     return sized.groupBy("line").agg(F.collect_list(F.struct("set", blocks)).alias("sets"))
 
 
+def _filtered(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """``row`` and ``whole`` of the documents whose row is an ``at_row``, and of a few others.
+
+    The texts of most documents are not shuffled then. The filter does not grow beyond its words.
+    """
+    word = lambda row: F.col(row).bitwiseAND(F.lit(FILTER_WORDS - 1))
+    bit = lambda row: F.expr(f"shiftleft(1L, cast(shiftright({row}, 32) & 63 as int))")
+    marks = spots.groupBy(word("at_row").alias("word")).agg(F.bit_or(bit("at_row")).alias("bits"))
+    met = docs.select("row", "whole", word("row").alias("own")).join(F.broadcast(marks), F.col("own") == F.col("word"))
+    return met.where(F.col("bits").bitwiseAND(bit("row")) != 0).select("row", "whole")
+
+
 def _line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(line, text) of the lines of ``wanted``."""
     found = lines.select("row", "line_no", "line").join(wanted.select(F.col("line").alias("l")), F.col("line") == F.col("l"), "left_semi")
@@ -689,7 +703,7 @@ def _line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFra
         F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "line")).alias("spots")
     )
     spots = stored(spots, "line-places")
-    texts = docs.join(spots, F.col("row") == F.col("at_row")).select(F.split("whole", "\n", -1).alias("texts"), "spots")
+    texts = _filtered(docs, spots).join(spots.hint("shuffle_hash"), F.col("row") == F.col("at_row")).select(F.split("whole", "\n", -1).alias("texts"), "spots")
     texts = texts.select(
         F.explode(F.transform("spots", lambda s: F.struct(s["line"].alias("line"), F.get("texts", s["line_no"]).alias("text")))).alias("x")
     )
@@ -740,7 +754,8 @@ def without_repeats(docs: DataFrame, text: str = "whole") -> DataFrame:
     lines = F.split("whole", "\n", -1)
     left = _left_over(lines)
     slim = docs if text == "whole" else docs.drop("whole")
-    joined = slim.join(gone, F.col("row") == F.col("gone_row"), "left").withColumn("whole", text_of(F.col(text)))
+    # The same plan at every size, and texts are not sorted.
+    joined = slim.join(gone.hint("shuffle_hash"), F.col("row") == F.col("gone_row"), "left").withColumn("whole", text_of(F.col(text)))
     return joined.select(
         *docs.columns,
         F.when(F.col("gone").isNull(), F.col("whole")).otherwise(left).alias("kept"),

@@ -64,3 +64,19 @@ def test_large_groups_of_few_links_are_tested_in_blocks():
     assert took < time.thread_time() - began
     assert blocks.tolist() == searched.tolist()
     assert (blocks[1::40] == np.arange(0, len(texts), 40)).all()
+
+
+def test_few_texts_besides_the_wanted_are_fetched(spark):
+    """All texts were shuffled for the lines of some."""
+    docs = spark.range(20_000).selectExpr("xxhash64(id) as row", "cast(id as string) as whole")
+    spots = docs.where("cast(whole as int) % 20 = 0").selectExpr("row as at_row", "array(1) as spots")
+    got = {r.whole for r in lines._filtered(docs, spots).collect()}
+    assert got >= {str(i) for i in range(0, 20_000, 20)}
+    assert len(got) < 1_100
+
+
+def test_texts_are_joined_alike_at_every_size(docs_of):
+    """Small inputs were broadcast, so their figures told nothing of larger ones; large ones were sorted."""
+    left = lines.drop_repeats(docs_of([(1, "a b c d\ne f g h"), (2, "a b c d\nx")]))
+    plan = left._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
