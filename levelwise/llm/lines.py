@@ -13,12 +13,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import chain, compress, count, groupby
 from operator import ne
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -47,7 +46,7 @@ VERIFY_CLASSES = 256
 #: Lines that a task remembers, so that a line it meets again carries no windows. It only saves rows.
 REMEMBERED = 1 << 19
 #: Groups of so many lines are compared in whole arrays; larger ones are searched.
-SMALL_GROUP = 16
+SMALL_GROUP = 64
 #: Windows are dealt to buckets by so many of their keys' bits; a task has a few buckets at a time in memory.
 BUCKET_BITS = 12
 #: Of the rows that are looked for, a filter has a bit each in so many words of 64 bits at most. It lets others pass too.
@@ -72,6 +71,16 @@ _UNPARTED = re.compile(
 )
 
 
+@lru_cache(maxsize=1 << 16)
+def _spelled(c: str) -> str:
+    """What stands for a character: 0 for a digit, a blank for a mark, a word for a letter of those scripts."""
+    if c.isdecimal():
+        return "0"
+    if not c.isalnum() and c != "\n":
+        return " "
+    return f" {c} " if _UNPARTED.match(c) else c
+
+
 def plain(text: str) -> str:
     """``text`` lower-cased and without marks, every number being the same word of its own."""
     text = text.lower()
@@ -79,30 +88,35 @@ def plain(text: str) -> str:
         text = text.translate(_PLAIN)
     else:
         for c in set(text):
-            if c.isdecimal():
-                text = text.replace(c, "0")
-            elif not c.isalnum() and not c.isspace():
-                text = text.replace(c, " ")
-            elif _UNPARTED.match(c):
-                text = text.replace(c, f" {c} ")
+            if _spelled(c) != c:
+                text = text.replace(c, _spelled(c))
     while "00" in text:
         text = text.replace("00", "0")
     return text.replace("0", " 0 ")
 
 
+def _plain_others(text: str) -> str:
+    """``text`` lower-cased and ``plain`` in the characters beyond ASCII."""
+    text = text.lower()
+    for c in set(text):
+        if c > "\x7f" and _spelled(c) != c:
+            text = text.replace(c, _spelled(c))
+    return text
+
+
 def normalised(line: str) -> list[str]:
     """Words of a line, without case, marks and the values of numbers."""
     return plain(line).split()
 
 
-_LINES = "row long, doc_id long, line_no int, line long, sketch long, wide binary, keys array<long>"
+_LINES = "row long, doc_id long, line_no int, line long, sketch long, wide binary, keys binary"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: A sketch has the length of a line in its low bits and above them the parities of its words.
 _LENGTH = np.uint64(0xFFF)
 _PARITIES = 52
 #: A key has 40 bits, the others are zero and take no room in a shuffle. Two windows of one key cost a test.
-_KEY = np.uint64((1 << 40) - 1)
+_KEY, _KEY_BYTES = np.uint64((1 << 40) - 1), 5
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -111,6 +125,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Of each byte: its small letter, every digit being 0; and whether it is of a word (1), of a number (2) or parts them.
+_SMALL = "".join("0" if chr(b).isdecimal() else chr(b).lower() for b in range(128)).encode() + bytes(range(128, 256))
+_KIND = bytes(2 if chr(b).isdecimal() else b > 127 or chr(b).isalnum() for b in range(256))
+#: The low bytes of a number, by how many they are.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
+
+
+def _eight(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes from places ``at`` on, ``size`` of them or eight, as numbers. ``data`` has whole eights of bytes."""
+    whole, by = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+    low, high = data.view("<u8")[whole] >> by, data.view("<u8")[whole + 1]
+    return (low | high << (np.uint64(63) - by) << np.uint64(1)) & _LOW[np.minimum(size, 8)]
+
+
+def line_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the ``normalised`` words of all lines of texts, how many each line has, and how many lines each text has.
+
+    The words are found in the bytes of all texts at once; none is a Python object.
+    """
+    flat = "\n".join(t if t.isascii() else _plain_others(t) for t in texts).encode()
+    flat += bytes(16 + -len(flat) % 8)
+    kind, data = (np.frombuffer(flat.translate(table), dtype=np.uint8) for table in (_KIND, _SMALL))
+    ends = np.flatnonzero(data == 10)
+    starts = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    if kind[0]:
+        starts = np.concatenate([[0], starts])
+    sizes, kinds = np.diff(starts, append=len(data)), kind[starts]
+    starts, sizes, kinds = starts[kinds > 0], sizes[kinds > 0], kinds[kinds > 0]
+    sizes = np.where(kinds == 2, 1, sizes)
+    hashes = mixed(_eight(data, starts, sizes) + _MIX[0])
+    left, k = np.flatnonzero(sizes > 8), 8
+    for i in left[sizes[left] > _LONG_WORD]:
+        hashes[i] = xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+    left = left[sizes[left] <= _LONG_WORD]
+    while len(left):
+        hashes[left] = mixed(hashes[left] * _MIX[0] + _eight(data, starts[left] + k, sizes[left] - k))
+        k += 8
+        left = left[sizes[left] > k]
+    bounds = np.searchsorted(starts, ends)
+    counts = np.diff(np.concatenate([[0], bounds, [len(starts)]]))
+    return hashes, counts, np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
+
+
+def line_numbers(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One hash for the words of each line, in their order. Every line has a word."""
+    if not len(counts):
+        return np.zeros(0, dtype=np.uint64)
+    starts = np.cumsum(counts) - counts
+    place = (np.arange(1, len(hashes) + 1) - np.repeat(starts, counts)).astype(np.uint64)
+    return mixed(np.add.reduceat(mixed(hashes + place * _MIX[0]), starts) + counts.astype(np.uint64))
+
+
+def _packed(values: np.ndarray, counts: np.ndarray, size: int) -> pa.Array:
+    """Binaries of so many values each, the low ``size`` bytes of each value."""
+    low = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :size])
+    offsets = np.concatenate([[0], np.cumsum(counts) * size]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(low)])
+
+
+def _unpacked(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All values of ``size`` bytes in a column of binaries, a row of bytes each, and how many every binary has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.reshape(-1, size), np.diff(offsets) // size
+
+
 def allowed_edits(longest: int) -> int:
     return int((1 - SIMILARITY) * longest + 1e-9)
 
@@ -274,39 +356,33 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     seen: set[int] = set()
     for whole in batches:
         for batch in slices(whole):
-            docs, places, lines, fresh, new = [], [], [], [], []
             if len(seen) > REMEMBERED:
                 seen.clear()
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                for n, line in enumerate(plain(text).split("\n")):
-                    words = line.split()
-                    if len(words) >= MIN_WORDS:
-                        docs.append(i)
-                        places.append(n)
-                        line = xxh64_intdigest(" ".join(words), 42)
-                        lines.append(line)
-                        if line not in seen:
-                            seen.add(line)
-                            new.append(len(lines) - 1)
-                            fresh.append(words)
-            at = pa.array(docs, pa.int64())
-            hashes, sizes = word_hashes(fresh)
+            hashes, sizes, n_lines = line_words(batch.column(2).to_pylist())
+            docs = np.repeat(np.arange(len(n_lines)), n_lines)
+            places = np.arange(len(docs)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+            kept = sizes >= MIN_WORDS
+            hashes, docs, places, sizes = hashes[np.repeat(kept, sizes)], docs[kept], places[kept], sizes[kept]
+            lines = line_numbers(hashes, sizes)
+            new = np.zeros(len(lines), dtype=bool)
+            for i, line in enumerate(lines.tolist()):
+                if line not in seen:
+                    seen.add(line)
+                    new[i] = True
+            hashes, sizes = hashes[np.repeat(new, sizes)], sizes[new]
             flat, found = window_keys(hashes, sizes)
-            offsets = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
             # Columns of the first occurrences, null in the rows of all others.
-            place = np.full(len(lines), -1)
-            place[new] = np.arange(len(new))
-            spread = pa.array(place, mask=place < 0)
-            key_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+            spread = pa.array(np.cumsum(new) - 1, mask=~new)
+            at = pa.array(docs)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at),
                     batch.column(1).take(at),
-                    pa.array(places, pa.int32()),
-                    pa.array(np.array(lines, dtype=np.uint64).view(np.int64)),
+                    pa.array(places.astype(np.int32)),
+                    pa.array(lines.view(np.int64)),
                     pa.array(sketches(hashes, sizes).view(np.int64)).take(spread),
                     pa.array(wide_sketches(hashes, sizes), pa.binary()).take(spread),
-                    key_lists.take(spread),
+                    _packed(flat, found, _KEY_BYTES).take(spread),
                 ],
                 names=["row", "doc_id", "line_no", "line", "sketch", "wide", "keys"],
             )
@@ -314,10 +390,11 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, a column at a time in the bits of an integer."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    skip = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    a, b = a[skip:], b[skip:]
+    least = min(len(a), len(b))
+    skip = next(compress(count(), map(ne, a, b)), least)
+    # Ends are cut off at once: a copy for each word of them takes the square of their length.
+    end = min(next(compress(count(), map(ne, reversed(a), reversed(b))), least), least - skip)
+    a, b = a[skip : len(a) - end], b[skip : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
     places: dict = {}
@@ -361,15 +438,15 @@ def _direct_edges(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
     return edges
 
 
-def verified_edges(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
-    """Edges that connect all pairs of (line, words) that are similar.
+def verified_edges(lines: list[tuple[int, list]], hashed: tuple | None = None) -> list[tuple[int, int]]:
+    """Edges that connect all pairs of (line, words) that are similar. ``hashed`` are the words' hashes, if known.
 
     As in a search through a graph, a line already reached is not compared again. Words that only one
     of two lines has bound the edit distance from below, so few distances are computed in vain.
     """
     if len(lines) <= FEW:
         return _direct_edges(lines)
-    hashes, counts = word_hashes([words for _, words in lines])
+    hashes, counts = hashed or word_hashes([words for _, words in lines])
     marks = Sketches(sketches(hashes, counts), wide_sketches(hashes, counts))
     bags = word_counts(hashes, counts, VERIFY_CLASSES).astype(np.int32)
     left = np.arange(len(lines))
@@ -515,16 +592,21 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads (set, i, j, line, text) sorted by the first three."""
 
     def rows():
+        # Words are compared by their hashes.
         for whole in batches:
             for batch in slices(whole, 1024):
-                yield from batch.to_pylist()
+                hashes, counts, _ = line_words(batch.column(4).to_pylist())
+                words = np.split(hashes, np.cumsum(counts)[:-1])
+                yield from zip(zip(*(batch.column(i).to_pylist() for i in range(3))), batch.column(3).to_pylist(), words)
 
     def batch():
         return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     edges: list[tuple[int, int]] = []
-    for _, members in groupby(rows(), key=lambda r: (r["set"], r["i"], r["j"])):
-        edges += verified_edges([(r["line"], normalised(r["text"])) for r in members])
+    for _, members in groupby(rows(), key=lambda r: r[0]):
+        _, lines, words = zip(*members)
+        hashed = np.concatenate(words), np.array(list(map(len, words)))
+        edges += verified_edges([(line, w.tolist()) for line, w in zip(lines, words)], hashed)
         if len(edges) >= 1024:
             yield batch()
             edges = []
@@ -603,37 +685,44 @@ def window_sets(keys: np.ndarray, lines: np.ndarray, sketch: np.ndarray) -> tupl
     return _sets(label, names, lines)
 
 
+#: A window: the rest of its key, its line and the line's sketch.
+_WINDOW = np.dtype([("key", "<i4"), ("line", "<i8"), ("sketch", "<i8")])
+
+
 def _dealt_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (line, sketch, keys); gives the windows of many lines, dealt by key: bucket, rest of the keys, lines, sketches."""
+    """Reads (line, sketch, keys); gives the windows of many lines, dealt by key: bucket and windows."""
     for batch in batches:
-        lists = batch.column(2)
-        owner = pc.list_parent_indices(lists).to_numpy()
-        keys = lists.flatten().to_numpy()
-        if not len(keys):
+        packed, counts = _unpacked(batch.column(2), _KEY_BYTES)
+        if not len(packed):
             continue
+        keys = np.zeros((len(packed), 8), dtype=np.uint8)
+        keys[:, :_KEY_BYTES] = packed
+        keys = keys.view("<i8").ravel()
         bucket = (keys & ((1 << BUCKET_BITS) - 1)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
-        bucket, keys = bucket[order], (keys[order] >> BUCKET_BITS).astype(np.int32)
-        starts, _ = _groups(bucket)
-        offsets = pa.array(np.concatenate([starts, [len(keys)]]).astype(np.int32))
-        owner = owner[order]
-        columns = [keys, batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner]]
+        bucket, owner = bucket[order], np.repeat(np.arange(len(counts)), counts)[order]
+        windows = np.empty(len(keys), dtype=_WINDOW)
+        windows["key"] = keys[order] >> BUCKET_BITS
+        windows["line"] = batch.column(0).to_numpy()[owner]
+        windows["sketch"] = batch.column(1).to_numpy()[owner]
+        starts, sizes = _groups(bucket)
         dealt = pa.RecordBatch.from_arrays(
-            [pa.array(bucket[starts].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)],
-            names=["bucket", "keys", "lines", "sketches"],
+            [pa.array(bucket[starts].astype(np.int32)), _packed(windows, sizes, _WINDOW.itemsize)], names=["bucket", "windows"]
         )
         yield from slices(dealt, 1024)
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (bucket, keys, lines, sketches) sorted by bucket; gives the sets of lines that share a window and are close."""
+    """Reads (bucket, windows) sorted by bucket; gives the sets of lines that share a window and are close."""
     held: list[pa.RecordBatch] = []
 
     def flush():
-        keys, lines, sketch = (np.concatenate([b.column(i).flatten().to_numpy() for b in held]) for i in (1, 2, 3))
-        buckets = [np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy()) for b in held]
-        keys = keys.astype(np.int64) << BUCKET_BITS | np.concatenate(buckets)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in window_sets(keys, lines, sketch)], names=["set", "line"])
+        parts = [_unpacked(b.column(1), _WINDOW.itemsize) for b in held]
+        windows = np.concatenate([p.reshape(-1) for p, _ in parts]).view(_WINDOW)
+        buckets = [np.repeat(b.column(0).to_numpy(), n) for b, (_, n) in zip(held, parts)]
+        keys = windows["key"].astype(np.int64) << BUCKET_BITS | np.concatenate(buckets)
+        found = window_sets(keys, windows["line"], windows["sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["set", "line"])
 
     for whole in batches:
         for batch in slices(whole, 1024):
@@ -663,9 +752,7 @@ def _candidates(lines: DataFrame) -> DataFrame:
     # of their key, many in a row. Most windows are of one line only or of lines that are not close; wide sketches
     # are fetched for the others, once for all windows of a set.
     once = lines.where("keys is not null")
-    dealt = once.select("line", "sketch", "keys").mapInArrow(
-        _dealt_batches, "bucket int, keys array<int>, lines array<long>, sketches array<long>"
-    )
+    dealt = once.select("line", "sketch", "keys").mapInArrow(_dealt_batches, "bucket int, windows binary")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
     shared = stored(dealt.mapInArrow(_shared_batches, "set long, line long").distinct(), "line-windows")
     wanted = shared.select(F.col("line").alias("l")).distinct()
